@@ -50,6 +50,7 @@ def keep_rows(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame
     """The first row of docs of each id in ids (one column, no nulls, distinct), in the columns of docs.
 
     One shuffle of docs by its key; rows repeated under one id fall together there.
+    No decision can name a row without an id: all such rows stay.
     """
     from pyspark.sql import Window
 
@@ -57,4 +58,5 @@ def keep_rows(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame
     tie = [F.col(f"`{c}`") for c in docs.columns if c != key and dict(docs.dtypes)[c] in ("string", "bigint", "int", "double", "boolean", "date", "timestamp")]
     mark = f"rank_{uuid.uuid4().hex[:8]}"
     w = Window.partitionBy(key).orderBy(*(tie or [F.lit(1)]))
-    return kept.withColumn(mark, F.row_number().over(w)).where(F.col(mark) == 1).drop(mark)
+    kept = kept.withColumn(mark, F.row_number().over(w)).where(F.col(mark) == 1).drop(mark)
+    return kept.unionByName(docs.where(F.col(f"`{key}`").isNull()))

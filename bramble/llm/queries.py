@@ -8,6 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bramble.llm.common import table
 from bramble.llm.exact_dedup import exact_duplicates
+from bramble.llm import pii, secret_scan
+from bramble.llm.spans import digest_columns
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    return digest_columns(found, [r.kind for r in secret_scan.BASE_RULES], [r.kind for r in secret_scan.RULES])
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +32,14 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, place = 1 AS k
 """
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_columns(pii.find_personal_data(table(spark, sf_dir, "documents")), pii.BASE_KINDS, pii.KINDS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_secret_scan": op4_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_pii": op7_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
