@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bramble.llm.common import table
 from bramble.llm.exact_dedup import exact_duplicates
-from bramble.llm import pii, secret_scan
+from bramble.llm import chat, language, pii, secret_scan
 from bramble.llm.spans import digest_columns
 
 
@@ -36,10 +36,24 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_columns(pii.find_personal_data(table(spark, sf_dir, "documents")), pii.BASE_KINDS, pii.KINDS)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict_languages(docs, language.fit_language_model(docs))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.read_back(chat.format_conversations(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_pii": op7_pii,
+    "op8_language_id": op8_language_id,
+    "op9_chat_format": op9_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {
