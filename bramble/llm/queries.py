@@ -5,13 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bramble.llm.common import table
+from bramble.llm.common import scratch, table
 from bramble.llm.exact_dedup import exact_duplicates
-from bramble.llm import chat, language, pii, secret_scan
+from bramble.llm import chat, language, mixing, pii, secret_scan, warc
 from bramble.llm.spans import digest_columns
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
     return digest_columns(found, [r.kind for r in secret_scan.BASE_RULES], [r.kind for r in secret_scan.RULES])
@@ -32,6 +38,33 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, place = 1 AS k
 """
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    captures = warc.assemble(warc.read_records(spark, path, with_payload=False))
+    number = lambda name: F.nullif(F.try_element_at("metadata.fields", F.lit(name)), F.lit("")).cast("long")
+    return captures.select(
+        number("page-id").alias("page_id"),
+        F.col("response.payload_bytes").alias("payload_bytes"),
+        F.col("response.digest").alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        number("revisit-of").alias("refers_to"),
+    )
+
+
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages
+), h AS (
+  SELECT page_id, payload, first_id, page_id IS NOT NULL AND page_id <> first_id AS revisit, sha1(payload) AS hex FROM p
+)
+SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS INTEGER) >> CAST(15 - i % 4 * 5 AS INTEGER)) & 31 AS INTEGER) + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN revisit THEN first_id END AS refers_to
+FROM h
+"""
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_columns(pii.find_personal_data(table(spark, sf_dir, "documents")), pii.BASE_KINDS, pii.KINDS)
 
@@ -49,8 +82,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
     "op4_secret_scan": op4_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_warc": op6_warc,
     "op7_pii": op7_pii,
     "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
@@ -58,4 +93,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": OP5_SQL,
+    "op6_warc": OP6_SQL,
 }
