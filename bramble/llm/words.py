@@ -17,6 +17,9 @@ CHUNK_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything that is no letter, digit or part of a longer code point parts words too.
+MARKS = np.ones(256, dtype=bool)
+MARKS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _CODE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _FOLDED = _CODE.copy()
@@ -76,18 +79,28 @@ def chunks(at: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]
         first = last
 
 
-def words(body: np.ndarray, at: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def lower_latin(body: np.ndarray) -> np.ndarray:
+    """body with A-Z and the capitals of U+00C0 to U+00DE as small letters."""
+    out = body.copy()
+    capital = np.flatnonzero((body[:-1] == 0xC3) & (body[1:] >= 0x80) & (body[1:] <= 0x9E) & (body[1:] != 0x97)) + 1
+    out[capital] += 0x20
+    out[(body >= 0x41) & (body <= 0x5A)] += 0x20
+    return out
+
+
+def words(body: np.ndarray, at: np.ndarray, fold: bool = True, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, starts, ends, first) of the words of texts body[at[i]:at[i+1]].
 
     starts and ends are offsets into body; first[i] is the number of words
-    before text i, so text i has the words first[i]:first[i+1].
+    before text i, so text i has the words first[i]:first[i+1].  between marks
+    the bytes that part words.
     """
     lo, hi = int(at[0]), int(at[-1])
     text = body[lo:hi]
     if not len(text):
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, np.zeros(len(at), np.int64)
-    inside = ~_SPACE[text]
+    inside = ~between[text]
     border = np.zeros(len(text) + 1, dtype=bool)
     border[at - lo] = True
     opens = inside.copy()
