@@ -171,3 +171,22 @@ def predict_languages(docs: DataFrame, model: HierarchicalModel | None, id_col:
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), held_out_column(id_col).alias("held_out"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def reject_unknown(docs: DataFrame, model: HierarchicalModel | None, text_col: str = "text") -> DataFrame:
+    """docs whose language is recognised, in the same columns: texts without a letter go, nothing is shuffled.
+
+    Without a model nothing is rejected but those.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(text_col)
+            keep = np.zeros(batch.num_rows, bool)
+            for a, x in features(text):
+                letters = np.array([t is not None and any(map(str.isalpha, t)) for t in text.slice(a, len(x)).to_pylist()], bool)
+                lang = model.predict(x)[0] if model else np.full(len(x), "")
+                keep[a : a + len(x)] = letters & (lang != UNKNOWN)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

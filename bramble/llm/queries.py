@@ -10,9 +10,33 @@ from pyspark.sql import functions as F
 from bramble.llm.common import scratch, table
 from bramble.llm.exact_dedup import exact_duplicates
 from bramble.llm import chat, decontaminate, language, mixing, pii, secret_scan, toxicity, warc
+from bramble.llm.set_join import set_similarity_components
 from bramble.llm.spans import digest_columns
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_similarity_components(table(spark, sf_dir, "documents"), words=4, least=85)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) >= 4 THEN list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')))
+    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS grams FROM w
+), g AS (
+  SELECT doc_id, unnest(grams) AS gram FROM s
+), c AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL
+), e AS (
+  SELECT x, y FROM c JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE 100 * common >= 85 * (len(a.grams) + len(b.grams) - common)
+), r(doc_id, seen) AS (
+  SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.seen
+)
+SELECT s.doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, min(seen) AS component_id FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY ALL
+"""
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -91,6 +115,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_secret_scan": op4_secret_scan,
@@ -103,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard": OP1_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op6_warc": OP6_SQL,
 }
