@@ -1,14 +1,432 @@
-"""The registered queries over the driver's tables, and their DuckDB SQL."""
+"""The registered queries over the driver's tables, and their DuckDB SQL.
+
+Buckets: orders, customer, part, lineitem, events and embeddings as they are;
+``orders_doc`` is orders with their line items as an array of documents (missing
+where an order has none), ``conv_doc`` conversations with their turns.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bramble.operators import index as ix
+from bramble.operators import zmap
+from bramble.operators.bucket import Bucket, Catalog
+from bramble.operators.project import project
+from bramble.operators.sort import variant_key
+from bramble.operators.stash import Stash
+from bramble.plans import bql
+from bramble.plans.dynamic import DynamicCompiler
+from bramble.sources.documents import from_json, to_json
+from bramble.streaming import changelog
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+IDS = {"orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey", "events": "event_id", "embeddings": "vec_id", "documents": "doc_id", "nation": "n_nationkey", "region": "r_regionkey", "supplier": "s_suppkey"}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bucket(spark: SparkSession, sf_dir: str, name: str) -> Bucket:
+    return Bucket(name, table(spark, sf_dir, name), IDS.get(name, "_id"))
+
+
+def orders_doc(spark: SparkSession, sf_dir: str) -> Bucket:
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    return Bucket("orders_doc", table(spark, sf_dir, "orders").join(items, "o_orderkey", "left"), "o_orderkey")
+
+
+def conv_doc(spark: SparkSession, sf_dir: str) -> Bucket:
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    return Bucket("conv_doc", turns, "conv_id")
+
+
+def register(name: str, sql: str | None = None):
+    def add(query: Query) -> Query:
+        QUERIES[name] = query
+        if sql:
+            ORACLE_SQL[name] = sql
+        return query
+
+    return add
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    """Two bounds and an equality, sorted, limited and projected."""
+    return bucket(spark, sf_dir, "orders").query(
+        {"o_orderstatus": "F", "o_totalprice": {"$gte": 100000, "$lt": 200000}}, sort_by=("o_totalprice", "DESC"), limit=10, projection={"o_orderkey": 1, "o_custkey": 1, "o_totalprice": 1}
+    )
+
+
+register("bql_flagship", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 100000 AND o_totalprice < 200000 ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 10")(flagship)
+
+
+def _find(name: str, source: str, query: Any, columns: tuple[str, ...], where: str) -> None:
+    """A query for all the rows that a filter matches, and its SQL condition."""
+    register(name, f"SELECT {', '.join(columns)} FROM {source} WHERE {where}")(lambda s, d: bucket(s, d, source).find(query).select(*columns))
+
+
+def _find_doc(name: str, query: Any, where: str) -> None:
+    register(name, f"SELECT o_orderkey FROM orders WHERE {where}")(lambda s, d: orders_doc(s, d).find(query).select("o_orderkey"))
+
+
+def _some(condition: str) -> str:
+    return f"EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND {condition})"
+
+
+# predicates on scalars
+
+_find("bql_all", "region", {}, ("r_regionkey", "r_name"), "TRUE")
+_find("bql_eq", "orders", {"o_orderstatus": "F"}, ("o_orderkey",), "o_orderstatus = 'F'")
+_find("bql_ne", "customer", {"c_mktsegment": {"$ne": "BUILDING"}}, ("c_custkey",), "c_mktsegment IS NULL OR c_mktsegment <> 'BUILDING'")
+_find("bql_ne_type_mismatch", "customer", {"c_acctbal": {"$ne": "x"}}, ("c_custkey",), "c_acctbal IS NULL")
+_find("bql_nin_type_mismatch", "customer", {"c_acctbal": {"$nin": ["x"]}}, ("c_custkey",), "TRUE")
+_find("bql_range", "lineitem", {"l_quantity": {"$gte": 10, "$lt": 20}}, ("l_orderkey", "l_linenumber", "l_quantity"), "l_quantity >= 10 AND l_quantity < 20")
+_find("bql_gt_lte", "part", {"p_size": {"$gt": 10, "$lte": 12}}, ("p_partkey", "p_size"), "p_size > 10 AND p_size <= 12")
+_find("bql_widen_i64_double", "part", {"p_partkey": {"$gt": 1000.5}}, ("p_partkey",), "p_partkey > 1000")
+_find("bql_in", "part", {"p_type": {"$in": ["PROMO", "SMALL"]}}, ("p_partkey",), "p_type IN ('PROMO', 'SMALL')")
+_find("bql_nin", "part", {"p_type": {"$nin": ["PROMO", "SMALL"]}}, ("p_partkey",), "p_type IS NULL OR p_type NOT IN ('PROMO', 'SMALL')")
+_find("bql_in_regex", "part", {"p_type": {"$in": ["PROMO", {"$regularExpression": {"pattern": "^S", "options": ""}}]}}, ("p_partkey",), "p_type = 'PROMO' OR regexp_matches(p_type, '^S')")
+_find("bql_in_empty", "part", {"p_type": {"$in": []}}, ("p_partkey",), "FALSE")
+_find("bql_and", "orders", {"$and": [{"o_orderstatus": "O"}, {"o_totalprice": {"$lt": 50000}}]}, ("o_orderkey",), "o_orderstatus = 'O' AND o_totalprice < 50000")
+_find("bql_or", "orders", {"$or": [{"o_orderstatus": "P"}, {"o_totalprice": {"$gt": 400000}}]}, ("o_orderkey",), "o_orderstatus = 'P' OR o_totalprice > 400000")
+_find("bql_nor", "orders", {"$nor": [{"o_orderstatus": "P"}, {"o_totalprice": {"$gt": 400000}}]}, ("o_orderkey",), "NOT (o_orderstatus = 'P' OR o_totalprice > 400000)")
+_find("bql_not", "orders", {"o_totalprice": {"$not": {"$gte": 100000}}}, ("o_orderkey",), "NOT o_totalprice >= 100000")
+_find("bql_not_top", "orders", {"$not": {"o_orderstatus": "F", "o_custkey": {"$lt": 500}}}, ("o_orderkey",), "NOT (o_orderstatus = 'F' AND o_custkey < 500)")
+_find(
+    "bql_nested_logic", "orders", {"$or": [{"$and": [{"o_orderstatus": "F"}, {"$nor": [{"o_custkey": {"$lt": 700}}, {"o_totalprice": {"$gte": 300000}}]}]}, {"o_orderkey": {"$lte": 10}}]},
+    ("o_orderkey",), "(o_orderstatus = 'F' AND NOT (o_custkey < 700 OR o_totalprice >= 300000)) OR o_orderkey <= 10",
+)
+_find("bql_regex", "part", {"p_name": {"$regex": "1[0-4]$"}}, ("p_partkey",), "regexp_matches(p_name, '1[0-4]$')")
+_find("bql_regex_i", "part", {"p_type": {"$regex": "^small", "$options": "i"}}, ("p_partkey",), "regexp_matches(p_type, '^small', 'i')")
+_find("bql_not_regex", "part", {"p_type": {"$not": {"$regex": "^S"}}}, ("p_partkey",), "NOT regexp_matches(p_type, '^S')")
+_find("bql_date", "orders", {"o_orderdate": {"$gte": {"$date": "1997-01-01T00:00:00Z"}, "$lt": {"$date": "1998-01-01T00:00:00Z"}}}, ("o_orderkey",), "o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01'")
+_find("bql_date_string", "orders", {"o_orderdate": {"$lt": "2025-01-01"}}, ("o_orderkey",), "FALSE")
+_find("bql_object_id_string", "customer", {"c_name": "0123456789abcdef01234567"}, ("c_custkey",), "FALSE")
+_find("bql_contradiction", "orders", {"o_totalprice": {"$gt": 10, "$lt": 5}}, ("o_orderkey",), "FALSE")
+
+# predicates on arrays and documents
+
+_find_doc("bql_exists_false", {"items": {"$exists": False}}, f"NOT {_some('TRUE')}")
+_find_doc("bql_exists_true", {"items": {"$exists": True}}, _some("TRUE"))
+_find_doc("bql_null_eq", {"items": None}, f"NOT {_some('TRUE')}")
+_find_doc("bql_null_ne", {"items": {"$ne": None}}, _some("TRUE"))
+_find_doc("bql_in_null", {"items.l_quantity": {"$in": [None, 50]}}, f"NOT {_some('TRUE')} OR {_some('l_quantity = 50')}")
+_find_doc("bql_array_any", {"items.l_quantity": {"$gt": 45}}, _some("l_quantity > 45"))
+_find_doc("bql_array_ne", {"items.l_returnflag": {"$ne": "R"}}, f"NOT {_some(chr(39).join(['l_returnflag = ', 'R', '']))}")
+_find_doc("bql_array_nin", {"items.l_returnflag": {"$nin": ["R", "A"]}}, "NOT " + _some("l_returnflag IN ('R', 'A')"))
+_find_doc("bql_array_split_range", {"items.l_quantity": {"$gt": 45, "$lt": 5}}, f"{_some('l_quantity > 45')} AND {_some('l_quantity < 5')}")
+_find_doc("bql_elemmatch", {"items": {"$elemMatch": {"l_quantity": {"$gt": 45}, "l_returnflag": "R"}}}, _some("l_quantity > 45 AND l_returnflag = 'R'"))
+_find_doc("bql_elemmatch_or", {"items": {"$elemMatch": {"$or": [{"l_quantity": {"$gte": 49}}, {"l_discount": {"$gte": 0.1}}]}}}, _some("(l_quantity >= 49 OR l_discount >= 0.1)"))
+_find_doc("bql_elemmatch_not", {"items": {"$elemMatch": {"$not": {"l_returnflag": "N"}, "l_quantity": {"$lt": 10}}}}, _some("NOT l_returnflag = 'N' AND l_quantity < 10"))
+_find_doc("bql_not_elemmatch", {"items": {"$not": {"$elemMatch": {"l_quantity": {"$gt": 40}}}}}, f"NOT {_some('l_quantity > 40')}")
+_find_doc("bql_all_items", {"items.l_returnflag": {"$all": ["A", "R"]}}, _some("l_returnflag = 'A'") + " AND " + _some("l_returnflag = 'R'"))
+_find_doc("bql_size", {"items": {"$size": 4}}, "(SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) = 4")
+_find_doc(
+    "bql_index_path", {"items.0.l_quantity": {"$gte": 40}},
+    "o_orderkey IN (SELECT l_orderkey FROM (SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n FROM lineitem) WHERE n = 1 AND l_quantity >= 40)",
+)
+
+
+@register("bql_elemmatch_scalar", "SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: x > 0.3::DOUBLE AND x < 0.31::DOUBLE)) > 0")
+def bql_elemmatch_scalar(spark, sf_dir):
+    return bucket(spark, sf_dir, "embeddings").find({"embedding": {"$elemMatch": {"$gt": 0.3, "$lt": 0.31}}}).select("vec_id")
+
+
+@register("bql_nested_document", "SELECT c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA' AND c_acctbal > 5000")
+def bql_nested_document(spark, sf_dir):
+    """Customers with their nation and region as nested documents."""
+    nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    nested = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.struct(F.col("n_name").alias("name"), F.struct(F.col("r_name").alias("name")).alias("region")).alias("nation"))
+    rows = table(spark, sf_dir, "customer").join(F.broadcast(nested), "c_nationkey")
+    return Bucket("customer_doc", rows, "c_custkey").find({"nation.region.name": "ASIA", "c_acctbal": {"$gt": 5000}}).select("c_custkey")
+
+
+def _dynamic(query: Any):
+    return lambda s, d: from_json(table(s, d, "events").select("event_id", "props"), "props").where(DynamicCompiler().condition(bql.parse(query))).select("event_id")
+
+
+register("json_variant_range", "SELECT event_id FROM events WHERE CAST(props->>'k' AS INT) >= 50")(_dynamic({"k": {"$gte": 50}}))
+register("json_variant_in", "SELECT event_id FROM events WHERE CAST(props->>'k' AS INT) IN (1, 2, 3)")(_dynamic({"k": {"$in": [1, 2.0, 3, "x"]}}))
+register("json_variant_exists", "SELECT event_id FROM events WHERE json_exists(props, '$.zz')")(_dynamic({"zz": {"$exists": True}}))
+register("json_variant_not", "SELECT event_id FROM events WHERE NOT CAST(props->>'k' AS INT) < 90")(_dynamic({"k": {"$not": {"$lt": 90}}}))
+
+
+@register("json_variant_sort", "SELECT event_id, CAST(props->>'k' AS INT) AS k FROM events ORDER BY CAST(props->>'k' AS INT) DESC, event_id LIMIT 20")
+def json_variant_sort(spark, sf_dir):
+    rows = from_json(table(spark, sf_dir, "events").select("event_id", "props"), "props").select("event_id", F.try_variant_get("_doc", "$.k", "variant").alias("v"))
+    return rows.orderBy(variant_key(F.col("v")).desc(), "event_id").limit(20).select("event_id", F.try_variant_get("v", "$", "int").alias("k"))
+
+
+# projections
+
+_ITEMS = "(SELECT l_orderkey, list(struct_pack(q := l_quantity, f := l_returnflag) ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS items FROM lineitem GROUP BY l_orderkey)"
+_DOC = f"orders LEFT JOIN {_ITEMS} ON l_orderkey = o_orderkey"
+
+
+def _projected(name: str, spec: dict, out: list, sql: str, query: Any = None) -> None:
+    def run(spark, sf_dir):
+        b = orders_doc(spark, sf_dir)
+        return b.query(query or {}, projection=spec, limit=None).select(*[F.expr(e).alias(n) for n, e in out])
+
+    register(name, sql)(run)
+
+
+_projected("proj_include", {"o_custkey": 1, "o_orderstatus": 1}, [("o_orderkey", "o_orderkey"), ("o_custkey", "o_custkey"), ("o_orderstatus", "o_orderstatus")], "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+_projected("proj_include_without_id", {"o_orderkey": 0, "o_custkey": 1}, [("o_custkey", "o_custkey")], "SELECT o_custkey FROM orders")
+_projected(
+    "proj_exclude", {"items": 0, "o_orderdate": 0}, [("o_orderkey", "o_orderkey"), ("o_custkey", "o_custkey"), ("o_orderstatus", "o_orderstatus"), ("o_totalprice", "o_totalprice"), ("o_orderpriority", "o_orderpriority")],
+    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders",
+)
+_projected("proj_nested", {"items.l_quantity": 1}, [("o_orderkey", "o_orderkey"), ("quantity", "aggregate(transform(items, x -> x.l_quantity), 0D, (a, x) -> a + x)")], f"SELECT o_orderkey, list_sum(list_transform(items, lambda x: x.q)) AS quantity FROM {_DOC}")
+_projected("proj_nested_exclude", {"items.l_extendedprice": 0, "items.l_discount": 0}, [("o_orderkey", "o_orderkey"), ("n", "coalesce(size(items), -1)"), ("flags", "array_join(transform(items, x -> x.l_returnflag), '')")], f"SELECT o_orderkey, CAST(coalesce(len(items), -1) AS INT) AS n, array_to_string(list_transform(items, lambda x: x.f), '') AS flags FROM {_DOC}")
+_Q = "array_join(transform(items, x -> cast(cast(x.l_quantity AS int) AS string)), ',')"
+_QS = "array_to_string(list_transform({}, lambda x: CAST(CAST(x.q AS INT) AS VARCHAR)), ',')"
+_projected("proj_slice", {"items": {"$slice": 2}}, [("o_orderkey", "o_orderkey"), ("q", _Q)], f"SELECT o_orderkey, {_QS.format('items[1:2]')} AS q FROM {_DOC}")
+_projected("proj_slice_neg", {"items": {"$slice": -2}}, [("o_orderkey", "o_orderkey"), ("q", _Q)], f"SELECT o_orderkey, {_QS.format('items[greatest(len(items) - 1, 1):]')} AS q FROM {_DOC}")
+_projected("proj_slice_skip", {"items": {"$slice": [1, 2]}}, [("o_orderkey", "o_orderkey"), ("q", _Q)], f"SELECT o_orderkey, {_QS.format('items[2:3]')} AS q FROM {_DOC}")
+_projected(
+    "proj_positional", {"items.$": 1}, [("o_orderkey", "o_orderkey"), ("q", _Q)],
+    f"SELECT o_orderkey, {_QS.format('list_filter(items, lambda x: x.q > 45)[1:1]')} AS q FROM {_DOC} WHERE len(list_filter(items, lambda x: x.q > 45)) > 0", {"items.l_quantity": {"$gt": 45}},
+)
+
+
+@register("proj_conversation_slice", "SELECT conv_id, max(role) FILTER (WHERE n = 1) AS role, CAST(count(*) FILTER (WHERE n <= 3) AS INT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations) GROUP BY conv_id")
+def proj_conversation_slice(spark, sf_dir):
+    rows = project(conv_doc(spark, sf_dir).table, {"turns": {"$slice": 3}}, id_col="conv_id")
+    return rows.select("conv_id", F.get("turns.role", F.lit(0)).alias("role"), F.size("turns").alias("n"))
+
+
+# sorts, limits, cursors
+
+def _sorted(name: str, options: dict, columns: str, tail: str) -> None:
+    register(name, f"SELECT {columns} FROM {tail}")(lambda s, d: bucket(s, d, "orders").query(**options).select(*columns.split(", ")))
+
+
+_sorted("sort_asc", {"query": {"o_orderstatus": "O"}, "sort_by": ("o_totalprice", "ASC"), "limit": 25}, "o_orderkey, o_totalprice", "orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice, o_orderkey LIMIT 25")
+_sorted("sort_desc", {"query": {}, "sort_by": ("o_totalprice", "DESC"), "limit": 25}, "o_orderkey, o_totalprice", "orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 25")
+_sorted("limit_default", {"query": {"o_custkey": {"$gt": 10}}}, "o_orderkey, o_custkey", "orders WHERE o_custkey > 10 ORDER BY o_orderkey LIMIT 100")
+_sorted("result_sort", {"query": {"o_orderstatus": "F"}, "result_sort": ("o_totalprice", "DESC"), "limit": 30}, "o_orderkey, o_totalprice", "orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 30")
+_sorted("sort_in", {"query": {"o_orderpriority": {"$in": ["1-URGENT", "5-LOW"]}}, "sort_by": ("o_orderpriority", "ASC"), "limit": 40}, "o_orderkey, o_orderpriority", "orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') ORDER BY o_orderpriority, o_orderkey LIMIT 40")
+
+
+@register("cursor_page2", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'P' ORDER BY o_totalprice, o_orderkey LIMIT 50 OFFSET 50")
+def cursor_page2(spark, sf_dir):
+    cursor = bucket(spark, sf_dir, "orders").cursor({"o_orderstatus": "P"}, sort_by=("o_totalprice", "ASC"), limit=50)
+    cursor.advance()
+    return cursor.page().select("o_orderkey", "o_totalprice")
+
+
+@register("collation_ci", "SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'building'")
+def collation_ci(spark, sf_dir):
+    return bucket(spark, sf_dir, "customer").find({"c_mktsegment": "building"}, {"locale": "en", "strength": 2}).select("c_custkey")
+
+
+@register("collation_numeric", "SELECT p_partkey FROM part WHERE CAST(regexp_extract(p_brand, '[0-9]+') AS INT) > 34")
+def collation_numeric(spark, sf_dir):
+    return bucket(spark, sf_dir, "part").find({"p_brand": {"$gt": "Brand#34"}}, {"locale": "en", "numeric_ordering": True}).select("p_partkey")
+
+
+# vectors
+
+_V0 = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
+
+
+def _vector(name: str, sql: str, **options: Any) -> None:
+    def run(spark, sf_dir):
+        b = bucket(spark, sf_dir, "embeddings")
+        q = [float(x) for x in b.table.where("vec_id = 0").first()["embedding"]]  # the stated query vector
+        return b.vector("embedding", q, **options).select("vec_id")
+
+    register(name, sql)(run)
+
+
+_C = f"list_cosine_similarity(embedding::DOUBLE[], {_V0}::DOUBLE[])"
+_vector("vec_cosine", f"SELECT vec_id FROM embeddings ORDER BY {_C} DESC, vec_id LIMIT 10")
+_vector("vec_euclid", f"SELECT vec_id FROM embeddings ORDER BY list_distance(embedding::DOUBLE[], {_V0}::DOUBLE[]), vec_id LIMIT 20", distance="EUCLIDEAN", top=20)
+_vector("vec_dot", f"SELECT vec_id FROM embeddings ORDER BY list_dot_product(embedding::DOUBLE[], {_V0}::DOUBLE[]) DESC, vec_id LIMIT 10", distance="DOT_PRODUCT")
+_vector("vec_threshold", f"SELECT vec_id FROM embeddings WHERE (1 + {_C}) / 2 >= 0.6 ORDER BY {_C} DESC, vec_id LIMIT 100", threshold=0.6, top=100)
+_vector("vec_filter", f"SELECT vec_id FROM embeddings WHERE label IN (1, 2) ORDER BY {_C} DESC, vec_id LIMIT 10", filter={"label": {"$in": [1, 2]}}, candidates=None)
+_vector("vec_candidates", f"SELECT vec_id FROM (SELECT * FROM embeddings ORDER BY {_C} DESC, vec_id LIMIT 50) WHERE label = 3 ORDER BY {_C} DESC, vec_id LIMIT 10", filter={"label": 3}, candidates=50)
+
+
+# updates and deletes
+
+def _updated(name: str, sql: str, columns: list[str], query: Any, spec: dict, source=None, **options: Any) -> None:
+    def run(spark, sf_dir):
+        b = source(spark, sf_dir) if source else bucket(spark, sf_dir, "orders")
+        return b.update(query, spec, **options)[0].table.selectExpr(*columns)
+
+    register(name, sql)(run)
+
+
+_updated("upd_set", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders", ["o_orderkey", "o_orderstatus"], {"o_orderstatus": "P"}, {"$set": {"o_orderstatus": "X"}})
+_updated("upd_set_new", "SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'big' END AS note FROM orders", ["o_orderkey", "note"], {"o_totalprice": {"$gt": 300000}}, {"$set": {"note": "big"}})
+_updated("upd_unset", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders", ["o_orderkey", "o_orderpriority"], {"o_orderstatus": "F"}, {"$unset": ["o_orderpriority"]})
+_updated(
+    "upd_limit", "SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 7) THEN 'Z' ELSE o_orderstatus END AS o_orderstatus FROM orders",
+    ["o_orderkey", "o_orderstatus"], {"o_orderstatus": "O"}, {"$set": {"o_orderstatus": "Z"}}, sort_by=("o_totalprice", "DESC"), limit=7,
+)
+_FLAGS = ["o_orderkey", "array_join(transform(items, x -> x.l_returnflag), '') AS flags"]
+_updated("upd_array_all", f"SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN repeat('X', len(items)) ELSE array_to_string(list_transform(items, lambda x: x.f), '') END AS flags FROM {_DOC}", _FLAGS, {"o_orderstatus": "F"}, {"$set": {"items.$[].l_returnflag": "X"}}, orders_doc)
+_updated("upd_array_filter", f"SELECT o_orderkey, array_to_string(list_transform(items, lambda x: CASE WHEN x.q >= 40 THEN 'B' ELSE x.f END), '') AS flags FROM {_DOC}", _FLAGS, {}, {"$set": {"items.$[big].l_returnflag": "B"}, "array_filters": [{"big.l_quantity": {"$gte": 40}}]}, orders_doc)
+_updated("upd_array_filter_unset", f"SELECT o_orderkey, array_to_string(list_transform(list_filter(items, lambda x: x.q < 40), lambda x: x.f), '') AS flags FROM {_DOC}", _FLAGS, {}, {"$unset": ["items.$[big]"], "array_filters": [{"big.l_quantity": {"$gte": 40}}]}, orders_doc)
+_FIRST = "len(list_filter(items[1:i - 1], lambda y: y.q > 45)) = 0 AND x.q > 45"
+_updated("upd_positional", f"SELECT o_orderkey, array_to_string(list_transform(items, lambda x, i: CASE WHEN {_FIRST} THEN 'P' ELSE x.f END), '') AS flags FROM {_DOC}", _FLAGS, {"items.l_quantity": {"$gt": 45}}, {"$set": {"items.$.l_returnflag": "P"}}, orders_doc)
+_updated("upd_index", f"SELECT o_orderkey, array_to_string(list_transform(items, lambda x, i: CASE WHEN i = 2 THEN 'I' ELSE x.f END), '') AS flags FROM {_DOC}", _FLAGS, {}, {"$set": {"items.1.l_returnflag": "I"}}, orders_doc)
+_updated("upsert_insert", "SELECT o_orderkey, o_orderstatus FROM orders UNION ALL SELECT -5, 'N'", ["o_orderkey", "o_orderstatus"], {"o_orderkey": -5}, {"$set": {"o_orderstatus": "N"}, "upsert": True})
+_updated("upsert_update", "SELECT o_orderkey, CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders) OR o_orderstatus = 'P' THEN 'N' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderstatus <> 'none'", ["o_orderkey", "o_orderstatus"], {"$or": [{"o_orderstatus": "P"}, {"o_orderkey": {"$lte": 0}}]}, {"$set": {"o_orderstatus": "N"}, "upsert": True})
+
+
+@register("upd_changed_ids", "SELECT o_orderkey FROM orders WHERE o_totalprice > 200000 AND o_orderstatus <> 'F'")
+def upd_changed_ids(spark, sf_dir):
+    return bucket(spark, sf_dir, "orders").update({"o_totalprice": {"$gt": 200000}}, {"$set": {"o_orderstatus": "F"}})[1]
+
+
+@register("del_matches", "SELECT o_orderkey FROM orders WHERE NOT o_orderstatus = 'F'")
+def del_matches(spark, sf_dir):
+    return bucket(spark, sf_dir, "orders").delete({"o_orderstatus": "F"})[0].table.select("o_orderkey")
+
+
+@register("del_limit", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 12)")
+def del_limit(spark, sf_dir):
+    return bucket(spark, sf_dir, "orders").delete({"o_orderstatus": "F"}, limit=12)[0].table.select("o_orderkey")
+
+
+# indexes and statistics
+
+@register("stats_histogram", "SELECT CAST(bucket AS INT) AS bucket, min(v) AS low, max(v) AS high, count(*) AS distinct_values FROM (SELECT v, ntile(10) OVER (ORDER BY v) AS bucket FROM (SELECT DISTINCT l_quantity AS v FROM lineitem)) GROUP BY bucket")
+def stats_histogram(spark, sf_dir):
+    return ix.histogram(table(spark, sf_dir, "lineitem"), "l_quantity").drop("percentile")
+
+
+@register("index_duplicates", "SELECT l_orderkey AS k0, l_linenumber AS k1, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def index_duplicates(spark, sf_dir):
+    return ix.duplicates(table(spark, sf_dir, "lineitem"), ix.Index("line", ("l_orderkey", "l_linenumber"), ("int64", "int32"), "compound", unique=True))
+
+
+@register("index_multi_key_entries", "SELECT DISTINCT l_returnflag AS k0, o_orderkey FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey")
+def index_multi_key_entries(spark, sf_dir):
+    return ix.entries(orders_doc(spark, sf_dir).table, ix.Index("flags", ("items.l_returnflag",), ("string",), multi_key=True), "o_orderkey")
+
+
+# the ordered key-value model
+
+def orders_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zero-padded order keys to customer numbers as 64-bit integers."""
+    rows = table(spark, sf_dir, "orders")
+    return rows.select(F.lpad(F.col("o_orderkey").cast("string"), 12, "0").cast("binary").alias("key"), zmap.i64_bytes(F.col("o_custkey")).alias("value"))
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("key").cast("string").alias("key"), zmap.i64(F.col("value")).alias("value"))
+
+
+_KEY = "lpad(CAST(o_orderkey AS VARCHAR), 12, '0')"
+_MAP = f"(SELECT {_KEY} AS key, o_custkey AS value FROM orders)"
+
+
+def _zmap(name: str, sql: str, run) -> None:
+    register(name, sql)(lambda s, d: run(orders_map(s, d)))
+
+
+_zmap("zmap_range", f"SELECT * FROM {_MAP} WHERE key >= '000000000100' AND key <= '000000000300' ORDER BY key LIMIT 100", lambda m: _shown(zmap.get_range(m, "000000000100", "000000000300")))
+_zmap("zmap_range_rev", f"SELECT * FROM {_MAP} WHERE key >= '000000000100' ORDER BY key DESC LIMIT 20", lambda m: _shown(zmap.get_range(m, "000000000100", "*", limit=20, reverse=True)))
+_zmap("zmap_range_selectors", f"SELECT * FROM {_MAP} WHERE key > '000000000100' AND key < '000000000300'", lambda m: _shown(zmap.get_range(m, "000000000100", "000000000300", limit=None, begin_selector="FIRST_GREATER_THAN", end_selector="FIRST_GREATER_OR_EQUAL")))
+for _selector, _sql in {"FIRST_GREATER_OR_EQUAL": "min(key) FILTER (WHERE key >= {})", "FIRST_GREATER_THAN": "min(key) FILTER (WHERE key > {})", "LAST_LESS_THAN": "max(key) FILTER (WHERE key < {})", "LAST_LESS_OR_EQUAL": "max(key) FILTER (WHERE key <= {})"}.items():
+    _at = "'000000000123'"
+    _zmap(f"zmap_getkey_{_selector.lower()}", f"SELECT {_sql.format(_at)} AS key FROM {_MAP}", lambda m, s=_selector: zmap.get_key(m, "000000000123", s).select(F.col("key").cast("string").alias("key")))
+_zmap("zmap_get", f"SELECT value FROM {_MAP} WHERE key = '000000000007'", lambda m: zmap.get_i64(m, "000000000007"))
+_zmap("zmap_delrange", f"SELECT * FROM {_MAP} WHERE NOT (key >= '000000000100' AND key < '000000005000')", lambda m: _shown(zmap.delete_range(m, "000000000100", "000000005000")))
+_zmap("zmap_range_size", f"SELECT CAST(coalesce(sum(12 + 8), 0) AS BIGINT) AS bytes FROM {_MAP} WHERE key >= '000000000100' AND key < '000000005000'", lambda m: zmap.range_size(m, "000000000100", "000000005000"))
+_zmap("zmap_put", f"SELECT * FROM {_MAP} WHERE key <> '000000000007' UNION ALL SELECT '000000000007', 77", lambda m: _shown(zmap.put_i64(m, "000000000007", 77)))
+
+
+def _mutated(name: str, sql: str, kind: str) -> None:
+    def run(spark, sf_dir):
+        lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 <> 0")
+        batch = lines.select(F.lpad(F.col("l_orderkey").cast("string"), 12, "0").cast("binary").alias("key"), zmap.i64_bytes(F.col("l_partkey")).alias("param"))
+        return _shown(zmap.mutate(orders_map(spark, sf_dir), batch, kind))
+
+    register(name, f"SELECT key, CAST({sql} AS BIGINT) AS value FROM (SELECT * FROM {_MAP} UNION ALL SELECT lpad(CAST(l_orderkey AS VARCHAR), 12, '0'), l_partkey FROM lineitem WHERE l_orderkey % 3 <> 0) GROUP BY key")(run)
+
+
+_mutated("zmap_add", "sum(value)", "ADD")
+_mutated("zmap_max", "max(value)", "MAX")
+_mutated("zmap_min", "min(value)", "MIN")
+_mutated("zmap_bit_or", "bit_or(value)", "BIT_OR")
+_mutated("zmap_bit_and", "bit_and(value)", "BIT_AND")
+_mutated("zmap_bit_xor", "bit_xor(value)", "BIT_XOR")
+
+
+@register("zmap_compare_and_clear", f"SELECT * FROM {_MAP} WHERE value <> 42")
+def zmap_compare_and_clear(spark, sf_dir):
+    m = orders_map(spark, sf_dir)
+    return _shown(zmap.mutate(m, m.select("key", F.lit(zmap.encode_i64(42)).alias("param")), "COMPARE_AND_CLEAR"))
+
+
+# change logs
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as changes of their users' last value: purchases set it, the type 'view' deletes it."""
+    op = F.when(F.col("user_id") % 4 == 0, F.lit("DELETE")).otherwise(F.lit("SET"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), op.alias("op"), F.col("user_id").cast("string").cast("binary").alias("key"), F.col("event_id").cast("string").cast("binary").alias("value"))
+
+
+@register("changelog_range", "SELECT event_id AS seq FROM events WHERE event_id > 100 AND event_id <= 5000 ORDER BY event_id DESC LIMIT 1000")
+def changelog_range(spark, sf_dir):
+    return changelog.changes_between(_changes(spark, sf_dir), 100, 5000, begin_inclusive=False, end_inclusive=True, reverse=True).select("seq")
+
+
+@register("changelog_replay", "SELECT CAST(user_id AS VARCHAR) AS key, CAST(max(event_id) AS VARCHAR) AS value FROM events WHERE user_id % 4 <> 0 GROUP BY user_id")
+def changelog_replay(spark, sf_dir):
+    base = spark.createDataFrame([], "key binary, value binary")
+    return changelog.replay(base, _changes(spark, sf_dir)).select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+@register("changelog_watch", "SELECT event_id AS seq FROM events WHERE user_id = 5")
+def changelog_watch(spark, sf_dir):
+    return changelog.watch(_changes(spark, sf_dir), b"5").select("seq")
+
+
+# stash, namespaces, JSON
+
+@register("stash_bulk", "SELECT n_name AS key, CAST(n_regionkey AS VARCHAR) AS value FROM nation")
+def stash_bulk(spark, sf_dir):
+    stash = Stash(spark)
+    stash.bulk_load(table(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value")))
+    return stash.live().select("key", F.col("str").cast("string").alias("value"))
+
+
+@register("stash_commands", "SELECT 'AFRICA' AS key, '12' AS value UNION ALL SELECT 'b', 'xy'")
+def stash_commands(spark, sf_dir):
+    stash = Stash(spark)
+    stash.set("AFRICA", 10)
+    stash.incrby("AFRICA", 2)
+    stash.append("a", "x")
+    stash.append("a", "y")
+    stash.rename("a", "b")
+    return stash.live().select("key", F.col("str").cast("string").alias("value"))
+
+
+@register("ns_list", "SELECT r_name AS namespace FROM region")
+def ns_list(spark, sf_dir):
+    session = Catalog(spark).session()
+    for r in table(spark, sf_dir, "region").collect():
+        session.namespace_create(f"geo.{r['r_name'].replace(' ', '_')}")
+    return spark.createDataFrame([(n.replace("_", " "),) for n in session.namespace_list("geo")], "namespace string")
+
+
+@register("json_round_trip", "SELECT n_nationkey, n_name FROM nation")
+def json_round_trip(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return from_json(to_json(rows), "json", rows.schema)
