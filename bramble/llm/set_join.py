@@ -53,6 +53,8 @@ COMMON = 24
 LAST = np.uint32(1 << 30)
 #: Sets in a block of an index list, on average at most.
 BLOCK_SETS = 128
+#: Steps of a block's size (to the factor e) and of its overlap with the leader; a block's bounds are as tight as these.
+CLASSES = 64
 _MASK = np.uint64(0xFFFFFFFFFFFFFF00)
 
 
@@ -272,9 +274,10 @@ def _open_pairs(lists: DataFrame, answers: DataFrame, components: DataFrame, lea
     major = counts.groupBy("token").agg(F.max(F.struct("count", "component")).alias("top")).select("token", F.col("top.component").alias("major"))
     entries = entries.join(materialize(major), "token").withColumn("minor", F.col("component") != F.col("major"))
     place = [
-        F.floor(F.log(F.col("n").cast("double")) * 8).cast("int").alias("size_class"),
-        F.floor(F.col("position") * 16 / F.col("n")).cast("int").alias("position_class"),
-        F.floor(F.col("inside") * 16 / F.col("n")).cast("int").alias("inside_class"),
+        F.floor(F.log(F.col("n").cast("double")) * CLASSES).cast("int").alias("size_class"),
+        F.floor(F.col("position") * 4 / F.col("n")).cast("int").alias("position_class"),
+        F.floor(F.col("inside") * CLASSES / F.col("n")).cast("int").alias("inside_class"),
+        F.floor(F.col("outside") * CLASSES / F.col("n")).cast("int").alias("outside_class"),
         F.pmod(F.xxhash64("id"), F.ceil(F.col("held") / BLOCK_SETS)).cast("int").alias("salt"),
     ]
     blocks = entries.groupBy("token", "minor", *place).agg(
