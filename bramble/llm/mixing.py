@@ -150,6 +150,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, seed: int = 11) -> DataFrame:
-    """docs that the mix takes, with how often: its columns and ``copies``.  Ids must be unique and not null."""
-    plan = mix_sources(docs, id_col, text_col, source_col, weights, seed).where("copies > 0").select(F.col("doc_id").alias(id_col), "copies")
-    return docs.join(plan, id_col).select(*[docs[c] for c in docs.columns], "copies")
+    """docs that the mix takes, with how often: its columns and ``copies``, which replaces a column of that name.
+
+    Rows under one id, also those without one, share the largest number of the id.
+    """
+    docs = docs.drop("copies")
+    plan = mix_sources(docs, id_col, text_col, source_col, weights, seed).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    plan = plan.select(F.col("doc_id").alias("__mixed_id"), "copies")
+    return docs.join(plan, F.col(f"`{id_col}`").eqNullSafe(F.col("__mixed_id"))).drop("__mixed_id")

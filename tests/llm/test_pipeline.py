@@ -43,3 +43,31 @@ def test_stages(spark):
         kept = got
     again = {(r.doc_id, r.copies) for r in corpus_pipeline.run(spark, SF).collect()}
     assert again == {(i, r.copies) for i, r in kept.items()}
+
+
+def test_awkward_rows_and_empty_tables(spark, small_tables, empty_tables, tmp_path):
+    """Nulls, repeated rows, clashing columns and a long text pass through every stage; empty tables stay empty."""
+    spark.createDataFrame([(1, "mail a b c org 4111 1111 1111"), (2, None)], "item_id long, text string").write.parquet(f"{small_tables}/benchmark.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty_tables}/benchmark.parquet")
+    docs = spark.read.parquet(f"{small_tables}/documents.parquet")
+    left = [{1, 2, 3, 7, 8, 9, 10, None}, {1, 7, 8, 9, 10, None}, {1, 7, 8, 9, 10, None}, {1, 7, 9, 10, None}]
+    for (name, stage), want in zip(corpus_pipeline.STAGES, left):
+        out = stage(spark, docs, small_tables)
+        assert out.columns == docs.columns, name
+        assert {r.doc_id for r in out.collect()} == want, name
+        path = f"{tmp_path}/{name.replace(' ', '_')}"
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, small_tables)
+    assert mixed.columns == [*docs.columns, "copies"]
+    assert {r.doc_id for r in mixed.collect()} <= left[-1]
+    assert corpus_pipeline.run(spark, empty_tables).count() == 0
+
+
+def test_last_stage_on_repeated_and_null_ids(spark):
+    rows = [(1, "a b c", "x", 7), (1, "a b c", "x", 7), (None, "d e", "y", 7), (None, "f g h i", "y", 7), (2, "j", None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int")
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert out.columns == ["doc_id", "text", "source", "copies"]
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert len(got) == len(set(got)) + got.count((1, "a b c")) - min(1, got.count((1, "a b c")))
