@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from bramble.functions.collation import Collation, resolve_collation
 from bramble.functions.paths import Row
+from bramble.operators import dynamic
 from bramble.operators import index as indexes
 from bramble.operators import update as updates
 from bramble.operators.project import project
@@ -28,7 +29,9 @@ from bramble.operators.vector import DEFAULT_CANDIDATES, DEFAULT_TOP, vector_sea
 from bramble.plans import bql
 from bramble.plans.bql import And, BqlError, Const, Leaf, Or
 from bramble.plans.compiler import Compiler
+from bramble.plans.dynamic import DynamicCompiler
 from bramble.plans.normalize import explain, normalize
+from bramble.sources.documents import DOCUMENT, is_dynamic
 
 DEFAULT_LIMIT = 100
 ID = "_id"
@@ -50,6 +53,14 @@ class Bucket:
     collation: Collation | None = None
     removed: bool = False
 
+    @property
+    def dynamic(self) -> bool:
+        """Whether documents are schemaless, in one VARIANT column."""
+        return is_dynamic(self.table)
+
+    def compiler(self, collation: Collation | None = None) -> Compiler:
+        return DynamicCompiler(DOCUMENT) if self.dynamic else Compiler(self.table.schema, collation)
+
     def _scalar(self, path: str) -> bool:
         value = Row(self.table.schema).at(path)
         return value.kind is not None and not value.is_array
@@ -63,7 +74,7 @@ class Bucket:
         tree = self.tree(query if query is not None else {})
         if tree == Const(True):
             return self.table
-        return self.table.where(Compiler(self.table.schema, self._collation(tree, collation)).condition(tree))
+        return self.table.where(self.compiler(self._collation(tree, collation)).condition(tree))
 
     def _collation(self, tree: Any, given: Any) -> Collation | None:
         if given is not None:
@@ -91,6 +102,8 @@ class Bucket:
             rows = rows.orderBy(self.id_col).limit(limit)
         if result_sort:
             rows = rows.orderBy(*sort_order(rows, *result_sort, id_col=self.id_col, collation=collated))
+        if self.dynamic:
+            return dynamic.project_dynamic(rows, projection or {}, tree, self.id_col)
         return project(rows, projection or {}, tree, self.id_col)
 
     def check_sort(self, tree: Any, field_name: str, collation: Collation | None = None) -> None:
@@ -142,7 +155,10 @@ class Bucket:
     def insert(self, documents: DataFrame | Iterable[Mapping[str, Any]]) -> Bucket:
         """With more documents; ids are generated where absent, and uniqueness is checked."""
         spark = self.table.sparkSession
-        if not isinstance(documents, DataFrame):
+        if self.dynamic and not isinstance(documents, DataFrame):
+            rows = [(d.get(self.id_col) or new_object_id(), json.dumps({k: v for k, v in d.items() if k != self.id_col}, default=str)) for d in documents]
+            documents = spark.createDataFrame(rows, f"`{self.id_col}` {self._id_type().simpleString()}, json string").select(self.id_col, F.parse_json("json").alias(DOCUMENT))
+        elif not isinstance(documents, DataFrame):
             rows = [json.dumps(d, default=str) for d in documents]
             kinds = self.table.schema.simpleString() if self.table.columns else None
             text = spark.createDataFrame([(r,) for r in rows], "json string")
@@ -167,6 +183,9 @@ class Bucket:
         order = sort_order(self.table, *sort_by, id_col=self.id_col) if sort_by else None
         if new_id is None and isinstance(self._id_type(), T.StringType):
             new_id = new_object_id()
+        if self.dynamic:
+            changed = dynamic.update_dynamic(self.table, tree, spec, id_col=self.id_col, limit=limit, order=order, new_id=new_id)
+            return replace(self, table=changed.table), changed.ids
         done = updates.update(self.table, tree, spec, id_col=self.id_col, limit=limit, order=order, new_id=new_id, collation=self._collation(tree, collation))
         for one in self.indexes.values():
             indexes.check_unique(done.table, one)
@@ -174,7 +193,8 @@ class Bucket:
 
     def delete(self, query: Any, *, limit: int | None = None, collation: Any = None) -> tuple[Bucket, DataFrame]:
         tree = bql.parse(query) if isinstance(query, str | bytes | Mapping) else query
-        done = updates.delete(self.table, tree, id_col=self.id_col, limit=limit, collation=self._collation(tree, collation))
+        compiler = self.compiler(self._collation(tree, collation))
+        done = updates.delete(self.table, tree, id_col=self.id_col, limit=limit, compiler=compiler)
         return replace(self, table=done.table), done.ids
 
     def create_index(self, spec: Mapping[str, Any], strict_types: bool = True) -> Bucket:
@@ -198,6 +218,11 @@ class Bucket:
         one = self.indexes[name]
         return {"name": one.name, "selectors": list(one.fields), "types": list(one.types), "kind": one.kind, "unique": one.unique, "multi_key": one.multi_key, "status": one.status}
 
+    def index_tasks(self, name: str) -> list[dict[str, Any]]:
+        """The work left on an index: none, as an index is built when it is created."""
+        self.describe_index(name)
+        return []
+
     def analyze_index(self, name: str) -> tuple[int, DataFrame]:
         """(cardinality, histogram of the first field)."""
         one = self.indexes[name]
@@ -348,12 +373,12 @@ class Session:
             raise BqlError(f"no bucket {name!r}")
         return found
 
-    def create(self, name: str, table: DataFrame | None = None, *, indexes: Mapping[str, Any] | None = None, collation: Any = None, id_col: str = ID, if_not_exists: bool = False) -> Bucket:
+    def create(self, name: str, table: DataFrame | None = None, *, indexes: Mapping[str, Any] | None = None, collation: Any = None, id_col: str = ID, if_not_exists: bool = False, dynamic: bool = False) -> Bucket:
         if name in self.catalog.namespaces[self._existing(self.namespace)]:
             if if_not_exists:
                 return self.bucket(name)
             raise BqlError(f"bucket {name!r} exists")
-        table = table if table is not None else self.catalog.spark.createDataFrame([], f"{id_col} string")
+        table = table if table is not None else self.catalog.spark.createDataFrame([], f"{id_col} string" + (f", {DOCUMENT} variant" if dynamic else ""))
         made = Bucket(name, table, id_col, collation=Collation.of(collation))
         made = made.create_index(indexes) if indexes else made
         self._put(made)

@@ -125,6 +125,11 @@ def sorted_layout(df: DataFrame, index: Index, partitions: int | None = None) ->
     return spread.sortWithinPartitions(*keys)
 
 
+def write_bucket(df: DataFrame, path: str, index: Index | None = None, partitions: int | None = None) -> None:
+    """df as Parquet, laid out by an index so that scans with its conditions skip row groups."""
+    (sorted_layout(df, index, partitions) if index else df).write.mode("overwrite").parquet(path)
+
+
 def cardinality(df: DataFrame, index: Index) -> int:
     return entries(df, index, df.columns[0]).count()
 

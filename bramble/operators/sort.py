@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from bramble.functions.collation import Collation
 from bramble.functions.paths import Row
+from bramble.plans import dynamic
 from bramble.plans.bql import BqlError
+from bramble.sources.documents import DOCUMENT, is_dynamic
 
 
 def natural_order(id_col: str = "_id") -> list[Column]:
@@ -18,6 +20,8 @@ def natural_order(id_col: str = "_id") -> list[Column]:
 
 
 def sort_key(df: DataFrame, field: str, collation: Collation | None = None) -> Column:
+    if is_dynamic(df) and field not in df.columns:
+        return variant_key(dynamic.select(F.col(DOCUMENT), field))
     value = Row(df.schema).at(field)
     if value.kind is None:
         return F.lit(None)

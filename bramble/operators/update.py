@@ -213,9 +213,9 @@ def update(df: DataFrame, query: Any, spec: Mapping[str, Any], *, id_col: str =
     return Changed(now.drop("__old", "__hit"), changed)
 
 
-def _equalities(tree: Any) -> list[Leaf]:
+def equalities(tree: Any) -> list[Leaf]:
     if isinstance(tree, And):
-        return [x for c in tree.children for x in _equalities(c)]
+        return [x for c in tree.children for x in equalities(c)]
     return [tree] if isinstance(tree, Leaf) and tree.op == "eq" else []
 
 
@@ -230,7 +230,7 @@ def _upserted(df: DataFrame, tree: Any, what: Update, id_col: str, new_id: Any)
             at = at.setdefault(p, {})
         at[last] = value
 
-    for leaf in _equalities(tree):
+    for leaf in equalities(tree):
         put(leaf.path, leaf.value.value)
     for path, value in what.sets:
         put(path, value)
@@ -250,10 +250,10 @@ def _upserted(df: DataFrame, tree: Any, what: Update, id_col: str, new_id: Any)
     return df.sparkSession.range(1).select(*[full(v, kinds.get(n)).alias(n) for n, v in document.items()])
 
 
-def delete(df: DataFrame, query: Any, *, id_col: str = "_id", limit: int | None = None, collation: Any = None) -> Changed:
+def delete(df: DataFrame, query: Any, *, id_col: str = "_id", limit: int | None = None, compiler: Compiler | None = None) -> Changed:
     """df without the rows that a query matches, or without the first of them by id."""
     tree = parse(query) if isinstance(query, str | bytes | Mapping) else query
-    compiler = Compiler(df.schema, collation)
+    compiler = compiler or Compiler(df.schema)
     if limit is None:
         return Changed(df.where(~compiler.value(tree)), df.where(compiler.condition(tree)).select(id_col))
     ids = df.where(compiler.condition(tree)).orderBy(*natural_order(id_col)).limit(limit).select(id_col)

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bramble.operators.index import Index, sorted_layout
-
 DOCUMENT = "_doc"
 
 
+def is_dynamic(rows: DataFrame) -> bool:
+    """Whether rows hold schemaless documents."""
+    return DOCUMENT in rows.columns and isinstance(rows.schema[DOCUMENT].dataType, T.VariantType)
+
+
 def from_json(rows: DataFrame, column: str, schema: T.StructType | None = None) -> DataFrame:
     """rows with a JSON text column as documents: typed columns under a schema, else one VARIANT column."""
     others = [c for c in rows.columns if c != column]
@@ -31,11 +34,6 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | None
     return from_json(spark.read.text(path), "value", schema)
 
 
-def write_bucket(rows: DataFrame, path: str, index: Index | None = None, partitions: int | None = None) -> None:
-    """rows as Parquet, laid out by an index so that scans with its conditions skip row groups."""
-    (sorted_layout(rows, index, partitions) if index else rows).write.mode("overwrite").parquet(path)
-
-
 def object_id(column: str):
     """A text column as an object id: small letters, null unless 24 hex digits; tagged for the compiler."""
     value = F.lower(F.col(column))
