@@ -28,7 +28,7 @@ Defined results: a null text is the empty text; a text without words has the
 empty set and is linked with nothing; a text with fewer words than an n-gram has
 its whole sequence as its one element; a row with a null id has no component and
 is linked with nothing; repeated rows are repeated in the result; an empty table
-gives an empty result; other columns are not read.  Shingles are compared by 56
+gives an empty result; other columns are not read.  Shingles are compared by 48
 bits of their hash.
 """
 
@@ -55,18 +55,18 @@ LAST = np.uint32(1 << 30)
 BLOCK_SETS = 128
 #: Steps of a block's size (to the factor e) and of its overlap with the leader; a block's bounds are as tight as these.
 CLASSES = 64
-_MASK = np.uint64(0xFFFFFFFFFFFFFF00)
+_MASK = np.uint64(0xFFFFFFFFFFFF0000)
 
 
 def _pack(tokens: np.ndarray) -> bytes:
     """Tokens as planes of bytes, high bytes apart, which compress well."""
-    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, 1:].T).tobytes()
+    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, 2:].T).tobytes()
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(7, -1)
+    planes = np.frombuffer(data, np.uint8).reshape(6, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, 1:] = planes.T
+    out[:, 2:] = planes.T
     return out.reshape(-1).view(np.uint64)
 
 
@@ -223,7 +223,7 @@ def _gather_documents(least: int):
             n = int(s[a])
             need = -(-least * n // 100)
             if m >= need:
-                rows.append((int(d[a]), n, int(m), int(m) - need + 1, float((weight[a + m] - weight[a]) / n), t[a : a + m].tobytes()))
+                rows.append((int(d[a]), n, int(m), int(m) - need + 1, float((weight[a + m] - weight[a]) / n), _pack(t[a : a + m])))
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.binary()]
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in _LIVE_DDL.split(", ")])
 
@@ -234,7 +234,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The prefix tokens of each set with their positions."""
     for batch in batches:
         ids, n, shared, probes, central = (batch.column(c).to_numpy() for c in ("id", "n", "shared", "probes", "central"))
-        tokens = [np.frombuffer(t.as_py(), np.int64)[:p] for t, p in zip(batch.column("tokens"), probes, strict=True)]
+        tokens = [_unpack(t.as_py())[:p].view(np.int64) for t, p in zip(batch.column("tokens"), probes, strict=True)]
         who = np.repeat(np.arange(len(ids)), probes)
         position = np.concatenate([np.arange(p) for p in probes]) if len(ids) else np.zeros(0, np.int64)
         out = [np.concatenate(tokens) if len(ids) else np.zeros(0, np.int64), ids[who], n[who], shared[who], (position + (n - shared)[who]).astype(np.int32), central[who]]
@@ -245,7 +245,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """a, b and the size of the intersection of their sets."""
     for batch in batches:
         left, right = batch.column("left_tokens"), batch.column("right_tokens")
-        size = [len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in zip(left, right, strict=True)]
+        size = [len(np.intersect1d(_unpack(x.as_py()), _unpack(y.as_py()), assume_unique=True)) for x, y in zip(left, right, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(size, pa.int32()), batch.column("na"), batch.column("nb")], names=["a", "b", "overlap", "na", "nb"])
 
 
