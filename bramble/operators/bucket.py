@@ -27,6 +27,7 @@ from bramble.operators.project import project
 from bramble.operators.sort import Cursor, sort_order
 from bramble.operators.vector import DEFAULT_CANDIDATES, DEFAULT_TOP, vector_search
 from bramble.plans import bql
+from bramble.plans.access import Histogram, Path, access_path
 from bramble.plans.bql import And, BqlError, Const, Leaf, Or
 from bramble.plans.compiler import Compiler
 from bramble.plans.dynamic import DynamicCompiler
@@ -146,11 +147,25 @@ class Bucket:
             return found
         return project(found, {**projection, "_score": 1} if any(v in (1, True) for v in projection.values()) else projection, tree or And(()), self.id_col)
 
+    def path(self, query: Any, sort_by: tuple[str, str] | None = None, histograms: Mapping[str, Histogram] | None = None) -> Path:
+        """The index that would serve a query, and what it leaves to test."""
+        return access_path(self.tree(query), self.indexes, self.id_col, sort_by[0] if sort_by else None, histograms)
+
+    def statistics(self) -> dict[str, Histogram]:
+        """Histograms of the indexes' first fields, at most ten buckets each."""
+        out = {}
+        for one in self.indexes.values():
+            if one.kind != "vector":
+                entries, rows = self.analyze_index(one.name)
+                out[one.name] = Histogram(tuple((r["low"], r["high"], r["distinct_values"]) for r in rows.orderBy("bucket").collect()), entries)
+        return out
+
     def explain(self, query: Any, sort_by: tuple[str, str] | None = None) -> str:
-        """The normalised query, and Spark's plan of it."""
+        """The normalised query, its access path, and Spark's plan."""
         tree = self.tree(query)
         plan = self.query(tree, sort_by=sort_by, limit=None)._jdf.queryExecution().explainString(plan_mode(plan_session(self.table)))
-        return f"{explain(tree)}\n{plan}"
+        path = "\n".join(self.path(tree, sort_by).lines())
+        return f"{explain(tree)}\n{path}\n{plan}"
 
     def insert(self, documents: DataFrame | Iterable[Mapping[str, Any]]) -> Bucket:
         """With more documents; ids are generated where absent, and uniqueness is checked."""
