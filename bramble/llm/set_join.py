@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bramble.llm.common import keep_rows, materialize, shuffle_partitions
@@ -188,7 +188,7 @@ def _count_bucket(groups: int):
         rows: list[tuple] = []
         if docs:
             d, s, t, f = map(np.concatenate, (docs, sizes, tokens, freqs))
-            group = (mix(d.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+            group = (d ^ (d >> 11)) % groups  # as _part has it
             order = np.lexsort((d, group))
             d, s, t, f, group = d[order], s[order], t[order], f[order], group[order]
             for a, m in zip(*_runs(group), strict=True):
@@ -200,10 +200,15 @@ def _count_bucket(groups: int):
     return run
 
 
+def _part(key: str, groups: int) -> Column:
+    """The group of a document."""
+    return F.pmod(F.col(key).bitwiseXOR(F.shiftright(key, 11)), F.lit(groups)).cast("int")
+
+
 def _gather_documents(least: int):
-    """Shared postings of one group of documents -> the sets that may have a link, tokens rarest first."""
+    """Shared postings of one group of documents -> the sets, one a class, that may have a link, tokens rarest first."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table, classes: pa.Table) -> pa.Table:
         cols: list[list] = [[], [], [], []]
         for row in table.to_pylist():
             times = np.frombuffer(row["counts"], np.int32)
@@ -211,7 +216,9 @@ def _gather_documents(least: int):
             cols[1].append(np.repeat(np.frombuffer(row["sizes"], np.int32), times))
             cols[2].append(_unpack(row["tokens"]))
             cols[3].append(np.frombuffer(row["freqs"], np.uint32))
-        d, s, t, f = map(np.concatenate, cols)
+        d, s, t, f = (np.concatenate(c) if c else np.zeros(0, kind) for c, kind in zip(cols, (np.int64, np.int32, np.uint64, np.uint32), strict=True))
+        first = np.isin(d, classes.column("rep").to_numpy())
+        d, s, t, f = d[first], s[first], t[first], f[first]
         order = np.lexsort((t, f, d))
         d, s, t, f = d[order], s[order], t[order], f[order]
         new = np.ones(len(d), bool)
@@ -317,8 +324,9 @@ def set_similarity_components(docs: DataFrame, words: int = 5, least: int = 80,
     parts = max(2 * shuffle_partitions(spark), -(-total // BUCKET_TOKENS))
     blobs = rows.mapInArrow(_blobs(words, parts), _BLOB_DDL)
     shared = blobs.groupBy("bucket").applyInArrow(_count_bucket(parts), _GROUP_DDL)
-    live = shared.groupBy("part").applyInArrow(_gather_documents(least), _LIVE_DDL)
-    sets = materialize(live.join(classes.select(F.col("rep").alias("id")), "id", "left_semi"))
+    firsts = classes.select("rep", _part("rep", parts).alias("part"))
+    live = shared.groupBy("part").cogroup(firsts.groupBy("part")).applyInArrow(_gather_documents(least), _LIVE_DDL)
+    sets = materialize(live)
 
     postings = sets.mapInArrow(_postings, "token long, id long, n int, shared int, position int, central double")
     leaders = postings.groupBy("token").agg(F.count("*").alias("held"), F.max(F.struct("central", (-F.col("id")).alias("id"))).alias("top")).where("held > 1")
