@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -61,11 +61,30 @@ def count_tokens(text: str) -> int:
     return sum(1 for _ in _TOKEN.finditer(text)) + TURN_TOKENS
 
 
+_LOADED: dict[str, object] = {}
+
+
+def token_counter(tokenizer: str | None) -> Callable[[str], int]:
+    """Counts the tokens of a turn: by count_tokens, or by a tokenizer file that all executors can open."""
+    if tokenizer is None:
+        return count_tokens
+
+    def count(text: str) -> int:
+        if tokenizer not in _LOADED:
+            from tokenizers import Tokenizer
+
+            _LOADED[tokenizer] = Tokenizer.from_file(tokenizer)
+            _LOADED[tokenizer].encode_special_tokens = True
+        return len(_LOADED[tokenizer].encode(text, add_special_tokens=False).ids) + TURN_TOKENS
+
+    return count
+
+
 class Windows:
     """The windows of one conversation, turn by turn."""
 
-    def __init__(self, budget: int, history: int) -> None:
-        self.budget, self.history = budget, history
+    def __init__(self, budget: int, history: int, count: Callable[[str], int] = count_tokens) -> None:
+        self.budget, self.history, self.count = budget, history, count
         self.system: tuple[str, str, int] | None = None
         self.past: list[tuple[str, str, int]] = []  # history that the open window repeats
         self.new: list[tuple[str, str, int]] = []
@@ -73,7 +92,7 @@ class Windows:
 
     def add(self, role: str, text: str) -> tuple | None:
         """Takes a turn; gives the window that it closes, if any."""
-        turn = (role, text, count_tokens(text))
+        turn = (role, text, self.count(text))
         out = None
         if self.new and self._tokens() + turn[2] > self.budget:
             out = self.close()
@@ -111,9 +130,11 @@ class Windows:
         return out
 
 
-def format_conversations(turns: DataFrame, budget: int = 1024, history: int = 256) -> DataFrame:
+def format_conversations(turns: DataFrame, budget: int = 1024, history: int = 256, tokenizer: str | None = None) -> DataFrame:
     """turns (conv_id, turn, role, text) as windows: conv_id, window, text, repeated, loss.
 
+    Budget and history are in tokens, of a tokenizer file where one is given.
+
     The first ``repeated`` turns of a window were in earlier ones; loss holds
     the spans of the text, in code points, that are targets.  Windows of a
     conversation stand together in order.
@@ -121,7 +142,7 @@ def format_conversations(turns: DataFrame, budget: int = 1024, history: int = 25
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv: object = run  # no conversation yet
-        state = None
+        state, count = None, token_counter(tokenizer)
         ready: list[tuple] = []
 
         def flushed() -> pa.RecordBatch:
@@ -135,7 +156,7 @@ def format_conversations(turns: DataFrame, budget: int = 1024, history: int = 25
                 if who != conv or state is None:
                     if state is not None:
                         ready.append((conv, *state.close()))
-                    conv, state = who, Windows(budget, history)
+                    conv, state = who, Windows(budget, history, count)
                 if (made := state.add(role, text)) is not None:
                     ready.append((conv, *made))
                 if len(ready) >= 256:

@@ -1,7 +1,9 @@
 """Chat windows: exact round trips, digests against the turns themselves, and the budget."""
 
 import hashlib
+import os
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -56,6 +58,16 @@ def test_query(spark, tmp_path):
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_tokenizer_file(spark):
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    if not os.path.exists(path):
+        pytest.skip("no tokenizer file")
+    turns = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", "some words of text " * 10) for i in range(8)], "conv_id long, turn long, role string, text string")
+    windows = chat.format_conversations(turns, budget=120, history=50, tokenizer=path)
+    rows = windows.collect()
+    assert len(rows) > 1 and chat.read_back(windows).first().n_turns == 8
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert [r.conv_id for r in QUERIES["op9_chat_format"](spark, str(tmp_path)).collect()] == [-7]
