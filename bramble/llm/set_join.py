@@ -276,7 +276,7 @@ def _open_pairs(lists: DataFrame, answers: DataFrame, components: DataFrame, lea
         F.when(F.col("id") == F.col("leader"), F.lit(0)).otherwise(F.col("shared") - F.col("overlap")).alias("outside"),
     ).where("inside IS NOT NULL AND id <> leader")
     mixed = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    entries = materialize(entries.join(mixed, "token", "left_semi"))
+    entries = materialize(entries.join(materialize(mixed), "token", "left_semi"))  # as a table of its own, so that a skewed token can be split
     counts = entries.groupBy("token", "component").count()
     major = counts.groupBy("token").agg(F.max(F.struct("count", "component")).alias("top")).select("token", F.col("top.component").alias("major"))
     entries = entries.join(materialize(major), "token").withColumn("minor", F.col("component") != F.col("major"))
@@ -287,7 +287,8 @@ def _open_pairs(lists: DataFrame, answers: DataFrame, components: DataFrame, lea
         F.floor(F.col("outside") * CLASSES / F.col("n")).cast("int").alias("outside_class"),
         F.pmod(F.xxhash64("id"), F.ceil(F.col("held") / BLOCK_SETS)).cast("int").alias("salt"),
     ]
-    blocks = entries.groupBy("token", "minor", *place).agg(
+    classes = ["token", "minor", "size_class", "position_class", "inside_class", "outside_class", "salt"]
+    blocks = entries.select("*", *place).repartition(*classes).groupBy(*classes).agg(  # dealt by block, not by token
         F.collect_list(F.struct("id", "n", "position", "inside", "outside", "component")).alias("sets"),
         F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("position")).alias("left"), F.max("inside").alias("inside"), F.max("outside").alias("outside"),
     )
