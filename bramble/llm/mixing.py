@@ -139,11 +139,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole_cut = F.when(F.col("extra") >= F.col("n"), F.lit(BUCKETS)).otherwise(F.lit(-1))
     plan = materialize(plan.join(cuts, by, "left").select(*by, "whole", F.coalesce("cut", whole_cut).alias("cut"), F.coalesce("rest", F.lit(0)).alias("rest")))
 
-    planned = slim.join(plan, by)
-    at_cut = planned.where("bucket = cut").withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("draw", "doc_id")))
+    # Only the bucket of a cut is ranked; it is part of the key, so that a hot source and length spreads over its buckets.
+    ranked = slim.join(plan.where("rest > 0").withColumnRenamed("cut", "bucket"), [*by, "bucket"])
+    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy(*by, "bucket").orderBy("draw", "doc_id")))
     copies = (
-        planned.where("bucket <> cut").withColumn("copies", F.col("whole") + (F.col("bucket") < F.col("cut")).cast("int"))
-        .unionByName(at_cut.withColumn("copies", F.col("whole") + (F.col("place") <= F.col("rest")).cast("int")).drop("place"))
+        slim.join(plan, by).where("bucket <> cut").withColumn("copies", F.col("whole") + (F.col("bucket") < F.col("cut")).cast("int")).drop("cut")
+        .unionByName(ranked.withColumn("copies", F.col("whole") + (F.col("place") <= F.col("rest")).cast("int")).drop("place"))
     )
     totals = spark.createDataFrame([(*k, sizes[k], targets[k]) for k in order], "no_source boolean, source_key string, source_size long, target double")
     return copies.join(F.broadcast(totals), place).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
