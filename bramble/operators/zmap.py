@@ -13,6 +13,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bramble.plans.bql import BqlError
 
@@ -97,10 +98,12 @@ def i64_bytes(column: Column) -> Column:
 
 
 def wrapped_sum(column: Column) -> Column:
-    """The sum of BIGINTs modulo 2 ** 64, as an overflowing addition leaves it."""
-    total = F.sum(column.cast("decimal(38,0)"))
-    modulus, half = F.lit(Decimal(1 << 64)), F.lit(Decimal(1 << 63))
-    return (F.pmod(total + half, modulus) - half).cast("bigint")
+    """The sum of BIGINTs modulo 2 ** 64, as an overflowing addition leaves it, for up to 2 ** 32 of them.
+
+    The halves are summed apart, so that nothing overflows, and put together by shifts.
+    """
+    low, high = F.sum(column.bitwiseAND(F.lit(0xFFFFFFFF))), F.sum(F.shiftright(column, 32))
+    return F.shiftleft(high + F.shiftright(low, 32), 32).bitwiseOR(low.bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 # reads
@@ -242,13 +245,11 @@ def mutate(zmap: DataFrame, batch: DataFrame, kind: str, versionstamp: bytes | N
     """zmap after a batch of mutations (key, param) of one kind, folded by key.
 
     Bitwise, ADD, MAX and MIN act on 64-bit little-endian integers, MAX and MIN
-    as unsigned ones.  Where a key is absent, MIN, BIT_AND, BYTE_MIN and BYTE_MAX
+    as unsigned ones; a map of numbers (value and param BIGINT) needs no coding.  Where a key is absent, MIN, BIT_AND, BYTE_MIN and BYTE_MAX
     store the parameter as it is.
     """
     if kind not in MUTATIONS:
         raise BqlError(f"unknown mutation {kind}")
-    both = zmap.select("key", "value", F.lit(0).alias("turn")).unionByName(batch.select("key", F.col("param").alias("value"), F.lit(1).alias("turn")))
-    touched = batch.select("key").distinct()
     if kind == "COMPARE_AND_CLEAR":
         hits = zmap.join(batch.select("key", F.col("param")), "key").where(F.col("value") == F.col("param")).select("key")
         return zmap.join(hits, "key", "left_anti").select("key", "value")
@@ -258,24 +259,27 @@ def mutate(zmap: DataFrame, batch: DataFrame, kind: str, versionstamp: bytes | N
         last = batch.groupBy("key").agg(F.max("param").alias("param"))
         stamped = F.concat(F.lit(versionstamp), F.expr("substring(param, 11)"))
         return put_all(zmap, last.select("key", stamped.alias("value")))
-    old = both.join(touched, "key", "left_semi")
-    number, groups = i64(F.col("value")), old.groupBy("key")
-    unsigned = _unsigned(number)
+    both = zmap.select("key", "value", F.lit(0).alias("turn")).unionByName(batch.select("key", F.col("param").alias("value"), F.lit(1).alias("turn")))
+    typed = isinstance(zmap.schema["value"].dataType, T.LongType)
+    if typed and kind in ("APPEND_IF_FITS", "BYTE_MIN", "BYTE_MAX"):
+        raise BqlError(f"{kind} acts on bytes")
+    number, stored = (F.col("value"), lambda c: c) if typed else (i64(F.col("value")), i64_bytes)
     if kind == "ADD":
-        folded = groups.agg(i64_bytes(wrapped_sum(number)).alias("value"))
+        fold = stored(wrapped_sum(number))
     elif kind in ("BIT_AND", "BIT_OR", "BIT_XOR"):
-        folded = groups.agg(i64_bytes({"BIT_AND": F.bit_and, "BIT_OR": F.bit_or, "BIT_XOR": F.bit_xor}[kind](number)).alias("value"))
+        fold = stored({"BIT_AND": F.bit_and, "BIT_OR": F.bit_or, "BIT_XOR": F.bit_xor}[kind](number))
     elif kind in ("MAX", "MIN"):
-        pick = F.max_by if kind == "MAX" else F.min_by
-        folded = groups.agg(pick("value", unsigned).alias("value"))
+        fold = (F.max_by if kind == "MAX" else F.min_by)("value", _unsigned(number))
     elif kind in ("BYTE_MIN", "BYTE_MAX"):
-        folded = groups.agg((F.min if kind == "BYTE_MIN" else F.max)("value").alias("value"))
+        fold = (F.min if kind == "BYTE_MIN" else F.max)("value")
     else:
         pieces = F.transform(F.array_sort(F.collect_list(F.struct("turn", "value"))), lambda p: F.hex(p["value"]))
         joined = F.unhex(F.array_join(pieces, ""))
-        first = F.max(F.when(F.col("turn") == 0, F.col("value")))
-        folded = groups.agg(F.when(F.octet_length(joined) <= MOST_VALUE, joined).otherwise(first).alias("value"))
-    return put_all(zmap, folded.where("value IS NOT NULL"))
+        fold = F.when(F.octet_length(joined) <= MOST_VALUE, joined).otherwise(F.max(F.when(F.col("turn") == 0, F.col("value"))))
+    # One aggregation over both: a key without a mutation keeps its value.
+    own = F.max(F.when(F.col("turn") == 0, F.col("value")))
+    folded = both.groupBy("key").agg(F.when(F.max("turn") == 1, fold).otherwise(own).alias("value"))
+    return folded.where("value IS NOT NULL")
 
 
 def _unsigned(column: Column) -> Column:

@@ -193,6 +193,10 @@ def test_zmap(spark):
     batch = spark.createDataFrame([(bytearray(b"a"), bytearray(b"x")), (bytearray(b"z"), bytearray(b"y"))], "key binary, param binary")
     assert dict(zmap.rows(zmap.mutate(m, batch, "APPEND_IF_FITS")))[b"a"] == b"1x"
     assert dict(zmap.rows(zmap.mutate(m, batch, "BYTE_MAX")))[b"a"] == b"x"
+    numbers = spark.createDataFrame([(bytearray(b"a"), 2**63 - 1), (bytearray(b"b"), -1)], "key binary, value bigint")
+    more = spark.createDataFrame([(bytearray(b"a"), 1), (bytearray(b"b"), 5), (bytearray(b"c"), 3)], "key binary, param bigint")
+    found = lambda kind: {bytes(r.key): r.value for r in zmap.mutate(numbers, more, kind).collect()}
+    assert found("ADD") == {b"a": -(2**63), b"b": 4, b"c": 3} and found("MAX")[b"b"] == -1 and found("MIN")[b"b"] == 5
     clear = spark.createDataFrame([(bytearray(b"a"), bytearray(b"1")), (bytearray(b"b"), bytearray(b"9"))], "key binary, param binary")
     assert {k for k, _ in zmap.rows(zmap.mutate(m, clear, "COMPARE_AND_CLEAR"))} == {b"b", b"d", b"n", b"new", b"f"}
     stamp = spark.createDataFrame([(bytearray(b"s"), bytearray(b"\0" * 10 + b"tail"))], "key binary, param binary")
