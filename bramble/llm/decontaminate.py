@@ -1,12 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 The test items are a stated query set: their n-grams are held in blocks of a
-fixed number, and each block passes over all documents.  A first pass counts in
-how many documents each n-gram of the items occurs; an item's seeds are its
-rarest n-grams by that count.  In a second pass the seeds are joined with the
-passages of each document in place, without a shuffle; around each run of hits a
-local alignment of word sequences scores exact, edited and paraphrased copies
-alike.  A score is the alignment's weight over that of the whole item.
+fixed number, and each block passes over all documents.  Every n-gram of an item
+is a seed, common or not: which of them an edit leaves in a copy cannot be told
+from their document frequencies.  The seeds are joined with the passages of each
+document in place, without a shuffle; around each run of hits a local alignment
+of word sequences scores exact, edited and paraphrased copies alike, unless the
+words that item and passage share already bound the score below a copy's.  A
+score is the alignment's weight over that of the whole item.
 
 Defined results: words are runs of letters and digits, small letters and
 capitals alike; a null or empty text or item matches nothing; an item shorter
@@ -29,12 +30,12 @@ from bramble.llm.words import MARKS, chunks, lower_latin, shingles, string_buffe
 
 #: Words of a seed.
 SEED_WORDS = 4
-#: Share of an item's n-grams that are seeds, the rarest first; at least so many.
-SEED_SHARE, LEAST_SEEDS = 0.6, 8
 #: Least score of a copy, and least aligned weight in words.
 LEAST_SCORE, LEAST_WORDS = 0.5, 6
 #: n-grams of the items held at once (8 bytes each, and the items' words).
 BLOCK_GRAMS = 1 << 20
+#: Pairs of a hit and an item expanded at once, or those of one text.
+PAIRS = 1 << 21
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -80,16 +81,6 @@ class Items:
         order = np.argsort(all_grams, kind="stable")
         return cls(ids, seqs, all_grams[order], all_items[order], all_places[order])
 
-    def rarest(self, counts: dict[int, int]) -> Items:
-        """With the rarest n-grams of each item alone, ties included."""
-        df = np.array([counts.get(int(np.int64(g.view(np.int64))), 0) for g in self.grams])
-        keep = np.zeros(len(df), bool)
-        for i in range(len(self.ids)):
-            mine = np.flatnonzero(self.item == i)
-            most = max(LEAST_SEEDS, int(np.ceil(SEED_SHARE * len(mine))))
-            keep[mine] = df[mine] <= np.sort(df[mine])[min(most, len(mine)) - 1]
-        return Items(self.ids, self.words, self.grams[keep], self.item[keep], self.place[keep])
-
 
 def align(item: np.ndarray, passage: np.ndarray) -> int:
     """The best local alignment of two word sequences, row by row; gaps along a row by a running maximum."""
@@ -115,8 +106,21 @@ def _matches(items: Items, hashes: np.ndarray, first: np.ndarray) -> Iterator[tu
         return
     right = np.searchsorted(items.grams, grams[hit], side="right")
     times = right - left[hit]
+    pairs, owner = np.cumsum(times), np.searchsorted(cut, hit, side="right") - 1
+    a = 0
+    while a < len(hit):
+        b = int(np.searchsorted(pairs, pairs[a] - times[a] + PAIRS, side="right"))
+        if b < len(hit):  # back to the border of a text, or on to the end of a longer one
+            b = int(np.searchsorted(owner, owner[b], side="left"))
+            b = b if b > a else int(np.searchsorted(owner, owner[a], side="right"))
+        yield from _aligned(items, hashes, first, cut, hit[a:b], left[hit[a:b]], times[a:b])
+        a = b
+
+
+def _aligned(items: Items, hashes: np.ndarray, first: np.ndarray, cut: np.ndarray, hit: np.ndarray, left: np.ndarray, times: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """The copies around the hits of some texts: n-gram hit[k] is that of items.grams[left[k]] and the times[k] - 1 after it."""
     at = np.repeat(hit, times)
-    which = np.repeat(left[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    which = np.repeat(left, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     text = np.searchsorted(cut, at, side="right") - 1
     item, start = items.item[which], at - cut[text] - items.place[which]  # where the item would begin in the text
     order = np.lexsort((start, item, text))
@@ -137,8 +141,11 @@ def _matches(items: Items, hashes: np.ndarray, first: np.ndarray) -> Iterator[tu
             score = 1.0
         else:
             lo, hi = max(0, s - m // 2), min(len(doc), int(start[b - 1]) + m + m // 2)
+            least = MATCH * max(LEAST_SCORE * m, min(LEAST_WORDS, m))
+            if MATCH * np.isin(seq, doc[lo:hi]).sum() < least:  # no alignment weighs more
+                continue
             weight = align(seq, doc[lo:hi])
-            score = weight / (MATCH * m) if weight >= MATCH * min(LEAST_WORDS, m) else 0.0
+            score = weight / (MATCH * m) if weight >= least else 0.0
         if score >= LEAST_SCORE:
             best[t, i] = max(best.get((t, i), 0.0), score)
     for (t, i), score in best.items():
@@ -159,42 +166,17 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
         yield rows
 
 
-def _document_counts(docs: DataFrame, text_col: str, grams: np.ndarray) -> dict[int, int]:
-    """n-gram (as a signed long) -> number of documents that hold it; at most a block of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(grams), np.int64)
-        for batch in batches:
-            for _, hashes, first in _hashed(batch.column(0)):
-                g, cut = _grams(hashes, first)
-                if not len(g):
-                    continue
-                left = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
-                hit = np.flatnonzero(grams[left] == g)
-                text = np.searchsorted(cut, hit, side="right") - 1
-                seen = np.unique(text * len(grams) + left[hit])
-                total += np.bincount(seen % len(grams), minlength=len(grams))
-        some = np.flatnonzero(total)
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(grams[some].view(np.int64)), pa.array(total[some])], names=["gram", "n"])
-
-    if not len(grams):
-        return {}
-    counted = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r["gram"]: r["n"] for r in counted.collect()}
-
-
-def _seeded(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str) -> Iterator[Items]:
+def _seeded(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[Items]:
     for rows in _blocks(benchmark, item_col, item_text_col):
         items = Items.of(rows)
         if items.ids:
-            yield items.rarest(_document_counts(docs, text_col, np.unique(items.grams)))
+            yield items
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, score of each document and item of which it holds a copy."""
     out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double")
-    for items in _seeded(docs, benchmark, text_col, item_col, item_text_col):
+    for items in _seeded(benchmark, item_col, item_text_col):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -214,7 +196,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """docs without the documents that hold a copy of an item; whole rows pass through, nothing is shuffled."""
     out = docs
-    for items in _seeded(docs, benchmark, text_col, item_col, item_text_col):
+    for items in _seeded(benchmark, item_col, item_text_col):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from bramble.llm import decontaminate as decontamination
 from bramble.llm.decontaminate import GAP, MATCH, MISMATCH, align, decontaminate, find_contamination
 
 
@@ -49,6 +51,33 @@ def test_planted_copies(spark):
     assert left == {d for d, _ in docs} - {d for d, _ in dirty}
 
 
+def test_evenly_edited_copies(spark):
+    """One word in six or seven replaced: most 4-grams of the item are gone, beside exact copies or without them."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmno") for _ in range(r.randint(3, 8)))
+    items = [(i, [word() for _ in range(r.randint(15, 59))]) for i in range(60)]
+    docs = []
+    for i, item in items:
+        spots = {int(k * 20 / 3) for k in range(len(item))}
+        docs.append((i, " ".join(word() if k in spots else w for k, w in enumerate(item))))
+        docs += [(1000 + 10 * i + k, " ".join(item)) for k in range(3) if i % 2]
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()}
+    assert found == {(d, d if d < 1000 else (d - 1000) // 10) for d, _ in docs}
+
+
+def test_texts_of_many_pairs(monkeypatch):
+    """Hits are expanded a few at a time, texts whole, with the same result."""
+    rows = [(i, " ".join(f"w{i}x{k % 5}" if k % 3 else "same" for k in range(20)) + " one common line of words") for i in range(12)]
+    items = decontamination.Items.of(rows)
+    _, hashes, first = next(decontamination._hashed(pa.array([t for _, t in rows] + ["one common line of words", "", "x " * 9 + rows[3][1]])))
+    want = sorted(decontamination._matches(items, hashes, first))
+    assert {(t, i) for t, i, _ in want} == {*((i, i) for i in range(12)), (14, 3)}
+    for few in (1, 7, 100):
+        monkeypatch.setattr(decontamination, "PAIRS", few)
+        assert sorted(decontamination._matches(items, hashes, first)) == want
+
+
 def test_awkward_rows(spark, small_tables, empty_tables):
     docs = spark.read.parquet(f"{small_tables}/documents.parquet")
     benchmark = spark.createDataFrame([(1, None), (2, ""), (3, "the SAME text"), (4, "mail a b c org 4111 1111 1111 1111 and")], "item_id long, text string")
