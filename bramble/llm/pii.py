@@ -32,7 +32,19 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+# The head is looked ahead from, so that a rejected run does not swallow an IBAN within it.
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}))[A-Z]{2}[0-9]{2}")
+_ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+#: Country -> characters of its IBAN.
+_IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGITS = {c: int(c) for c in "0123456789"}
@@ -80,6 +92,25 @@ def _emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _ibans(text: str) -> list[tuple[int, int]]:
+    """IBANs of their country's length; of a country outside the table, the longest that ends with a word and passes."""
+    out, past = [], 0
+    for m in _IBAN.finditer(text):
+        start, run = m.start(), m[1]
+        if start < past:
+            continue
+        length = _IBAN_LENGTHS.get(run[:2])
+        for n in range(len(run), 14, -1):
+            if text[start + n : start + n + 1] in _ALNUM or run[n - 1] == " ":
+                continue
+            plain = run[:n].replace(" ", "")
+            if len(plain) >= 15 and (length is None or len(plain) == length) and mod97(plain):
+                past = start + n
+                out.append((start, past))
+                break
+    return out
+
+
 def _small(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) < 4 and int(part or "0") <= 255
@@ -103,9 +134,8 @@ def _proposed(text: str):
         for m in _PHONE.finditer(text):
             if 9 <= len(_digits(m[0])) <= 15:
                 yield "phone", *m.span()
-    for m in _IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            yield "iban", *m.span()
+    for a, b in _ibans(text):
+        yield "iban", a, b
     for m in _SSN.finditer(text):
         yield "ssn", *m.span()
 

@@ -61,6 +61,19 @@ def test_more_kinds():
     assert [s[0] for s in secret_scan._find(pa.array(["ghp_" + "a1B" * 12]))[0]] == ["github"]
 
 
+def test_ibans_end_with_their_country():
+    found = lambda text: [text[a:b] for k, a, b, _ in pii.personal_spans(text) if k == "iban"]
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    for text, want in {
+        f"IBAN {de} BIC COBADEFFXXX": [de], f"{gb} EUR 500": [gb], "GB82WEST12345698765432 A": ["GB82WEST12345698765432"], f"{de} {gb}": [de, gb],
+        f"AB12 CODE {gb}": [gb], f"{gb}.": [gb], f"{gb}X": [], gb[:-1]: [], gb.lower(): [], f"x{gb}": [], "NO93 8601 1117 947 NOK": ["NO93 8601 1117 947"],
+        "MT84 MALT 0110 0001 2345 MTLC AST0 01S REF": ["MT84 MALT 0110 0001 2345 MTLC AST0 01S"],
+    }.items():
+        assert found(text) == want, text
+    check = next(f"{c:02}" for c in range(2, 99) if pii.mod97(f"ZZ{c:02}ABCD1234567890123"))
+    assert found(f"ZZ{check} ABCD 1234 5678 9012 3 END") in ([f"ZZ{check} ABCD 1234 5678 9012 3"], [f"ZZ{check} ABCD 1234 5678 9012 3 END"])
+
+
 def test_long_runs_are_linear():
     pii.personal_spans("1" * 200_000 + " " + "a" * 200_000 + "@")
     assert pii.personal_spans("7" * 5000 + ".1.1.1") == []
