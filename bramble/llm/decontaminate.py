@@ -10,8 +10,9 @@ words that item and passage share already bound the score below a copy's.  A
 score is the alignment's weight over that of the whole item.
 
 Defined results: words are runs of letters and digits, small letters and
-capitals alike; a null or empty text or item matches nothing; an item shorter
-than an n-gram is one n-gram; repeated rows are matched one by one; a document
+capitals alike, or single code points of a script that puts no space between
+words; a null or empty text or item matches nothing; an item shorter than an
+n-gram is one n-gram of its own length, found anywhere in a document; repeated rows are matched one by one; a document
 is listed once for an item, with its best score; an empty table gives an empty
 result; other columns are not read.
 """
@@ -39,19 +40,42 @@ PAIRS = 1 << 21
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
+#: First code points, and those past the last, of scripts without spaces: Thai and Lao, Myanmar, Khmer, kana and bopomofo, Han.
+_UNSPACED = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3040, 0x3130), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0x20000, 0x33480))
+
+
+def _spaced(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """body and offsets with a space on either side of each code point of the scripts without spaces."""
+    lead = np.flatnonzero(body >= 0xE0)
+    if not len(lead):
+        return body, at
+    wide = body[lead] >= 0xF0
+    rest = [(body[np.minimum(lead + k, len(body) - 1)] & 0x3F).astype(np.int64) for k in (1, 2, 3)]
+    point = np.where(wide, ((body[lead].astype(np.int64) & 7) << 18) | (rest[0] << 12) | (rest[1] << 6) | rest[2], ((body[lead].astype(np.int64) & 15) << 12) | (rest[0] << 6) | rest[1])
+    hit = np.zeros(len(lead), bool)
+    for a, b in _UNSPACED:
+        hit |= (point >= a) & (point < b)
+    if not hit.any():
+        return body, at
+    added = np.zeros(len(body) + 1, np.int64)
+    added[lead[hit]] += 1
+    added[(lead + np.where(wide, 4, 3))[hit]] += 1
+    shift = np.cumsum(added)
+    out = np.full(len(body) + int(shift[-1]), 0x20, np.uint8)
+    out[np.arange(len(body)) + shift[:-1]] = body
+    return out, at + shift[at]
+
+
 def _hashed(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, word hashes, first word of each text) by chunks of whole texts."""
     body, at = string_buffers(column)
     for a, b in chunks(at):
         lo = int(at[a])
-        hashes, _, _, first = words(lower_latin(body[lo : at[b]]), at[a : b + 1] - lo, fold=False, between=MARKS)
+        text, cut = _spaced(body[lo : at[b]], at[a : b + 1] - lo)
+        hashes, _, _, first = words(lower_latin(text), cut, fold=False, between=MARKS)
         yield a, hashes, first
 
 
-def _grams(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return shingles(hashes, first, SEED_WORDS)
-
-
 @dataclass
 class Items:
     """A block of test items: their words, and their n-grams with places, sorted by n-gram."""
@@ -69,7 +93,7 @@ class Items:
             _, hashes, first = next(_hashed(pa.array([text or ""])), (0, np.zeros(0, np.uint64), np.zeros(2, np.int64)))
             if not len(hashes):
                 continue
-            g, _ = _grams(hashes, first)
+            g, _ = shingles(hashes, first, min(SEED_WORDS, len(hashes)))
             grams.append(g)
             item.append(np.full(len(g), len(ids)))
             place.append(np.arange(len(g)))
@@ -97,8 +121,13 @@ def align(item: np.ndarray, passage: np.ndarray) -> int:
 
 def _matches(items: Items, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, float]]:
     """(text, item, score) of the copies among the texts of a chunk."""
-    grams, cut = _grams(hashes, first)
-    if not len(grams) or not len(items.grams):
+    for k in sorted({min(SEED_WORDS, len(w)) for w in items.words}):  # an item has n-grams of one length
+        yield from _seeds(items, hashes, first, *shingles(hashes, first, k))
+
+
+def _seeds(items: Items, hashes: np.ndarray, first: np.ndarray, grams: np.ndarray, cut: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """The copies around the n-grams of one length; text i has grams[cut[i]:cut[i + 1]]."""
+    if not len(grams):
         return
     left = np.searchsorted(items.grams, grams, side="left")
     hit = np.flatnonzero((left < len(items.grams)) & (items.grams[np.minimum(left, len(items.grams) - 1)] == grams))

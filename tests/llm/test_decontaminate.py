@@ -78,6 +78,18 @@ def test_texts_of_many_pairs(monkeypatch):
         assert sorted(decontamination._matches(items, hashes, first)) == want
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    """Items of one to three words, and of Han or Thai, are found inside longer documents; words of Latin or Hangul stay whole."""
+    items = [(1, "zebra"), (2, "blue Heron"), (3, "one two three"), (4, "今天天气很好我们去公园散步吧"), (5, "ภาษาไทยง่ายมาก"), (6, "é"), (7, "한국"), (8, "𠀀𠀁")]
+    docs = [
+        (1, "There was a zebra, then a blue heron."), (2, "blue as a heron; zebras"), (3, "Count one two three four"), (4, "one two and three"),
+        (5, "他说今天天气很好我们去公园散步吧。然后走了"), (6, "คนพูดภาษาไทยง่ายมากครับ"), (7, "été 한국어"), (8, "看𠀀𠀁x"), (9, "x 한국 é"), (10, ""), (11, None),
+    ]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()}
+    assert found == {(1, 1), (1, 2), (3, 3), (5, 4), (6, 5), (8, 8), (9, 6), (9, 7)}
+
+
 def test_awkward_rows(spark, small_tables, empty_tables):
     docs = spark.read.parquet(f"{small_tables}/documents.parquet")
     benchmark = spark.createDataFrame([(1, None), (2, ""), (3, "the SAME text"), (4, "mail a b c org 4111 1111 1111 1111 and")], "item_id long, text string")
