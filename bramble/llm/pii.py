@@ -1,7 +1,7 @@
 """Personal data: patterns propose spans, checksums confirm them, context adjusts the score.
 
 Base kinds (email, ip, card, phone) always stay once confirmed; further kinds
-(iban by mod 97, ssn and passport-like numbers) stay when their score, raised by
+(iban by mod 97, ssn and passport numbers by their form) stay when their score, raised by
 context words close by, reaches a threshold.
 
 Defined results: a null text is the empty text, without spans; every row, also a
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from bramble.llm.spans import find_spans
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-MORE_KINDS = ("iban", "ssn")
+MORE_KINDS = ("iban", "ssn", "passport")
 KINDS = BASE_KINDS + MORE_KINDS
 #: Code points on either side in which context words count.
 CONTEXT = 48
@@ -46,6 +46,8 @@ _IBAN_LENGTHS = {
     for c in countries.split()
 }
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+# Six to nine capitals and digits, four digits at least: C01X00T47, 123456789, AB1234567.
+_PASSPORT = re.compile(r"(?<![A-Za-z0-9])(?=(?:[A-Z]*[0-9]){4})[A-Z0-9]{6,9}(?![A-Za-z0-9])")
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGITS = {c: int(c) for c in "0123456789"}
 
@@ -57,6 +59,7 @@ _SCORES = {
     "phone": (0.6, frozenset({"phone", "tel", "call", "mobile", "fax"})),
     "iban": (0.8, frozenset({"iban", "bank", "account", "transfer"})),
     "ssn": (0.3, frozenset({"ssn", "social", "security"})),
+    "passport": (0.3, frozenset({"passport", "passeport", "reisepass", "pasaporte", "passaporto"})),
 }
 
 
@@ -138,6 +141,10 @@ def _proposed(text: str):
         yield "iban", a, b
     for m in _SSN.finditer(text):
         yield "ssn", *m.span()
+    small = text.lower()
+    if any(cue in small for cue in _SCORES["passport"][1]):  # without one no number reaches the threshold
+        for m in _PASSPORT.finditer(text):
+            yield "passport", *m.span()
 
 
 def personal_spans(text: str) -> list[tuple[str, int, int, float]]:

@@ -74,6 +74,14 @@ def test_ibans_end_with_their_country():
     assert found(f"ZZ{check} ABCD 1234 5678 9012 3 END") in ([f"ZZ{check} ABCD 1234 5678 9012 3"], [f"ZZ{check} ABCD 1234 5678 9012 3 END"])
 
 
+def test_passports_need_their_context():
+    found = lambda text: [text[a:b] for k, a, b, _ in pii.personal_spans(text) if k == "passport"]
+    for number in ("C01X00T47", "123456789", "AB1234567", "X1234567"):
+        assert found(f"Passport no. {number}, valid") == [number] and found(f"order {number}") == []
+        assert found(f"passport x{number}") == found(f"passport {number}77") == []
+    assert found("passport PASSPORT 12345") == []
+
+
 def test_long_runs_are_linear():
     pii.personal_spans("1" * 200_000 + " " + "a" * 200_000 + "@")
     assert pii.personal_spans("7" * 5000 + ".1.1.1") == []
