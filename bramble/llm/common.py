@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space of every contract here, as a Java regular expression.
 SPACE = r"[\x20\x09-\x0D]"
@@ -18,7 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this process only where the cluster names none."""
+    """The folder that driver and executors share, named by spark.checkpoint.dir.
+
+    Only a session without executors of its own (a local master, as in tests) may do without it.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -26,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="bramble-")
         spark.sparkContext.setCheckpointDir(own)
     return own
@@ -48,21 +58,46 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of steps that nothing refers to any longer."""
+    gc.collect()  # the Python side's references go first
+    spark._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def keep_rows(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The first row of docs of each id in ids (one column, no nulls, distinct), in the columns of docs.
+def _plain(kind: T.DataType) -> bool:
+    """Whether values of a type can be hashed."""
+    if isinstance(kind, T.StructType):
+        return all(_plain(f.dataType) for f in kind.fields)
+    return _plain(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, T.MapType | T.VariantType)
+
+
+def keep_rows(docs: DataFrame, decisions: DataFrame, mark: Callable[[DataFrame], DataFrame], key: str = "doc_id") -> DataFrame:
+    """The rows of docs that decisions keep, in the columns of docs.
 
-    One shuffle of docs by its key; rows repeated under one id fall together there.
-    No decision can name a row without an id: all such rows stay.
+    decisions has a row for each row of docs: doc_id, kept, and the columns of
+    ``mark``, which computes them for rows of docs from their contents alone.  A
+    row with an id of its own is kept by its id.  Rows that share an id, and rows
+    without one, are told apart by the marks; of rows alike in id and marks, of
+    which one is kept, it is that with the smallest hash of all its columns.
     """
-    from pyspark.sql import Window
-
-    kept = docs.join(ids.select(F.col(ids.columns[0]).alias(key)), key, "left_semi").select(*docs.columns)
-    tie = [F.col(f"`{c}`") for c in docs.columns if c != key and dict(docs.dtypes)[c] in ("string", "bigint", "int", "double", "boolean", "date", "timestamp")]
-    mark = f"rank_{uuid.uuid4().hex[:8]}"
-    w = Window.partitionBy(key).orderBy(*(tie or [F.lit(1)]))
-    kept = kept.withColumn(mark, F.row_number().over(w)).where(F.col(mark) == 1).drop(mark)
-    return kept.unionByName(docs.where(F.col(f"`{key}`").isNull()))
+    id_ = F.col(f"`{key}`")
+    ids = materialize(decisions.groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or("kept").alias("kept")).where("kept"))
+    alone = ids.where("doc_id IS NOT NULL AND rows = 1").select(F.col("doc_id").alias(key))
+    kept = docs.join(alone, key, "left_semi").select(*docs.columns)
+    shared = ids.where("doc_id IS NULL OR rows > 1")
+    if shared.isEmpty():
+        return kept
+    repeated = docs.join(shared.where("doc_id IS NOT NULL").select(F.col("doc_id").alias(key)), key, "left_semi").select(*docs.columns)
+    marked = mark(repeated.unionByName(docs.where(id_.isNull())))
+    marks = [c for c in marked.columns if c not in docs.columns]
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if _plain(f.dataType)]
+    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*plain)).alias("row")
+    one = marked.groupBy(id_.cast("long").alias("kept_id"), *marks).agg(row)  # pre-aggregated: repeated rows never meet in one task
+    chosen = decisions.where("kept").select(F.col("doc_id").alias("kept_id"), *marks).distinct()
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("kept_id", *marks)]
+    odd = one.alias("a").join(chosen.alias("b"), reduce(and_, same), "left_semi").select("row.*")
+    return kept.unionByName(odd)

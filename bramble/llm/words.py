@@ -15,8 +15,9 @@ import pyarrow as pa
 #: Bytes of text handled at once; each takes about 40 bytes of temporaries.
 CHUNK_BYTES = 2 << 20
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: The bytes that count as white space.
+SPACES = np.zeros(256, dtype=bool)
+SPACES[[0x20, *range(0x09, 0x0E)]] = True
 #: Everything that is no letter, digit or part of a longer code point parts words too.
 MARKS = np.ones(256, dtype=bool)
 MARKS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -88,7 +89,7 @@ def lower_latin(body: np.ndarray) -> np.ndarray:
     return out
 
 
-def words(body: np.ndarray, at: np.ndarray, fold: bool = True, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(body: np.ndarray, at: np.ndarray, fold: bool = True, between: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, starts, ends, first) of the words of texts body[at[i]:at[i+1]].
 
     starts and ends are offsets into body; first[i] is the number of words
