@@ -58,6 +58,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """df, stored first where a lost task could get its rows in another order, as behind a shuffle."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return materialize(df) if "Exchange" in plan or "Join" in plan or "Aggregate" in plan or "Window" in plan else df
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of steps that nothing refers to any longer."""
     gc.collect()  # the Python side's references go first

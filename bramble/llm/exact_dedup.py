@@ -31,7 +31,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bramble.llm.common import SPACE, keep_rows, materialize, shuffle_partitions
+from bramble.llm.common import SPACE, keep_rows, materialize, shuffle_partitions, stable
 from bramble.llm.words import SPACES, chunks, string_buffers
 
 #: Sampled rows for each partition.
@@ -182,7 +182,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     most code points in the original text stays, then the smallest id.
     """
     context = docs.sparkSession.sparkContext
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    rows = stable(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
     cuts = context.broadcast(_splitters(rows, shuffle_partitions(docs.sparkSession)))
     split = rows.mapInArrow(_keyed(cuts), _KEY_DDL).repartitionById(len(cuts.value) + 1, "part")
     runs = materialize(_ordered(split).select("part", "doc_id", "points", "norm").mapInArrow(_runs(cuts), _RUN_DDL))

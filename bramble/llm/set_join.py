@@ -1,35 +1,46 @@
 """Exact set-similarity join of word n-gram sets, with links as connected components.
 
-Sets that are equal are one set from the start: a class, by a 128-bit digest.
-The rest follows the two ideas of joins that use relations between sets.
+Sets that are equal are one set from the start: a class, by two independent
+64-bit digests.  The rest follows the two ideas of joins that use relations
+between sets.
 
 *Index lists, skipped by blocks.*  A token's order is its document frequency,
 rare first, so the prefix of a set holds tokens that few other sets have.  The
 frequencies are exact: tokens travel in packed blobs to the bucket of their
-range, are counted there, and only postings of tokens that two documents share
-travel on, to the group of their document.  A set with fewer shared tokens than
-an overlap needs is linked with nothing and leaves here; most sets do.  A token
-that is frequent within one unit of input is sent once a unit with its count and
-comes last in the order, so a passage in a third of all documents makes no hot
-bucket.  The inverted lists of the prefix tokens are kept in blocks by size,
-position and overlap with the list's leader; pairs of blocks whose bounds cannot
-reach the threshold are skipped as a whole.
+range, are counted there, and only postings of tokens that two sets share travel
+on, to the group of their document.  A set with fewer shared tokens than an
+overlap needs is linked with nothing and leaves here; most sets do, and so do
+sets so small that only an equal one could link.  A token that is frequent
+within one unit of input is sent once a unit with its count and comes last in
+the order, so a passage in a third of all documents makes no hot bucket.  The
+inverted lists of the prefix tokens are kept in blocks by size, position and
+overlap with the list's leader; pairs of blocks whose bounds cannot reach the
+threshold are skipped as a whole.
 
 *Answers from a similar set.*  Each list has a leader, its most central set, and
-every set of the list is compared with the leader alone.  Links so found are
+every set of the list is compared with the leader in full.  Links so found are
 components already, and pairs within one need no comparison.  For a pair across
 components the answers against the leader bound the overlap,
 
     |x & y| <= min(|x & L|, |y & L|) + min(|x - L|, |y - L|),
 
-and only pairs that may still link are compared.
+and where the pair may still link, its overlap is derived from the leader's
+answer and the tokens in which either set differs from the leader,
+
+    |x & y| = |x & L| - |L - y| + |(L - x) & (L - y)| + |(x - L) & (y - L)|,
+
+without the sets themselves.
+
+Each text is read and hashed once; rows are told apart by their place in the
+input, so ids may repeat or be null.
 
 Defined results: a null text is the empty text; a text without words has the
 empty set and is linked with nothing; a text with fewer words than an n-gram has
-its whole sequence as its one element; a row with a null id has no component and
-is linked with nothing; repeated rows are repeated in the result; an empty table
-gives an empty result; other columns are not read.  Shingles are compared by 48
-bits of their hash.
+its whole sequence as its one element; rows of different texts under one id are
+documents of their own; a component is named by its smallest id, null where none
+of its documents has one; repeated rows are repeated in the result; an empty
+table gives an empty result; other columns are not read.  Shingles are compared
+by a 64-bit hash, equal sets by 128 bits.
 """
 
 from __future__ import annotations
@@ -38,12 +49,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from bramble.llm.common import keep_rows, materialize, shuffle_partitions
+from bramble.llm.common import keep_rows, materialize, release, remove, scratch, shuffle_partitions, stable
 from bramble.llm.components import connected_components
-from bramble.llm.words import mix, shingle_sets
+from bramble.llm.words import shingle_sets
 
 #: Tokens of a unit of input, of a bucket at most on average, and postings in a row that only passes through.
 UNIT_TOKENS, BUCKET_TOKENS, SLICE = 1 << 20, 1 << 21, 1 << 15
@@ -55,42 +68,24 @@ LAST = np.uint32(1 << 30)
 BLOCK_SETS = 128
 #: Steps of a block's size (to the factor e) and of its overlap with the leader; a block's bounds are as tight as these.
 CLASSES = 64
-_MASK = np.uint64(0xFFFFFFFFFFFF0000)
+#: Bytes of text for each token, about; it only sets the number of buckets.
+TOKEN_BYTES = 6
 
 
 def _pack(tokens: np.ndarray) -> bytes:
     """Tokens as planes of bytes, high bytes apart, which compress well."""
-    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, 2:].T).tobytes()
+    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(6, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, 2:] = planes.T
-    return out.reshape(-1).view(np.uint64)
-
-
-def _signatures(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id")
-            for a, sets in shingle_sets(batch.column("text"), k):
-                n = np.array([len(s) for s in sets], np.int64)
-                at = np.concatenate(([0], np.cumsum(n)))
-                every = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
-                digest = []
-                for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-                    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(every ^ np.uint64(salt)), dtype=np.uint64)))
-                    digest.append(mix(sums[at[1:]] - sums[at[:-1]]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, len(sets)), pa.array(n), pa.array(digest[0]), pa.array(digest[1])], names=["doc_id", "n", "s1", "s2"])
-
-    return run
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).reshape(-1).view(np.uint64)
 
 
 _BLOB_DDL = "bucket int, kind int, docs binary, sizes binary, counts binary, tokens binary"
-_GROUP_DDL = "part int, docs binary, sizes binary, counts binary, tokens binary, freqs binary"
+_GROUP_DDL = "kind int, part int, docs binary, sizes binary, counts binary, tokens binary, freqs binary"
 _LIVE_DDL = "id long, n int, shared int, probes int, central double, tokens binary"
-_POSTINGS, _PASSED, _COMMON = 0, 1, 2
+_SIGN_DDL = "key long, doc_id long, n long, s1 long, s2 long"
+_POSTINGS, _PASSED, _COMMON, _SIGNS = 0, 1, 2, 3
 
 
 def _runs(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,23 +94,32 @@ def _runs(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(owner)))
 
 
-def _blobs(k: int, buckets: int):
-    def flush(ids: list, sets: list, turn: int) -> pa.RecordBatch:
+def _blobs(k: int, buckets: int, least: int):
+    """Texts by units: the postings of their sets, packed by bucket, and the signature of each text."""
+
+    def flush(keys: list, sets: list, signs: list, turn: int) -> pa.RecordBatch:
+        rows: list[tuple] = []
+        key, doc_id, none, n, s1, s2 = (np.concatenate(c) for c in zip(*signs, strict=True))
+        rows.append((int((key[0] + turn * 7919) % buckets), _SIGNS, key.tobytes(), n.tobytes(), none.tobytes(), np.concatenate((doc_id.view(np.uint64), s1, s2)).tobytes()))
+        if sets:
+            postings(rows, np.array(keys, np.int64), sets, turn)
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _BLOB_DDL.split(", ")])
+
+    def postings(rows: list[tuple], keys: np.ndarray, sets: list, turn: int) -> None:
         lengths = np.array([len(s) for s in sets], np.int64)
-        ids_, sizes = np.array(ids, np.int64), lengths.astype(np.int32)
-        tokens = np.concatenate(sets) & _MASK
+        sizes, tokens = lengths.astype(np.int32), np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), lengths)
         bucket = ((tokens >> np.uint64(40)).astype(np.int64) * buckets) >> 24
         order = np.argsort(tokens, kind="stable")
         first, count = _runs(tokens[order])
         common = np.zeros(len(tokens), bool)
         common[order] = np.repeat(count >= COMMON, count)
-        rows: list[tuple] = []
 
         def add(where: int, kind: int, owner: np.ndarray, tokens: np.ndarray) -> None:
             start, runs = _runs(owner)
             who = owner[start]
-            rows.append((where, kind, ids_[who].tobytes(), sizes[who].tobytes(), runs.astype(np.int32).tobytes(), _pack(tokens)))
+            rows.append((where, kind, keys[who].tobytes(), sizes[who].tobytes(), runs.astype(np.int32).tobytes(), _pack(tokens)))
 
         rare = np.flatnonzero(~common)
         rare = rare[np.argsort(bucket[rare], kind="stable")]
@@ -133,35 +137,52 @@ def _blobs(k: int, buckets: int):
             held = np.flatnonzero(common)
             for i, a in enumerate(range(0, len(held), SLICE)):
                 part = held[a : a + SLICE]
-                add(int((ids[0] + turn * 7919 + i * 104729) % buckets), _PASSED, owner[part], tokens[part])
-        kinds_ = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds_, strict=True)], names=[c.split()[0] for c in _BLOB_DDL.split(", ")])
+                add(int((keys[0] + turn * 7919 + i * 104729) % buckets), _PASSED, owner[part], tokens[part])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sets, held, turn = [], [], 0, 0
+        keys, sets, signs, seen, held, turn = [], [], [], set(), 0, 0
+        key = TaskContext.get().partitionId() << 40
         for batch in batches:
-            keys = batch.column("doc_id").to_pylist()
-            for a, found in shingle_sets(batch.column("text"), k):
-                for i, s in enumerate(found):
-                    if len(s) and keys[a + i] is not None:
-                        ids.append(keys[a + i])
-                        sets.append(s)
-                        held += len(s)
+            ids = batch.column("doc_id")
+            for a, found, s1, s2 in shingle_sets(batch.column("text"), k):
+                n = np.array([len(s) for s in found], np.int64)
+                part = ids.slice(a, len(found))
+                signs.append((np.arange(key, key + len(found)), part.fill_null(0).to_numpy(), part.is_null().to_numpy(zero_copy_only=False), n, s1, s2))
+                for i in np.flatnonzero((n > 0) & (n * (100 - least) >= least)).tolist():  # a smaller set links only with its equal
+                    sign = (int(n[i]), int(s1[i]), int(s2[i]))
+                    if sign not in seen:  # once a unit; the first row of a class in all is the first of its unit
+                        seen.add(sign)
+                        keys.append(key + i)
+                        sets.append(found[i])
+                        held += len(found[i])
+                key += len(found)
                 if held >= UNIT_TOKENS:
-                    yield flush(ids, sets, turn)
-                    ids, sets, held, turn = [], [], 0, turn + 1
-        if sets:
-            yield flush(ids, sets, turn)
+                    yield flush(keys, sets, signs, turn)
+                    keys, sets, signs, seen, held, turn = [], [], [], set(), 0, turn + 1
+        if signs:
+            yield flush(keys, sets, signs, turn)
 
     return run
 
 
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for docs, sizes, counts, tokens in zip(*(batch.column(c).to_pylist() for c in ("docs", "sizes", "counts", "tokens")), strict=True):
+            doc_id, s1, s2 = np.frombuffer(tokens, np.int64).reshape(3, -1)
+            columns = [pa.array(np.frombuffer(docs, np.int64)), pa.array(doc_id, mask=np.frombuffer(counts, bool)), pa.array(np.frombuffer(sizes, np.int64)), pa.array(s1), pa.array(s2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "n", "s1", "s2"])
+
+
 def _count_bucket(groups: int):
     """Postings of one range of tokens -> those that two documents share, by group of the document."""
 
     def run(table: pa.Table) -> pa.Table:
         parts: dict[int, list] = {_POSTINGS: [], _PASSED: [], _COMMON: []}
+        rows: list[tuple] = []
         for row in table.to_pylist():
+            if row["kind"] == _SIGNS:
+                rows.append((_SIGNS, 0, row["docs"], row["sizes"], row["counts"], row["tokens"], b""))
+                continue
             tokens = _unpack(row["tokens"])
             if row["kind"] == _COMMON:
                 parts[_COMMON].append(tokens)
@@ -185,7 +206,6 @@ def _count_bucket(groups: int):
             docs.append(d[order]), sizes.append(s[order]), tokens.append(t[keep]), freqs.append(freq[keep])
         for d, s, t in parts[_PASSED]:
             docs.append(d), sizes.append(s), tokens.append(t), freqs.append(np.full(len(t), LAST))
-        rows: list[tuple] = []
         if docs:
             d, s, t, f = map(np.concatenate, (docs, sizes, tokens, freqs))
             group = (d ^ (d >> 11)) % groups  # as _part has it
@@ -193,8 +213,8 @@ def _count_bucket(groups: int):
             d, s, t, f, group = d[order], s[order], t[order], f[order], group[order]
             for a, m in zip(*_runs(group), strict=True):
                 start, runs = _runs(d[a : a + m])
-                rows.append((int(group[a]), d[a : a + m][start].tobytes(), s[a : a + m][start].tobytes(), runs.astype(np.int32).tobytes(), _pack(t[a : a + m]), f[a : a + m].tobytes()))
-        kinds = [pa.int32(), *[pa.binary()] * 5]
+                rows.append((_POSTINGS, int(group[a]), d[a : a + m][start].tobytes(), s[a : a + m][start].tobytes(), runs.astype(np.int32).tobytes(), _pack(t[a : a + m]), f[a : a + m].tobytes()))
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in _GROUP_DDL.split(", ")])
 
     return run
@@ -222,7 +242,7 @@ def _gather_documents(least: int):
         order = np.lexsort((t, f, d))
         d, s, t, f = d[order], s[order], t[order], f[order]
         new = np.ones(len(d), bool)
-        new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1])  # repeated rows
+        new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1])
         d, s, t, f = d[new], s[new], t[new], f[new]
         rows = []
         weight = np.concatenate(([0.0], np.cumsum(np.log(f))))
@@ -256,18 +276,57 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(size, pa.int32()), batch.column("na"), batch.column("nb")], names=["a", "b", "overlap", "na", "nb"])
 
 
+def _linked(least: int) -> Column:
+    return (F.lit(100 + least) * F.col("overlap")) >= F.lit(least) * (F.col("na") + F.col("nb"))
+
+
 def _compare(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """pairs (a, b) with the overlap of their sets and whether they link; computed once."""
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("left_tokens"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("right_tokens"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "left_tokens", "right_tokens")
     found = both.mapInArrow(_overlaps, "a long, b long, overlap int, na int, nb int")
-    linked = (F.lit(100 + least) * F.col("overlap")) >= F.lit(least) * (F.col("na") + F.col("nb"))
-    return materialize(found.withColumn("linked", linked))
+    return materialize(found.withColumn("linked", _linked(least)))
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a set lacks of its leader's tokens, and what it has besides them."""
+    for batch in batches:
+        lost, gained = [], []
+        for own, of_leader in zip(batch.column("tokens"), batch.column("leader_tokens"), strict=True):
+            x, y = _unpack(own.as_py()), _unpack(of_leader.as_py())
+            lost.append(_pack(np.setdiff1d(y, x, assume_unique=True)))
+            gained.append(_pack(np.setdiff1d(x, y, assume_unique=True)))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("leader", "id", "n", "inside")), pa.array(lost, pa.binary()), pa.array(gained, pa.binary())], names=["leader", "id", "n", "inside", "lost", "gained"])
+
+
+def _derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b and the overlap of their sets, from a's answer against the leader and the differences of both."""
+
+    def common(x: bytes, y: bytes) -> int:
+        return len(np.intersect1d(_unpack(x), _unpack(y), assume_unique=True))
+
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("inside", "left_lost", "left_gained", "right_lost", "right_gained"))
+        size = [inside - len(right_lost) // 8 + common(left_lost, right_lost) + common(left_gained, right_gained) for inside, left_lost, left_gained, right_lost, right_gained in zip(*columns, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(size, pa.int32()), batch.column("na"), batch.column("nb")], names=["a", "b", "overlap", "na", "nb"])
+
+
+def _derive(pairs: DataFrame, answers: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """The links among pairs (leader, a, b), from the answers against their leaders."""
+    needed = pairs.select("leader", F.col("a").alias("id")).union(pairs.select("leader", "b")).distinct()
+    known = needed.join(answers.select(F.col("a").alias("leader"), F.col("b").alias("id"), F.col("overlap").alias("inside")), ["leader", "id"])
+    own = known.join(sets.select("id", "n", "tokens"), "id").join(sets.select(F.col("id").alias("leader"), F.col("tokens").alias("leader_tokens")), "leader")
+    ddl = "leader long, id long, n int, inside int, lost binary, gained binary"
+    differences = materialize(own.select("leader", "id", "n", "inside", "tokens", "leader_tokens").mapInArrow(_differences, ddl))
+    left = differences.select("leader", F.col("id").alias("a"), F.col("n").alias("na"), "inside", F.col("lost").alias("left_lost"), F.col("gained").alias("left_gained"))
+    right = differences.select("leader", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("lost").alias("right_lost"), F.col("gained").alias("right_gained"))
+    both = pairs.join(left, ["leader", "a"]).join(right, ["leader", "b"]).drop("leader")
+    return materialize(both.mapInArrow(_derived, "a long, b long, overlap int, na int, nb int").where(_linked(least)).select("a", "b"))
 
 
 def _open_pairs(lists: DataFrame, answers: DataFrame, components: DataFrame, least: int) -> DataFrame:
-    """Pairs of one list, across components, that the answers against its leader leave open: a, b."""
+    """Pairs of one list, across components, that the answers against its leader leave open: leader, a, b; one, the closest, leader a pair."""
     known = answers.select(F.col("a").alias("leader"), F.col("b").alias("id"), "overlap")
     entries = lists.join(known, ["leader", "id"], "left").join(components.withColumnRenamed("node", "id"), "id", "left")
     entries = entries.select(
@@ -289,12 +348,12 @@ def _open_pairs(lists: DataFrame, answers: DataFrame, components: DataFrame, lea
     ]
     classes = ["token", "minor", "size_class", "position_class", "inside_class", "outside_class", "salt"]
     blocks = entries.select("*", *place).repartition(*classes).groupBy(*classes).agg(  # dealt by block, not by token
-        F.collect_list(F.struct("id", "n", "position", "inside", "outside", "component")).alias("sets"),
+        F.collect_list(F.struct("id", "n", "position", "inside", "outside", "component")).alias("sets"), F.first("leader").alias("leader"),
         F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("position")).alias("left"), F.max("inside").alias("inside"), F.max("outside").alias("outside"),
     )
-    blocks = materialize(blocks.select("token", "minor", "sets", "least_n", "most_n", "left", "inside", "outside"))
-    x = blocks.where("minor").select("token", *[F.col(c).alias(f"x_{c}") for c in blocks.columns if c != "token"])
-    y = blocks.select("token", *[F.col(c).alias(f"y_{c}") for c in blocks.columns if c != "token"])
+    blocks = materialize(blocks.select("token", "leader", "minor", "sets", "least_n", "most_n", "left", "inside", "outside"))
+    x = blocks.where("minor").select("token", *[F.col(c).alias(f"x_{c}") for c in blocks.columns if c not in ("token", "leader")])
+    y = blocks.select("token", "leader", *[F.col(c).alias(f"y_{c}") for c in blocks.columns if c not in ("token", "leader")])
 
     def may_reach(n_x, n_y, left, inside, outside):
         """Whether an overlap of at most least(left), and at most inside + outside, can link sets of these sizes."""
@@ -304,30 +363,36 @@ def _open_pairs(lists: DataFrame, answers: DataFrame, components: DataFrame, lea
     sizes = (F.lit(100) * F.col("y_most_n") >= F.lit(least) * F.col("x_least_n")) & (F.lit(100) * F.col("x_most_n") >= F.lit(least) * F.col("y_least_n"))
     bound = may_reach(F.col("x_least_n"), F.col("y_least_n"), F.least("x_left", "y_left"), F.least("x_inside", "y_inside"), F.least("x_outside", "y_outside"))
     met = x.join(y, "token").where(sizes & bound)
-    pairs = met.select(F.explode("x_sets").alias("x"), F.col("y_sets")).select("x", F.explode("y_sets").alias("y"))
+    pairs = met.select("leader", F.explode("x_sets").alias("x"), F.col("y_sets")).select("leader", "x", F.explode("y_sets").alias("y"))
     fine = may_reach(F.col("x.n"), F.col("y.n"), F.least(F.col("x.n") - F.col("x.position"), F.col("y.n") - F.col("y.position")), F.least("x.inside", "y.inside"), F.least("x.outside", "y.outside"))
     pairs = pairs.where(fine & (F.col("x.component") != F.col("y.component")))
-    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-
+    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), "leader", (F.col("x.inside") + F.col("y.inside")).alias("near"))
+    return pairs.groupBy("a", "b").agg(F.max_by("leader", F.struct("near", "leader")).alias("leader"))
 
-def set_similarity_components(docs: DataFrame, words: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id.
 
-    Two documents link when the Jaccard similarity of their sets of word n-grams
-    is at least ``least`` percent; a component is named by its smallest id.
-    """
+def _components(docs: DataFrame, words: int, least: int, id_col: str, text_col: str) -> DataFrame:
+    """One row a document: doc_id, n, s1, s2, component_id, and whether it is the first of its component."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    base = materialize(rows.mapInArrow(_signatures(words), "doc_id long, n long, s1 long, s2 long"))
-    classes = materialize(base.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    total = base.agg(F.sum("n")).first()[0] or 0
-
-    parts = max(2 * shuffle_partitions(spark), -(-total // BUCKET_TOKENS))
-    blobs = rows.mapInArrow(_blobs(words, parts), _BLOB_DDL)
-    shared = blobs.groupBy("bucket").applyInArrow(_count_bucket(parts), _GROUP_DDL)
-    firsts = classes.select("rep", _part("rep", parts).alias("part"))
-    live = shared.groupBy("part").cogroup(firsts.groupBy("part")).applyInArrow(_gather_documents(least), _LIVE_DDL)
+    rows = stable(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(2 * shuffle_partitions(spark), -(-size // (TOKEN_BYTES * BUCKET_TOKENS)))
+
+    path = scratch(spark, "shared-postings")
+    dealt = rows.mapInArrow(_blobs(words, parts, least), _BLOB_DDL).repartition(parts, "bucket")  # a task a bucket, however many there are
+    dealt.groupBy("bucket").applyInArrow(_count_bucket(parts), _GROUP_DDL).write.partitionBy("kind").parquet(path)
+    del dealt
+    release(spark)
+    shared = spark.read.schema(_GROUP_DDL).parquet(path)
+    base = materialize(shared.where(F.col("kind") == _SIGNS).select("docs", "sizes", "counts", "tokens").mapInArrow(_signatures, _SIGN_DDL))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best")
+    classes = materialize(base.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("key").alias("rep"), best, F.count("*").alias("copies")))
+    postings = shared.where(F.col("kind") == _POSTINGS).drop("kind").repartition(parts, "part")
+    firsts = classes.select("rep", _part("rep", parts).alias("part")).repartition(parts, "part")
+    live = postings.groupBy("part").cogroup(firsts.groupBy("part")).applyInArrow(_gather_documents(least), _LIVE_DDL)
     sets = materialize(live)
+    del shared, postings, live
+    remove(spark, path)
+    release(spark)
 
     postings = sets.mapInArrow(_postings, "token long, id long, n int, shared int, position int, central double")
     leaders = postings.groupBy("token").agg(F.count("*").alias("held"), F.max(F.struct("central", (-F.col("id")).alias("id"))).alias("top")).where("held > 1")
@@ -338,17 +403,40 @@ def set_similarity_components(docs: DataFrame, words: int = 5, least: int = 80,
     answers = _compare(stars, sets, least)
     edges = answers.where("linked").select("a", "b")
     components = connected_components(edges)
-    open_pairs = materialize(_open_pairs(lists, answers, components, least))
-    more = _compare(open_pairs, sets, least).where("linked").select("a", "b")
+    more = _derive(materialize(_open_pairs(lists, answers, components, least)), answers, sets, least)
     if not more.isEmpty():
         components = connected_components(edges.unionByName(more))
 
-    named = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return base.join(materialize(named), ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    joined = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left")
+    first = joined.where("component IS NOT NULL").groupBy("component").agg(F.min("best").alias("first"))
+    named = joined.where("copies > 1 OR component IS NOT NULL").join(first, "component", "left").select("n", "s1", "s2", F.coalesce("first", "best").alias("first"))
+    out = base.join(materialize(named), ["n", "s1", "s2"], "left")
+    alone = F.col("first").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return out.select("doc_id", "n", "s1", "s2", component.alias("component_id"), (alone | (F.col("first.key") == F.col("key"))).alias("kept"))
+
+
+def set_similarity_components(docs: DataFrame, words: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id.
+
+    Two documents link when the Jaccard similarity of their sets of word n-grams
+    is at least ``least`` percent; a component is named by its smallest id.
+    """
+    return _components(docs, words, least, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component, that of the smallest id, in the same columns."""
-    found = set_similarity_components(docs, words, least, id_col, text_col)
-    return keep_rows(docs, found.where("component_id = doc_id").select("doc_id").distinct(), id_col)
+    marks = ["__n", "__s1", "__s2"]
+
+    def mark(rows: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a, sets, s1, s2 in shingle_sets(batch.column(text_col), words):
+                    signs = [pa.array([len(s) for s in sets], pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays([*batch.slice(a, len(sets)).columns, *signs], names=[*batch.schema.names, *marks])
+
+        return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(m, T.LongType()) for m in marks)]))
+
+    found = _components(docs, words, least, id_col, text_col)
+    return keep_rows(docs, found.select("doc_id", "kept", *[F.col(m[2:]).alias(m) for m in marks]), mark, id_col)

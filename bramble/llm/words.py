@@ -23,13 +23,20 @@ MARKS = np.ones(256, dtype=bool)
 MARKS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _CODE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
-_FOLDED = _CODE.copy()
-_FOLDED[0x41:0x5B] = _CODE[0x61:0x7B]
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _MIX = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
+def _folding(code: np.ndarray) -> np.ndarray:
+    out = code.copy()
+    out[0x41:0x5B] = code[0x61:0x7B]
+    return out
+
+
+#: Two independent hashes of words: (codes of bytes, codes with A-Z folded, base).
+_HASHES = [(c, _folding(c), b) for c, b in ((_CODE, _BASE), (_RNG.integers(1, 1 << 63, 256, dtype=np.uint64), 0xD1342543DE82EF95))]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
@@ -108,12 +115,18 @@ def words(body: np.ndarray, at: np.ndarray, fold: bool = True, between: np.ndarr
     opens[1:] &= ~inside[:-1] | border[1:-1]
     closes = inside.copy()
     closes[:-1] &= ~inside[1:] | border[1:-1]
-    starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    starts, ends = np.flatnonzero(opens) + lo, np.flatnonzero(closes) + 1 + lo
+    return word_hashes(body, lo, hi, starts, ends, fold), starts, ends, np.searchsorted(starts, at)
+
+
+def word_hashes(body: np.ndarray, lo: int, hi: int, starts: np.ndarray, ends: np.ndarray, fold: bool = True, which: int = 0) -> np.ndarray:
+    """Hashes of the words body[starts:ends] within body[lo:hi]; which chooses one of two independent functions."""
+    code, folded, base = _HASHES[which]
+    text = body[lo:hi]
     total = np.zeros(len(text) + 1, dtype=np.uint64)
-    np.cumsum((_FOLDED if fold else _CODE)[text] * powers(_BASE, len(text)), out=total[1:])
-    hashes = (total[ends] - total[starts]) * powers(_INVERSE, len(text) + 1)[starts]
-    hashes = mix(hashes + (ends - starts).astype(np.uint64))
-    return hashes, starts + lo, ends + lo, np.searchsorted(starts, at - lo)
+    np.cumsum((folded if fold else code)[text] * powers(base, len(text)), out=total[1:])
+    hashes = (total[ends - lo] - total[starts - lo]) * powers(pow(base, -1, 1 << 64), len(text) + 1)[starts - lo]
+    return mix(hashes + (ends - starts).astype(np.uint64))
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,16 +152,26 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return out, out_first
 
 
-def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Yields (index of the first text, sorted distinct shingle hashes of each text) by chunks."""
+def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Yields (index of the first text, sorted distinct shingle hashes of each text, two digests of each set) by chunks.
+
+    The second digest is of an independent hash of the shingles, so that sets
+    alike in both are equal to 128 bits.
+    """
     body, at = string_buffers(column)
     for a, b in chunks(at):
-        hashes, _, _, first = words(body, at[a : b + 1])
-        out, cut = shingles(hashes, first, k)
-        sets = []
-        for i in range(b - a):
-            s = np.sort(out[cut[i] : cut[i + 1]])
-            if len(s) > 1:
-                s = s[np.concatenate(([True], s[1:] != s[:-1]))]
-            sets.append(s)
-        yield a, sets
+        cut = at[a : b + 1]
+        hashes, starts, ends, first = words(body, cut)
+        out, at_text = shingles(hashes, first, k)
+        other, _ = shingles(word_hashes(body, int(cut[0]), int(cut[-1]), starts, ends, which=1) if len(starts) else hashes, first, k)
+        owner = np.repeat(np.arange(b - a), np.diff(at_text))
+        order = np.lexsort((out, owner))
+        out, other = out[order], mix(other[order])
+        new = np.ones(len(out), bool)
+        new[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])
+        out, other, ends_at = out[new], other[new], np.concatenate(([0], np.cumsum(new)))[at_text]
+        digests = []
+        for values in (mix(out ^ np.uint64(_BASE)), other):
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)))
+            digests.append(mix(sums[ends_at[1:]] - sums[ends_at[:-1]]))
+        yield a, [out[x:y] for x, y in zip(ends_at[:-1].tolist(), ends_at[1:].tolist(), strict=True)], *digests

@@ -78,6 +78,46 @@ def test_awkward_rows(spark, small_tables, empty_tables):
     assert QUERIES["op1_ngram_jaccard"](spark, empty_tables).count() == 0
 
 
+def test_repeated_and_null_ids(spark):
+    """Rows of different texts under one id are documents of their own; those without an id join components too."""
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "a b c d"), (1, "e f g h"), (2, "e f g h"), (None, long), (None, long), (7, long + " end"), (None, "x y"), (None, "x  y"), (None, None), (5, "E F G H")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in set_similarity_components(docs, 5, 80).collect()), key=str)
+    assert got == sorted([(1, 1, 1), (1, 1, 1), (2, 1, 1), (5, 1, 1), (None, 36, 7), (None, 36, 7), (7, 37, 7), (None, 1, None), (None, 1, None), (None, 0, None)], key=str)
+    kept = sorted(((r.doc_id, (r.text or "").replace("  ", " ")) for r in drop_near_duplicates(docs).collect()), key=str)
+    assert kept == sorted([(1, "a b c d"), (1, "e f g h"), (7, long + " end"), (None, ""), (None, "x y")], key=str)
+
+
+def test_words_end_at_every_white_space(spark):
+    rows = [(1, "a\x0bb\x0cc\rd e"), (2, "A b\tC\nd E"), (3, "a\x1cb c d e"), (4, "a\u00a0b c d e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in set_similarity_components(docs, 4, 85).collect())
+    assert got == brute(rows, 4, 85) == [(1, 2, 1), (2, 2, 1), (3, 1, 3), (4, 1, 4)]
+
+
+def test_overlaps_are_derived_from_the_leader(spark, monkeypatch):
+    """Families around a center that links with none of their sides: their pairs are open and derived."""
+    r = random.Random(4)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for side in range(4):
+        own = list(base)
+        for i in range(side * 15, side * 15 + 12):
+            own[i] = f"s{side}x{i}"
+        for copy in range(8):
+            text = list(own)
+            text[r.randrange(60)] = f"c{side}y{copy}"
+            rows.append((len(rows), " ".join(text)))
+    rows.append((900, " ".join(base)))
+    derived = []
+    original = set_join._derive
+    monkeypatch.setattr(set_join, "_derive", lambda pairs, *rest: derived.append(pairs.count()) or original(pairs, *rest))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in set_similarity_components(docs, 1, 90).collect())
+    assert got == brute(rows, 1, 90) and derived[0] > 0
+
+
 def test_drop_keeps_one_of_each(spark):
     rows = corpus(7)
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, size string")
