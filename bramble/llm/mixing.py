@@ -3,18 +3,21 @@
 Documents are counted by source and exact token length.  A source whose target
 exceeds its size is taken whole as often as it fits; what remains of the budget
 is shared over the lengths in proportion, and a bounded-knapsack dynamic program
-over the left-over counts fits the last words.  From each length the documents
-with the smallest seeded hashes are selected, as many as the plan says: a
-histogram of the hash finds the cut, and only its one bucket is ranked, so no
-source, length or group of copies is gathered in one task.
+over the left-over counts fits its last part.  From each length the documents
+with the smallest seeded hashes (draws) are selected, as many as the plan says:
+two histograms of 64 buckets, one within a bucket of the other, and the distinct
+draws of the last bucket find the draw up to which documents are taken, so no
+source, length or group of copies is gathered in one task.  Whether a document
+is taken then follows from its own row and the plan.
 
 What the driver and the closure hold is one row a source.  A source of S words
 has at most sqrt(2 S) different lengths, which bounds the knapsack's group.
 
 Defined results: a null text has size 0; a null source is a source of its own,
-last in order; documents of size 0 take nothing; a null id is a document like
-others, repeated rows are documents of their own and interchangeable; an empty
-table gives an empty result; other columns are not read.
+last in order; documents of size 0 take nothing; rows without an id draw by
+their text; rows that share an id, or a draw, are documents of their own, and
+where the plan takes some of them only, they are interchangeable; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bramble.llm.common import WORD, materialize
@@ -32,10 +35,13 @@ from bramble.llm.common import WORD, materialize
 WEIGHTS = (1.0, 2.0, 3.0)
 #: No source or document is taken more often than this.
 MOST_REPEATS = 3
-#: The dynamic program's budget in words; above it whole documents are taken first.
+#: The dynamic program fits an eighth of what is left of a source's budget, and no more words than this.
 PROGRAM_WORDS = 1 << 16
-#: Buckets of the seeded hash.
-BUCKETS = 4096
+#: Bits of a draw, and of a histogram's buckets.
+DRAW_BITS, BUCKET_BITS = 48, 6
+#: Rows of a plan that are broadcast at most.
+BROADCAST_ROWS = 1 << 20
+_PLACE = ["__no_source", "__source", "__size"]
 
 
 def fill_targets(sizes: Sequence[int], weights: Sequence[float], cap: float = MOST_REPEATS) -> list[float]:
@@ -59,27 +65,27 @@ def fill_targets(sizes: Sequence[int], weights: Sequence[float], cap: float = MO
 
 
 def bounded_knapsack(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
-    """How many of each length to take, at most counts, for the largest sum up to budget."""
+    """How many of each length to take, at most counts, for the largest sum up to budget; memory is that of the budget."""
     taken = [0] * len(lengths)
-    items = []
+    reach = np.zeros(budget + 1, bool)
+    reach[0] = True
+    last = np.zeros(budget + 1, np.int32)  # the first item with which a sum is reached
+    items: list[tuple[int, int, int]] = []
     for i, (length, count) in enumerate(zip(lengths, counts, strict=True)):
         count, piece = min(count, budget // length), 1
-        while count > 0:
+        while count > 0 and not reach[budget]:
             part = min(piece, count)
-            items.append((length * part, i, part))
+            weight = length * part
+            new = reach[: budget + 1 - weight] & ~reach[weight:]
+            last[weight:][new] = len(items)
+            reach[weight:] |= new
+            items.append((weight, i, part))
             count, piece = count - part, piece * 2
-    mask, reach = (1 << (budget + 1)) - 1, 1
-    steps = []
-    for weight, i, part in items:
-        if reach >> budget & 1:
-            break
-        steps.append((reach, weight, i, part))
-        reach = (reach | reach << weight) & mask
-    at = reach.bit_length() - 1
-    for before, weight, i, part in reversed(steps):
-        if not before >> at & 1:
-            taken[i] += part
-            at -= weight
+    at = int(np.flatnonzero(reach)[-1])
+    while at:
+        weight, i, part = items[last[at]]
+        taken[i] += part
+        at -= weight
     return taken
 
 
@@ -91,71 +97,99 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple
         return 0, extra
     whole = min(int(target // size), MOST_REPEATS)
     rest = 0 if whole == MOST_REPEATS else int(round(target - whole * size))
-    used = lengths > 0
-    share = [int(c) * rest // size for c in counts]
-    extra[used] = np.array(share, np.int64)[used]
-    rest -= int((extra * lengths).sum())
+    share = rest - min(PROGRAM_WORDS, rest // 8)
+    held = took = 0
     for i in np.argsort(-lengths, kind="stable"):
-        length = int(lengths[i])
-        if length and rest > PROGRAM_WORDS:
-            more = min(int(counts[i] - extra[i]), (rest - PROGRAM_WORDS) // length)
-            extra[i] += more
-            rest -= more * length
+        length, count = int(lengths[i]), int(counts[i])
+        if length:
+            held += count * length
+            extra[i] = more = min(count, (held * share // size - took) // length)  # what a length falls short of goes to the shorter ones
+            took += int(more) * length
     order = [int(i) for i in np.argsort(lengths, kind="stable") if lengths[i] > 0 and counts[i] > extra[i]]
-    rest = min(rest, PROGRAM_WORDS + int(lengths.max()))
-    for i, more in zip(order, bounded_knapsack([int(lengths[i]) for i in order], [int(counts[i] - extra[i]) for i in order], max(rest, 0)), strict=True):
+    for i, more in zip(order, bounded_knapsack([int(lengths[i]) for i in order], [int(counts[i] - extra[i]) for i in order], max(rest - took, 0)), strict=True):
         extra[i] += more
     return whole, extra
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, seed: int = 11) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, taken, copies."""
-    spark = docs.sparkSession
-    key, source = F.col(f"`{id_col}`"), F.col(f"`{source_col}`")
-    size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
-    slim = materialize(
-        docs.select(
-            key.cast("long").alias("doc_id"), source.alias("source"), source.isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("source_key"), size.alias("size"),
-            F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)).alias("draw"),
-        ).withColumn("bucket", (F.col("draw") % BUCKETS).cast("int"))
-    )
-    place = ["no_source", "source_key"]
-    sizes = {(r["no_source"], r["source_key"]): r["words"] for r in slim.groupBy(*place).agg(F.sum("size").alias("words")).collect()}  # one row a source
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """docs with what decides about a row: its source, size and draw, from its contents alone."""
+    key, text, source = (F.col(f"`{c}`") for c in (id_col, text_col, source_col))
+    draw = F.when(key.isNotNull(), F.xxhash64(key, F.lit(seed))).otherwise(F.xxhash64(text, F.lit(seed + 1)))
+    return docs.withColumns({
+        "__no_source": source.isNull(), "__source": F.coalesce(source, F.lit("")), "__size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"),
+        "__draw": F.shiftrightunsigned(draw, 64 - DRAW_BITS),
+    })
+
+
+def _cut(rows: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
+    """For each group of rows (with ``rest``), the value of that many-th row in order: by, name, held there, rest within."""
+    counted = rows.groupBy(*by, "rest", value.alias(name)).agg(F.count("*").alias("held"))
+    before = F.sum("held").over(Window.partitionBy(*by).orderBy(name)) - F.col("held")
+    found = counted.withColumn("before", before).where("before < rest AND before + held >= rest")
+    return materialize(found.select(*by, name, "held", (F.col("rest") - F.col("before")).alias("rest")))
+
+
+def _plan(slim: DataFrame, weights: Sequence[float]) -> tuple[DataFrame, DataFrame]:
+    """(plan by source and size: whole, cut, ties, quota; sizes and targets of the sources)."""
+    spark, by = slim.sparkSession, _PLACE
+    sizes = {(r[0], r[1]): r[2] for r in slim.groupBy(*by[:2]).agg(F.sum("__size")).collect()}  # one row a source
     order = sorted(sizes)  # code points, null last
     targets = dict(zip(order, fill_targets([sizes[k] for k in order], [weights[i % len(weights)] for i in range(len(order))]), strict=True))
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        whole, extra = fit_lengths(rows["size"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), targets[bool(key[0]), key[1]])
+        whole, extra = fit_lengths(rows["__size"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), targets[bool(key[0]), key[1]])
         return rows.assign(whole=whole, extra=extra)
 
-    lengths = slim.groupBy(*place, "size").agg(F.count("*").alias("n"))
-    plan = materialize(lengths.groupBy(*place).applyInPandas(fit, "no_source boolean, source_key string, size long, n long, whole int, extra long"))
+    lengths = slim.groupBy(*by).agg(F.count("*").alias("n"))
+    plan = materialize(lengths.groupBy(*by[:2]).applyInPandas(fit, "__no_source boolean, __source string, __size long, n long, whole int, extra long"))
+
+    draw, low = F.col("__draw"), DRAW_BITS - BUCKET_BITS
+    high = F.shiftright(draw, low)
+    next_ = F.shiftright(draw, low - BUCKET_BITS).bitwiseAND(F.lit((1 << BUCKET_BITS) - 1))
+    some = plan.where("extra > 0 AND extra < n").select(*by, F.col("extra").alias("rest"))
+    first = _cut(slim.join(some, by), by, high, "high")
+    second = _cut(slim.withColumn("high", high).join(first.drop("held"), [*by, "high"]), [*by, "high"], next_, "next")
+    last = slim.withColumns({"high": high, "next": next_}).join(second.drop("held"), [*by, "high", "next"])
+    cuts = _cut(last, by, draw, "cut")
+    every = F.when(F.col("extra") >= F.col("n"), F.lit(1 << DRAW_BITS)).otherwise(F.lit(-1))
+    plan = plan.join(cuts, by, "left").select(*by, "whole", F.coalesce("cut", every).alias("cut"), F.coalesce("held", F.lit(0)).alias("ties"), F.coalesce("rest", F.lit(0)).alias("quota"))
+    totals = spark.createDataFrame([(*k, sizes[k], targets[k]) for k in order], "__no_source boolean, __source string, source_size long, target double")
+    return materialize(plan), totals
+
+
+def _with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows (placed) with ``__copies``."""
+    columns = rows.columns
+    joined = rows.join(F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan, _PLACE)
+    split = (F.col("__draw") == F.col("cut")) & (F.col("quota") < F.col("ties"))
+    out = joined.where(~split).select(*columns, (F.col("whole") + (F.col("__draw") <= F.col("cut")).cast("int")).alias("__copies"))
+    if plan.where("quota < ties").isEmpty():
+        return out
+    # Documents of one draw, some of which are taken: the first ones by stored partition, and by place within it.
+    tied = materialize(joined.where(split)).withColumn("__part", F.spark_partition_id())
+    counts = tied.groupBy(*_PLACE, "__part").agg(F.count("*").alias("held"))
+    before = counts.select(*_PLACE, "__part", (F.sum("held").over(Window.partitionBy(*_PLACE).orderBy("__part")) - F.col("held")).alias("before"))
+    place = F.row_number().over(Window.partitionBy(*_PLACE, "__part").orderBy(F.lit(1)))
+    ranked = tied.join(before, [*_PLACE, "__part"]).withColumn("__place", place + F.col("before"))
+    return out.unionByName(ranked.select(*columns, (F.col("whole") + (F.col("__place") <= F.col("quota")).cast("int")).alias("__copies")))
 
-    by = [*place, "size"]
-    some = plan.where("extra > 0 AND extra < n").select(*by, "extra")
-    counted = slim.groupBy(*by, "bucket").agg(F.count("*").alias("held")).join(some, by)
-    before = F.sum("held").over(Window.partitionBy(*by).orderBy("bucket")) - F.col("held")
-    cuts = counted.withColumn("before", before).where("before < extra AND before + held >= extra").select(*by, F.col("bucket").alias("cut"), (F.col("extra") - F.col("before")).alias("rest"))
-    whole_cut = F.when(F.col("extra") >= F.col("n"), F.lit(BUCKETS)).otherwise(F.lit(-1))
-    plan = materialize(plan.join(cuts, by, "left").select(*by, "whole", F.coalesce("cut", whole_cut).alias("cut"), F.coalesce("rest", F.lit(0)).alias("rest")))
 
-    # Only the bucket of a cut is ranked; it is part of the key, so that a hot source and length spreads over its buckets.
-    ranked = slim.join(plan.where("rest > 0").withColumnRenamed("cut", "bucket"), [*by, "bucket"])
-    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy(*by, "bucket").orderBy("draw", "doc_id")))
-    copies = (
-        slim.join(plan, by).where("bucket <> cut").withColumn("copies", F.col("whole") + (F.col("bucket") < F.col("cut")).cast("int")).drop("cut")
-        .unionByName(ranked.withColumn("copies", F.col("whole") + (F.col("place") <= F.col("rest")).cast("int")).drop("place"))
-    )
-    totals = spark.createDataFrame([(*k, sizes[k], targets[k]) for k in order], "no_source boolean, source_key string, source_size long, target double")
-    return copies.join(F.broadcast(totals), place).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, seed: int = 11) -> DataFrame:
+    """One row a document: doc_id, source, size, source_size, target, taken, copies."""
+    placed = _placed(docs.select(*{id_col: 0, text_col: 0, source_col: 0}), id_col, text_col, source_col, seed)
+    slim = materialize(placed.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *_PLACE, "__draw"))
+    plan, totals = _plan(slim, weights)
+    copies = _with_copies(slim, plan).join(totals, _PLACE[:2])
+    source, size = F.when(~F.col("__no_source"), F.col("__source")), F.col("__size")
+    return copies.select("doc_id", source.alias("source"), size.alias("size"), "source_size", "target", (size * F.col("__copies")).alias("taken"), F.col("__copies").alias("copies"))
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, seed: int = 11) -> DataFrame:
     """docs that the mix takes, with how often: its columns and ``copies``, which replaces a column of that name.
 
-    Rows under one id, also those without one, share the largest number of the id.
+    Every row is decided on by itself, so the mix meets its targets on rows that share an id, or have none, as well.
     """
     docs = docs.drop("copies")
-    plan = mix_sources(docs, id_col, text_col, source_col, weights, seed).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    plan = plan.select(F.col("doc_id").alias("__mixed_id"), "copies")
-    return docs.join(plan, F.col(f"`{id_col}`").eqNullSafe(F.col("__mixed_id"))).drop("__mixed_id")
+    placed = _placed(docs, id_col, text_col, source_col, seed)
+    plan, _ = _plan(materialize(placed.select(*_PLACE, "__draw")), weights)
+    return _with_copies(placed, plan).where("__copies > 0").select(*docs.columns, F.col("__copies").alias("copies"))
