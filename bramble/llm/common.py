@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -66,8 +67,10 @@ def stable(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of steps that nothing refers to any longer."""
-    gc.collect()  # the Python side's references go first
-    spark._jvm.System.gc()
+    for _ in range(2):  # what refers to a shuffle goes in the first round, the shuffle in the second
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -45,10 +45,12 @@ by a 64-bit hash, equal sets by 128 bits.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,7 +61,7 @@ from bramble.llm.components import connected_components
 from bramble.llm.words import shingle_sets
 
 #: Tokens of a unit of input, of a bucket at most on average, and postings in a row that only passes through.
-UNIT_TOKENS, BUCKET_TOKENS, SLICE = 1 << 20, 1 << 21, 1 << 15
+UNIT_TOKENS, BUCKET_TOKENS, SLICE = 1 << 20, 1 << 19, 1 << 15
 #: Documents of one unit that make a token a common one.
 COMMON = 24
 #: The frequency of common tokens: after all others.
@@ -81,11 +83,27 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).reshape(-1).view(np.uint64)
 
 
-_BLOB_DDL = "bucket int, kind int, docs binary, sizes binary, counts binary, tokens binary"
-_GROUP_DDL = "kind int, part int, docs binary, sizes binary, counts binary, tokens binary, freqs binary"
+def _zip(*columns: np.ndarray) -> bytes:
+    """Small columns of integers as one block: their differences, as planes of bytes, compressed."""
+    raw = pickle.dumps([(c.dtype.str, np.ascontiguousarray(np.diff(c, prepend=c.dtype.type(0)).view(np.uint8).reshape(len(c), -1).T).tobytes()) for c in columns])
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unzip(data: bytes) -> list[np.ndarray]:
+    out = []
+    for kind, body in pickle.loads(pa.decompress(data[4:], int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True)):
+        width = np.dtype(kind).itemsize
+        out.append(np.cumsum(np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(width, -1).T).view(kind).reshape(-1), dtype=kind))
+    return out
+
+
+_BLOB_DDL = "bucket int, kind int, head binary, tokens binary"
+_GROUP_DDL = "kind int, part int, head binary, tokens binary"
 _LIVE_DDL = "id long, n int, shared int, probes int, central double, tokens binary"
 _SIGN_DDL = "key long, doc_id long, n long, s1 long, s2 long"
 _POSTINGS, _PASSED, _COMMON, _SIGNS = 0, 1, 2, 3
+#: Blocks are compressed as they are made; a codec of Parquet would take its buffers outside the heap.
+_PLAIN = {"compression": "none", "parquet.enable.dictionary": "false"}
 
 
 def _runs(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,10 +118,10 @@ def _blobs(k: int, buckets: int, least: int):
     def flush(keys: list, sets: list, signs: list, turn: int) -> pa.RecordBatch:
         rows: list[tuple] = []
         key, doc_id, none, n, s1, s2 = (np.concatenate(c) for c in zip(*signs, strict=True))
-        rows.append((int((key[0] + turn * 7919) % buckets), _SIGNS, key.tobytes(), n.tobytes(), none.tobytes(), np.concatenate((doc_id.view(np.uint64), s1, s2)).tobytes()))
+        rows.append((int((key[0] + turn * 7919) % buckets), _SIGNS, _zip(key, doc_id, none.astype(np.int8), n), np.concatenate((s1, s2)).tobytes()))
         if sets:
             postings(rows, np.array(keys, np.int64), sets, turn)
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _BLOB_DDL.split(", ")])
 
     def postings(rows: list[tuple], keys: np.ndarray, sets: list, turn: int) -> None:
@@ -119,7 +137,7 @@ def _blobs(k: int, buckets: int, least: int):
         def add(where: int, kind: int, owner: np.ndarray, tokens: np.ndarray) -> None:
             start, runs = _runs(owner)
             who = owner[start]
-            rows.append((where, kind, keys[who].tobytes(), sizes[who].tobytes(), runs.astype(np.int32).tobytes(), _pack(tokens)))
+            rows.append((where, kind, _zip(keys[who], sizes[who], runs.astype(np.int32)), _pack(tokens)))
 
         rare = np.flatnonzero(~common)
         rare = rare[np.argsort(bucket[rare], kind="stable")]
@@ -133,7 +151,7 @@ def _blobs(k: int, buckets: int, least: int):
             where = ((kinds >> np.uint64(40)).astype(np.int64) * buckets) >> 24
             start, runs = _runs(where)
             for a, m in zip(start, runs, strict=True):
-                rows.append((int(where[a]), _COMMON, b"", b"", b"", _pack(kinds[a : a + m])))
+                rows.append((int(where[a]), _COMMON, b"", _pack(kinds[a : a + m])))
             held = np.flatnonzero(common)
             for i, a in enumerate(range(0, len(held), SLICE)):
                 part = held[a : a + SLICE]
@@ -167,10 +185,9 @@ def _blobs(k: int, buckets: int, least: int):
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for docs, sizes, counts, tokens in zip(*(batch.column(c).to_pylist() for c in ("docs", "sizes", "counts", "tokens")), strict=True):
-            doc_id, s1, s2 = np.frombuffer(tokens, np.int64).reshape(3, -1)
-            columns = [pa.array(np.frombuffer(docs, np.int64)), pa.array(doc_id, mask=np.frombuffer(counts, bool)), pa.array(np.frombuffer(sizes, np.int64)), pa.array(s1), pa.array(s2)]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "n", "s1", "s2"])
+        for head, tokens in zip(batch.column("head").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+            (key, doc_id, none, n), (s1, s2) = _unzip(head), np.frombuffer(tokens, np.int64).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc_id, mask=none != 0), pa.array(n), pa.array(s1), pa.array(s2)], names=["key", "doc_id", "n", "s1", "s2"])
 
 
 def _count_bucket(groups: int):
@@ -181,14 +198,14 @@ def _count_bucket(groups: int):
         rows: list[tuple] = []
         for row in table.to_pylist():
             if row["kind"] == _SIGNS:
-                rows.append((_SIGNS, 0, row["docs"], row["sizes"], row["counts"], row["tokens"], b""))
+                rows.append((_SIGNS, 0, row["head"], row["tokens"]))
                 continue
             tokens = _unpack(row["tokens"])
             if row["kind"] == _COMMON:
                 parts[_COMMON].append(tokens)
             else:
-                times = np.frombuffer(row["counts"], np.int32)
-                parts[row["kind"]].append((np.repeat(np.frombuffer(row["docs"], np.int64), times), np.repeat(np.frombuffer(row["sizes"], np.int32), times), tokens))
+                who, sizes_, times = _unzip(row["head"])
+                parts[row["kind"]].append((np.repeat(who, times), np.repeat(sizes_, times), tokens))
         docs, sizes, tokens, freqs = [], [], [], []
         if parts[_POSTINGS]:
             d, s, t = (np.concatenate(x) for x in zip(*parts[_POSTINGS], strict=True))
@@ -213,13 +230,26 @@ def _count_bucket(groups: int):
             d, s, t, f, group = d[order], s[order], t[order], f[order], group[order]
             for a, m in zip(*_runs(group), strict=True):
                 start, runs = _runs(d[a : a + m])
-                rows.append((_POSTINGS, int(group[a]), d[a : a + m][start].tobytes(), s[a : a + m][start].tobytes(), runs.astype(np.int32).tobytes(), _pack(t[a : a + m]), f[a : a + m].tobytes()))
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+                rows.append((_POSTINGS, int(group[a]), _zip(d[a : a + m][start], s[a : a + m][start], runs.astype(np.int32), f[a : a + m].astype(np.int32)), _pack(t[a : a + m])))
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in _GROUP_DDL.split(", ")])
 
     return run
 
 
+def _whole(step, ddl: str):
+    """A step over the one table of a partition, which holds one bucket or group."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "binary": pa.binary()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ddl.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b.cast(schema) for b in batches if b.num_rows]
+        if held:
+            yield from step(pa.Table.from_batches(held, schema)).to_batches()
+
+    return run
+
+
 def _part(key: str, groups: int) -> Column:
     """The group of a document."""
     return F.pmod(F.col(key).bitwiseXOR(F.shiftright(key, 11)), F.lit(groups)).cast("int")
@@ -228,16 +258,15 @@ def _part(key: str, groups: int) -> Column:
 def _gather_documents(least: int):
     """Shared postings of one group of documents -> the sets, one a class, that may have a link, tokens rarest first."""
 
-    def run(table: pa.Table, classes: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> pa.Table:
         cols: list[list] = [[], [], [], []]
-        for row in table.to_pylist():
-            times = np.frombuffer(row["counts"], np.int32)
-            cols[0].append(np.repeat(np.frombuffer(row["docs"], np.int64), times))
-            cols[1].append(np.repeat(np.frombuffer(row["sizes"], np.int32), times))
-            cols[2].append(_unpack(row["tokens"]))
-            cols[3].append(np.frombuffer(row["freqs"], np.uint32))
-        d, s, t, f = (np.concatenate(c) if c else np.zeros(0, kind) for c, kind in zip(cols, (np.int64, np.int32, np.uint64, np.uint32), strict=True))
-        first = np.isin(d, classes.column("rep").to_numpy())
+        classes = table.column("rep").drop_null().to_numpy()
+        for row in table.filter(pc.is_null(table.column("rep"))).to_pylist():
+            who, sizes, times, freqs = _unzip(row["head"])
+            for column, values in zip(cols, (np.repeat(who, times), np.repeat(sizes, times), _unpack(row["tokens"]), freqs), strict=True):
+                column.append(values)
+        d, s, t, f = (np.concatenate(c) if c else np.zeros(0, kind) for c, kind in zip(cols, (np.int64, np.int32, np.uint64, np.int32), strict=True))
+        first = np.isin(d, classes)
         d, s, t, f = d[first], s[first], t[first], f[first]
         order = np.lexsort((t, f, d))
         d, s, t, f = d[order], s[order], t[order], f[order]
@@ -378,19 +407,19 @@ def _components(docs: DataFrame, words: int, least: int, id_col: str, text_col:
     parts = max(2 * shuffle_partitions(spark), -(-size // (TOKEN_BYTES * BUCKET_TOKENS)))
 
     path = scratch(spark, "shared-postings")
-    dealt = rows.mapInArrow(_blobs(words, parts, least), _BLOB_DDL).repartition(parts, "bucket")  # a task a bucket, however many there are
-    dealt.groupBy("bucket").applyInArrow(_count_bucket(parts), _GROUP_DDL).write.partitionBy("kind").parquet(path)
+    dealt = rows.mapInArrow(_blobs(words, parts, least), _BLOB_DDL).repartitionById(parts, "bucket")  # a task a bucket, however many there are
+    dealt.mapInArrow(_whole(_count_bucket(parts), _BLOB_DDL), _GROUP_DDL).write.partitionBy("kind").options(**_PLAIN).parquet(path)
     del dealt
     release(spark)
     shared = spark.read.schema(_GROUP_DDL).parquet(path)
-    base = materialize(shared.where(F.col("kind") == _SIGNS).select("docs", "sizes", "counts", "tokens").mapInArrow(_signatures, _SIGN_DDL))
+    base = materialize(shared.where(F.col("kind") == _SIGNS).select("head", "tokens").mapInArrow(_signatures, _SIGN_DDL))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best")
     classes = materialize(base.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("key").alias("rep"), best, F.count("*").alias("copies")))
-    postings = shared.where(F.col("kind") == _POSTINGS).drop("kind").repartition(parts, "part")
-    firsts = classes.select("rep", _part("rep", parts).alias("part")).repartition(parts, "part")
-    live = postings.groupBy("part").cogroup(firsts.groupBy("part")).applyInArrow(_gather_documents(least), _LIVE_DDL)
+    firsts = classes.select(_part("rep", parts).alias("part"), "rep", *[F.lit(None).cast(k).alias(c) for c, k in (x.split() for x in _GROUP_DDL.split(", ")[2:])])
+    postings = shared.where(F.col("kind") == _POSTINGS).select("part", F.lit(None).cast("long").alias("rep"), *firsts.columns[2:])
+    live = postings.unionByName(firsts).repartitionById(parts, "part").mapInArrow(_whole(_gather_documents(least), ", ".join(f"{c} {k}" for c, k in firsts.dtypes)), _LIVE_DDL)
     sets = materialize(live)
-    del shared, postings, live
+    del shared, postings, firsts, live
     remove(spark, path)
     release(spark)
 

@@ -164,14 +164,15 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarra
         hashes, starts, ends, first = words(body, cut)
         out, at_text = shingles(hashes, first, k)
         other, _ = shingles(word_hashes(body, int(cut[0]), int(cut[-1]), starts, ends, which=1) if len(starts) else hashes, first, k)
-        owner = np.repeat(np.arange(b - a), np.diff(at_text))
-        order = np.lexsort((out, owner))
-        out, other = out[order], mix(other[order])
-        new = np.ones(len(out), bool)
-        new[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])
-        out, other, ends_at = out[new], other[new], np.concatenate(([0], np.cumsum(new)))[at_text]
-        digests = []
-        for values in (mix(out ^ np.uint64(_BASE)), other):
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)))
-            digests.append(mix(sums[ends_at[1:]] - sums[ends_at[:-1]]))
-        yield a, [out[x:y] for x, y in zip(ends_at[:-1].tolist(), ends_at[1:].tolist(), strict=True)], *digests
+        values = [mix(out ^ np.uint64(_BASE)), mix(other)]
+        sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64))) for v in values]
+        digests = [t[at_text[1:]] - t[at_text[:-1]] for t in sums]
+        sets = []
+        for i, (x, y) in enumerate(zip(at_text[:-1].tolist(), at_text[1:].tolist(), strict=True)):
+            found = np.sort(out[x:y])
+            if y - x > 1 and (found[1:] == found[:-1]).any():
+                found, at_first = np.unique(out[x:y], return_index=True)
+                for d, v in zip(digests, values, strict=True):
+                    d[i] = v[x:y][at_first].sum(dtype=np.uint64)
+            sets.append(found)
+        yield a, sets, *map(mix, digests)
