@@ -2,7 +2,7 @@
 
 Strength 1 ignores case and accents, 2 ignores case, 3 (the default) neither.
 Options that Spark's collations do not have are refused, not approximated;
-numeric ordering is emulated with a padded key.
+numeric ordering is emulated by a key in which every number follows its length.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from bramble.plans.bql import BqlError
 
 _DEFAULTS = {"strength": 3, "case_level": False, "case_first": "off", "numeric_ordering": False, "alternate": "non-ignorable", "backwards": False, "normalization": False, "max_variable": "punct"}
-#: Digits that a number is padded to in the key of numeric ordering.
-PAD = 20
+#: Digits of the length that precedes a number in the key of numeric ordering; no text has more digits.
+LENGTH_DIGITS = 10
 
 
 @dataclass(frozen=True)
@@ -54,8 +54,9 @@ class Collation:
         """What orders and compares as the column does under this collation."""
         if self.numeric_ordering:
             pieces = F.regexp_extract_all(column, F.lit(r"(\d+|\D+)"), F.lit(1))
-            padded = F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, r"^0+(?=\d)", ""), PAD, "0")).otherwise(p))
-            column = F.array_join(padded, "")
+            number = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+            sized = F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.char_length(number(p)).cast("string"), LENGTH_DIGITS, "0"), number(p))).otherwise(p))
+            column = F.array_join(sized, "")
         return F.collate(column, self.name)
 
     def compare(self, column: Column, op: str, value: str) -> Column:
