@@ -41,21 +41,28 @@ def sort_order(df: DataFrame, field: str, direction: str = "ASC", id_col: str =
 
 
 def variant_key(column: Column) -> Column:
-    """What orders VARIANT values by type bracket, then by value: null, number, string, document, array, boolean."""
+    """What orders VARIANT values by type bracket, then by value: null, number, string, document, array, binary, object id, boolean, datetime, timestamp."""
     kind = F.schema_of_variant(column)
     number = kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)")
+    integral = kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL)")
+    binary, object_id, moment, stamp = dynamic.binary_of(column), dynamic.object_id_of(column), dynamic.datetime_of(column), dynamic.timestamp_of(column)
     rank = (
-        F.when(column.isNull() | (kind == "VOID"), 0).when(number, 1).when(kind == "STRING", 2).when(kind.startswith("OBJECT"), 3)
-        .when(kind.startswith("ARRAY"), 4).when(kind == "BOOLEAN", 7).otherwise(8)
+        F.when(column.isNull() | (kind == "VOID"), 0).when(number, 1).when(kind == "STRING", 2).when(binary.isNotNull(), 5).when(object_id.isNotNull(), 6)
+        .when(moment.isNotNull(), 8).when(stamp.isNotNull(), 9).when(kind.startswith("OBJECT"), 3).when(kind.startswith("ARRAY"), 4).when(kind == "BOOLEAN", 7).otherwise(10)
     )
-    exact = F.when(kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL)"), F.try_variant_get(column, "$", "decimal(38,10)"))
     return F.struct(
         rank.alias("rank"),
         F.when(number, F.try_variant_get(column, "$", "double")).alias("double"),
-        exact.alias("exact"),
+        # Doubles tie where decimals of 38 digits do not: by whole numbers, then by what follows the point.
+        F.when(integral, F.try_variant_get(column, "$", "decimal(38,0)")).alias("whole"),
+        F.when(integral, F.try_variant_get(column, "$", "decimal(38,18)")).alias("exact"),
         F.when(kind == "STRING", F.try_variant_get(column, "$", "string")).alias("string"),
         F.when(kind == "BOOLEAN", F.try_variant_get(column, "$", "boolean")).alias("boolean"),
-        F.when(rank.isin(3, 4), F.to_json(column)).alias("json"),
+        F.when(rank == 5, binary).alias("binary"),
+        F.when(rank == 6, object_id).alias("object_id"),
+        F.when(rank == 8, moment).alias("moment"),
+        F.when(rank == 9, stamp).alias("timestamp"),
+        F.when(rank.isin(3, 4, 10), F.to_json(column)).alias("json"),
     )
 
 

@@ -117,13 +117,56 @@ def _matches(e: Column, item: Literal) -> Column:
     return _scalar(e, "eq", item)
 
 
+#: Extended JSON: the wrapper of a kind of value and the type that its body is read as.
+_WRAPPERS = {"objectid": ("$oid", "string"), "datetime": ("$date", "string"), "binary": ("$binary", "string"), "timestamp": ("$timestamp", "variant")}
+_ZONED = r"(Z|[+-]\d{2}:?\d{2})$"
+
+
+def _wrapped(e: Column, kind: str) -> Column:
+    name, target = _WRAPPERS[kind]
+    return F.when(kind_of(e).startswith("OBJECT"), F.try_variant_get(e, f"$['{name}']", target))
+
+
+def datetime_of(e: Column) -> Column:
+    """The moment of a date or timestamp value, or of {"$date": text or milliseconds}, as TIMESTAMP_NTZ in UTC; else null."""
+    kind = kind_of(e)
+    in_utc = lambda t: F.convert_timezone(F.current_timezone(), F.lit("UTC"), t.cast("timestamp_ntz"))
+    text = _wrapped(e, "datetime")
+    millis = F.coalesce(F.try_variant_get(e, "$['$date']", "bigint"), F.try_variant_get(e, "$['$date']['$numberLong']", "bigint"))
+    zoned = F.when(text.rlike(_ZONED), in_utc(F.try_to_timestamp(text))).otherwise(text.try_cast("timestamp_ntz"))
+    body = F.when(text.rlike(r"^\d{4}-"), zoned).otherwise(in_utc(F.timestamp_millis(millis)))
+    return (
+        F.when(kind == "TIMESTAMP_NTZ", F.try_variant_get(e, "$", "timestamp_ntz")).when(kind == "TIMESTAMP", in_utc(F.try_variant_get(e, "$", "timestamp")))
+        .when(kind == "DATE", F.try_variant_get(e, "$", "date").cast("timestamp_ntz")).when(kind.startswith("OBJECT"), body)
+    )
+
+
+def binary_of(e: Column) -> Column:
+    """The bytes of a binary value, or of {"$binary": base64}; else null."""
+    text = F.coalesce(F.try_variant_get(e, "$['$binary']['base64']", "string"), _wrapped(e, "binary"))
+    return F.when(kind_of(e) == "BINARY", F.try_variant_get(e, "$", "binary")).when(kind_of(e).startswith("OBJECT"), F.try_to_binary(text, F.lit("base64")))
+
+
+def object_id_of(e: Column) -> Column:
+    """The hex digits of {"$oid": text}; else null."""
+    return F.lower(_wrapped(e, "objectid"))
+
+
+def timestamp_of(e: Column) -> Column:
+    """The number of {"$timestamp": {"t": seconds, "i": ordinal}}; else null."""
+    part = lambda n: F.try_variant_get(e, f"$['$timestamp']['{n}']", "bigint")
+    return F.when(kind_of(e).startswith("OBJECT"), F.shiftleft(part("t"), 32).bitwiseOR(part("i")))
+
+
 def _scalar(e: Column, op: str, x: Literal) -> Column:
     """A scalar against a literal, by the value's own type; other types never match."""
     kind = kind_of(e)
     if x.is_numeric:
+        exact, wide = F.try_variant_get(e, "$", "decimal(38,18)"), F.try_variant_get(e, "$", "double")
+        decimal = F.when(exact.isNotNull(), numeric.compare(exact, _DECIMAL, op, x)).otherwise(numeric.compare(wide, T.DoubleType(), op, x))
         return (
             F.when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), numeric.compare(F.try_variant_get(e, "$", "bigint"), T.LongType(), op, x))
-            .when(kind.startswith("DECIMAL"), numeric.compare(F.try_variant_get(e, "$", "decimal(38,18)"), _DECIMAL, op, x))
+            .when(kind.startswith("DECIMAL"), decimal)
             .when(kind.isin("DOUBLE", "FLOAT"), numeric.compare(F.try_variant_get(e, "$", "double"), T.DoubleType(), op, x))
             .otherwise(False)
         )
@@ -131,4 +174,12 @@ def _scalar(e: Column, op: str, x: Literal) -> Column:
         return F.when(kind == "STRING", numeric.apply(op, F.try_variant_get(e, "$", "string"), F.lit(x.value))).otherwise(False)
     if x.kind == "boolean" and op not in COMPARISONS:
         return F.when(kind == "BOOLEAN", numeric.apply(op, F.try_variant_get(e, "$", "boolean"), F.lit(x.value))).otherwise(False)
+    if x.kind == "datetime":
+        return F.coalesce(numeric.apply(op, datetime_of(e), F.lit(x.value.isoformat(sep=" ")).cast("timestamp_ntz")), F.lit(False))
+    if x.kind == "objectid":
+        return F.coalesce(numeric.apply(op, object_id_of(e), F.lit(x.value)), F.lit(False))
+    if x.kind == "timestamp":
+        return F.coalesce(numeric.apply(op, timestamp_of(e), F.lit(x.value)), F.lit(False))
+    if x.kind in ("binary", "versionstamp"):
+        return F.coalesce(numeric.apply(op, binary_of(e), F.lit(bytes(x.value))), F.lit(False))
     return F.lit(False)
