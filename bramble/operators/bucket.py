@@ -32,7 +32,8 @@ from bramble.plans.bql import And, BqlError, Const, Leaf, Or
 from bramble.plans.compiler import Compiler
 from bramble.plans.dynamic import DynamicCompiler
 from bramble.plans.normalize import explain, normalize
-from bramble.sources.documents import DOCUMENT, is_dynamic
+from bramble.sources.documents import DOCUMENT, is_dynamic, to_json
+from bramble.storage import materialize
 
 DEFAULT_LIMIT = 100
 ID = "_id"
@@ -135,8 +136,13 @@ class Bucket:
         name, direction = sort_by or (None, "ASC")
         return Cursor(self.find(tree, collation), limit or DEFAULT_LIMIT, self.id_col, name, direction, self._collation(tree, collation) if name else None)
 
-    def vector(self, path: str, vector: Any, *, filter: Any = None, top: int = DEFAULT_TOP, threshold: float = 0.0, candidates: int | None = DEFAULT_CANDIDATES, distance: str | None = None, projection: Mapping[str, Any] | None = None, collation: Any = None) -> DataFrame:
-        """The rows nearest to a vector; the index on the path settles dimensions and distance."""
+    def vector(self, path: str, vector: Any, *, filter: Any = None, top: int = DEFAULT_TOP, threshold: float = 0.0, candidates: int | None = DEFAULT_CANDIDATES, distance: str | None = None, projection: Mapping[str, Any] | None = None, collation: Any = None, overquery: float = 1.0) -> DataFrame:
+        """The rows nearest to a vector; the index on the path settles dimensions and distance.
+
+        overquery widens an approximate search; the search here is exact, so it is checked and changes nothing.
+        """
+        if isinstance(overquery, bool) or not isinstance(overquery, int | float) or overquery < 1:
+            raise BqlError("OVERQUERY is a number of at least 1")
         index = next((i for i in self.indexes.values() if i.kind == "vector" and i.fields == (path,)), None)
         tree = self.tree(filter) if filter is not None else None
         found = vector_search(
@@ -181,14 +187,24 @@ class Bucket:
         if self.id_col not in documents.columns:
             documents = documents.withColumn(self.id_col, F.lit(None).cast(self._id_type()))
         if isinstance(documents.schema[self.id_col].dataType, T.StringType):
-            made = F.lower(F.substring(F.hex(F.sha2(F.expr("uuid()"), 256).cast("binary")), 1, 24))
-            documents = documents.withColumn(self.id_col, F.coalesce(self.id_col, made))
-        table = self.table.unionByName(documents, allowMissingColumns=True)
-        after = replace(self, table=table)
-        keys = [indexes.Index("primary", (self.id_col,), kind="primary", unique=True), *self.indexes.values()]
-        for one in keys:
-            indexes.check_unique(table, one)
-        return after
+            lead = F.concat(F.lit(secrets.token_hex(16)), F.monotonically_increasing_id().cast("string"))
+            made = F.substring(F.sha2(lead, 256), 1, 24)
+            documents = materialize(documents.withColumn(self.id_col, F.coalesce(self.id_col, made)))  # ids are made once
+        for one in self._unique_keys():
+            indexes.check_added(self.table, documents, one)
+        self._check_types(documents)
+        return replace(self, table=self.table.unionByName(documents, allowMissingColumns=True))
+
+    def _unique_keys(self) -> list[indexes.Index]:
+        return [indexes.Index("primary", (self.id_col,), kind="primary", unique=True), *(i for i in self.indexes.values() if i.unique)]
+
+    def _check_types(self, documents: DataFrame) -> None:
+        """Raises where schemaless documents have values that an index of strict types does not take."""
+        if not self.dynamic:
+            return
+        for one in self.indexes.values():
+            if one.strict and not indexes.type_violations(documents, one).isEmpty():
+                raise BqlError(f"type mismatch for index {one.name!r}")
 
     def _id_type(self) -> T.DataType:
         return self.table.schema[self.id_col].dataType if self.id_col in self.table.columns else T.StringType()
@@ -200,6 +216,9 @@ class Bucket:
             new_id = new_object_id()
         if self.dynamic:
             changed = dynamic.update_dynamic(self.table, tree, spec, id_col=self.id_col, limit=limit, order=order, new_id=new_id)
+            self._check_types(changed.table)
+            for one in self.indexes.values():
+                indexes.check_unique(changed.table, one)
             return replace(self, table=changed.table), changed.ids
         done = updates.update(self.table, tree, spec, id_col=self.id_col, limit=limit, order=order, new_id=new_id, collation=self._collation(tree, collation))
         for one in self.indexes.values():
@@ -218,7 +237,11 @@ class Bucket:
         for one in indexes.parse_indexes(spec):
             if one.name in made:
                 raise BqlError(f"index {one.name!r} exists")
-            if strict_types and (wrong := indexes.type_errors(self.table, one)):
+            one = replace(one, strict=strict_types)
+            if strict_types and self.dynamic:
+                if not indexes.type_violations(self.table, one).isEmpty():
+                    raise BqlError(f"type mismatch for index {one.name!r}")
+            elif strict_types and (wrong := indexes.type_errors(self.table, one)):
                 raise BqlError(f"type mismatch: {'; '.join(wrong)}")
             indexes.check_unique(self.table, one)
             made[one.name] = one.ready()
@@ -234,15 +257,20 @@ class Bucket:
         return {"name": one.name, "selectors": list(one.fields), "types": list(one.types), "kind": one.kind, "unique": one.unique, "multi_key": one.multi_key, "status": one.status}
 
     def index_tasks(self, name: str) -> list[dict[str, Any]]:
-        """The work left on an index: none, as an index is built when it is created."""
-        self.describe_index(name)
-        return []
+        """The tasks of an index: the build that ran when it was created, completed, with the entries that it counted."""
+        described = self.describe_index(name)
+        entries = 0 if described["kind"] == "vector" else indexes.cardinality(self.table, self.indexes[name])
+        return [{"kind": "BUILD", "index": name, "status": "COMPLETED" if described["status"] == "READY" else described["status"], "processed": entries}]
 
     def analyze_index(self, name: str) -> tuple[int, DataFrame]:
         """(cardinality, histogram of the first field)."""
         one = self.indexes[name]
         return indexes.cardinality(self.table, one), indexes.histogram(self.table, one.fields[0])
 
+    def approximate_size(self) -> int:
+        """Bytes that the planner expects the bucket to take, from file sizes and statistics; nothing is read."""
+        return int(str(self.table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
     def locate(self) -> list[str]:
         """The files that hold the bucket."""
         return sorted(self.table.inputFiles())
@@ -256,6 +284,44 @@ def plan_mode(spark: SparkSession):
     return spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
 
 
+@dataclass
+class ChangeCursor:
+    """An UPDATE or DELETE that goes on batch by batch: each takes the next rows of the query's order and changes those alone.
+
+    A batch has at most limit rows; the place after the last one is kept, so a row is visited once even if it still matches.
+    """
+
+    operation: str
+    bucket: str
+    query: Any
+    spec: Mapping[str, Any] | None
+    limit: int
+    sort_by: tuple[str, str] | None = None
+    collation: Any = None
+    last: tuple[Any, Any] | None = None
+    done: bool = False
+
+    def advance(self, bucket: Bucket) -> tuple[Bucket, list]:
+        """(the bucket after the next batch, the ids that it changed); no ids once exhausted."""
+        if self.done:
+            return bucket, []
+        reading = bucket.cursor(self.query, sort_by=self.sort_by, limit=self.limit, collation=self.collation)
+        reading.last = self.last
+        ids = [r[bucket.id_col] for r in reading.advance()]
+        self.last, self.done = reading.last, not ids
+        if not ids:
+            return bucket, []
+        batch = materialize(bucket.table.where(F.col(bucket.id_col).isin(ids)))
+        rest = bucket.table.where(~F.col(bucket.id_col).isin(ids) | F.col(bucket.id_col).isNull())
+        if self.operation == "DELETE":
+            return replace(bucket, table=rest), ids
+        changed, done = replace(bucket, table=batch, indexes={}).update({}, {k: v for k, v in self.spec.items() if k != "upsert"}, collation=self.collation)
+        table = rest.unionByName(changed.table, allowMissingColumns=True)
+        for one in bucket.indexes.values():
+            indexes.check_unique(table, one)
+        return replace(bucket, table=table), sorted(r[0] for r in done.collect())
+
+
 _NAME = re.compile(r"[A-Za-z0-9_-]+(\.[A-Za-z0-9_-]+)*")
 
 
@@ -267,11 +333,16 @@ class Catalog:
         self.namespaces: dict[str, dict[str, Bucket]] = {"global": {}}
         self.tombstones: set[str] = set()
         self.version = 0
+        #: (namespace, bucket) -> the version that changed it last.
+        self.changed: dict[tuple[str, str], int] = {}
 
     def session(self) -> Session:
         return Session(self)
 
 
+_ATTRIBUTES = {"input_type": ("json", "rows"), "reply_type": ("json", "json_text"), "object_id_format": ("hex", "bytes")}
+
+
 class Session:
     """One client's view: its namespace, attributes, cursors, and at most one transaction."""
 
@@ -279,9 +350,11 @@ class Session:
         self.catalog = catalog
         self.namespace = "global"
         self.attributes: dict[str, Any] = {"limit": DEFAULT_LIMIT, "input_type": "json", "reply_type": "json", "object_id_format": "hex"}
-        self.cursors: dict[str, dict[int, Cursor]] = {"QUERY": {}, "UPDATE": {}, "DELETE": {}}
+        self.cursors: dict[str, dict[int, Cursor | ChangeCursor]] = {"QUERY": {}, "UPDATE": {}, "DELETE": {}}
         self.staged: dict[str, dict[str, Bucket]] | None = None
         self.read_version: int | None = None
+        self.read_set: dict[tuple[str, str], None] = {}
+        self.snapshot = False
         self._next = 0
 
     # namespaces
@@ -343,24 +416,42 @@ class Session:
     def begin(self) -> None:
         if self.staged is not None:
             raise BqlError("a transaction is open")
-        self.staged, self.read_version = {}, self.catalog.version
+        self.staged, self.read_version, self.read_set = {}, self.catalog.version, {}
 
-    def commit(self) -> int:
+    def snapshot_read(self, on: bool = True) -> None:
+        """Reads of the open transaction add no conflicts while on."""
+        self.snapshot = on
+
+    def commit(self, returning: str | None = None) -> int | str:
+        """Publishes the staged buckets: the committed version, or with RETURNING a versionstamp.
+
+        A bucket that the transaction has read (other than by snapshot) or written, and that another commit changed since, is a conflict.
+        """
         if self.staged is None:
             raise BqlError("no transaction is open")
-        if self.staged and self.catalog.version != self.read_version:
+        if returning not in (None, "COMMITTED_VERSION", "VERSIONSTAMP"):
+            raise BqlError("COMMIT returns COMMITTED_VERSION or VERSIONSTAMP")
+        touched = {(n, b) for n, changed in self.staged.items() for b in changed} | set(self.read_set)
+        if self.staged and any(self.catalog.changed.get(t, 0) > self.read_version for t in touched):
             self.rollback()
             raise BqlError("transaction conflict")
         for namespace, changed in self.staged.items():
             self.catalog.namespaces[namespace].update(changed)
         self.catalog.version += bool(self.staged)
-        self.staged = None
-        return self.catalog.version
+        self.catalog.changed |= {(n, b): self.catalog.version for n, changed in self.staged.items() for b in changed}
+        self.staged, self.snapshot = None, False
+        return f"{self.catalog.version:020x}" if returning == "VERSIONSTAMP" else self.catalog.version
+
+    def close_session(self) -> None:
+        """Gives up the open transaction and all cursors."""
+        self.staged, self.snapshot = None, False
+        for open_ in self.cursors.values():
+            open_.clear()
 
     def rollback(self) -> None:
         if self.staged is None:
             raise BqlError("no transaction is open")
-        self.staged = None
+        self.staged, self.snapshot = None, False
 
     def tick(self) -> int:
         return self.catalog.version
@@ -371,8 +462,19 @@ class Session:
     def set_attribute(self, name: str, value: Any) -> None:
         if name not in self.attributes:
             raise BqlError(f"unknown session attribute {name!r}")
+        allowed = _ATTRIBUTES.get(name)
+        if name == "limit" and (isinstance(value, bool) or not isinstance(value, int) or value < 0) or allowed and value not in allowed:
+            raise BqlError(f"invalid value {value!r} of session attribute {name!r}")
         self.attributes[name] = value
 
+    def get_attribute(self, name: str) -> Any:
+        if name not in self.attributes:
+            raise BqlError(f"unknown session attribute {name!r}")
+        return self.attributes[name]
+
+    def list_attributes(self) -> dict[str, Any]:
+        return dict(self.attributes)
+
     # buckets
 
     def _put(self, bucket: Bucket) -> None:
@@ -381,13 +483,20 @@ class Session:
         else:
             self.catalog.namespaces[self._existing(self.namespace)][bucket.name] = bucket
             self.catalog.version += 1
+            self.catalog.changed[self.namespace, bucket.name] = self.catalog.version
 
     def bucket(self, name: str) -> Bucket:
         found = (self.staged or {}).get(self.namespace, {}).get(name) or self.catalog.namespaces[self._existing(self.namespace)].get(name)
         if found is None or found.removed:
             raise BqlError(f"no bucket {name!r}")
+        if self.staged is not None and not self.snapshot:
+            self.read_set[self.namespace, name] = None
         return found
 
+    def approximate_size(self) -> int:
+        """Bytes of the namespace's buckets, as the planner expects them."""
+        return sum(self.bucket(n).approximate_size() for n in self.list_buckets())
+
     def create(self, name: str, table: DataFrame | None = None, *, indexes: Mapping[str, Any] | None = None, collation: Any = None, id_col: str = ID, if_not_exists: bool = False, dynamic: bool = False) -> Bucket:
         if name in self.catalog.namespaces[self._existing(self.namespace)]:
             if if_not_exists:
@@ -406,8 +515,10 @@ class Session:
         self._put(self.bucket(name).insert(documents))
 
     def query(self, name: str, query: Any = None, **options: Any) -> DataFrame:
+        """The rows of a query: as JSON texts where the session's reply_type is json_text."""
         options.setdefault("limit", self.attributes["limit"])
-        return self.bucket(name).query(query, **options)
+        rows = self.bucket(name).query(query, **options)
+        return to_json(rows) if self.attributes["reply_type"] == "json_text" else rows
 
     def update(self, name: str, query: Any, spec: Mapping[str, Any], **options: Any) -> DataFrame:
         changed, ids = self.bucket(name).update(query, spec, **options)
@@ -430,16 +541,28 @@ class Session:
 
     # cursors
 
-    def open_cursor(self, name: str, query: Any = None, operation: str = "QUERY", **options: Any) -> int:
+    def open_cursor(self, name: str, query: Any = None, operation: str = "QUERY", spec: Mapping[str, Any] | None = None, **options: Any) -> int:
+        """A cursor's id; ``advance`` reads, updates by spec, or deletes the next rows, at most limit of them."""
         options.setdefault("limit", self.attributes["limit"])
+        if operation not in self.cursors:
+            raise BqlError(f"unknown operation {operation!r}")
+        if (spec is None) != (operation != "UPDATE"):
+            raise BqlError("a cursor takes an update if it is one of UPDATE")
         self._next += 1
-        self.cursors[operation][self._next] = self.bucket(name).cursor(query, **options)
+        self.cursors[operation][self._next] = self.bucket(name).cursor(query, **options) if operation == "QUERY" else ChangeCursor(operation, name, query, spec, **options)
         return self._next
 
     def advance(self, operation: str, cursor: int) -> list:
-        if cursor not in self.cursors[operation]:
+        """The next rows of a query, or the ids that an update or a delete has changed next; empty once exhausted."""
+        if cursor not in self.cursors.get(operation, {}):
             raise BqlError(f"no cursor {cursor}")
-        return self.cursors[operation][cursor].advance()
+        found = self.cursors[operation][cursor]
+        if isinstance(found, Cursor):
+            return found.advance()
+        changed, ids = found.advance(self.bucket(found.bucket))
+        if ids:
+            self._put(changed)
+        return ids
 
     def close(self, operation: str, cursor: int) -> None:
         if self.cursors[operation].pop(cursor, None) is None:
