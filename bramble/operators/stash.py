@@ -3,11 +3,14 @@
 The frame has key, kind (string or hash), str BINARY, h MAP<STRING, BINARY>, ttl
 (milliseconds since 1970, 0 for none) and id, the order of insertion.  A read
 first drops what has expired.  Writes replace the frame that the object holds;
-``checkpoint_every`` writes bound the lineage.
+every ``checkpoint_every`` writes it is stored, which bounds the lineage.  Point
+commands are a Spark job each; the ``bulk_`` ones and ``strings``, ``hashes``
+and ``hash_summary`` are joins and projections over any number of keys.
 """
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import time
@@ -18,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bramble.plans.bql import BqlError
+from bramble.storage import materialize
 
 DDL = "key string, kind string, str binary, h map<string,binary>, ttl bigint, id bigint"
 _INT = (-(1 << 31), (1 << 31) - 1)
@@ -35,7 +39,7 @@ class Stash:
         self.table = table if table is not None else spark.createDataFrame([], DDL)
         self.clock = clock or (lambda: int(time.time() * 1000))
         self.checkpoint_every, self._writes = checkpoint_every, 0
-        self._next = 0
+        self._next = self._last_id() if table is not None else 0
         self._queue: list[tuple] | None = None
         self._watched: dict[str, Any] = {}
 
@@ -46,9 +50,10 @@ class Stash:
 
     def _swap(self, table: DataFrame) -> None:
         self._writes += 1
-        if self._writes % self.checkpoint_every == 0 and self.spark.sparkContext.getCheckpointDir():
-            table = table.checkpoint()
-        self.table = table
+        self.table = materialize(table) if self._writes % self.checkpoint_every == 0 else table
+
+    def _last_id(self) -> int:
+        return self.table.agg(F.max("id")).first()[0] or 0
 
     def _row(self, key: str, kind: str | None = None) -> Any:
         found = self.live().where(F.col("key") == key).first()
@@ -66,10 +71,79 @@ class Stash:
         keep = self.live().where(~F.col("key").isin([r[0] for r in rows]))
         self._swap(keep.unionByName(self.spark.createDataFrame(made, DDL)) if made else keep)
 
+    def _bulk(self, rows: DataFrame) -> None:
+        """Rows (key, kind, str, h, ttl) in place of those of the same keys, with ids after all others: an anti-join and a union, at any size."""
+        columns = ["key", "kind", "str", "h", "ttl", "id"]
+        new = materialize(rows.withColumn("id", F.lit(self._next + 1) + F.monotonically_increasing_id()))  # ids are made once
+        self._swap(materialize(self.live().join(new.select("key"), "key", "left_anti").select(*columns).unionByName(new.select(*columns))))
+        self._next = max(self._next, self._last_id())
+
     def bulk_load(self, pairs: DataFrame) -> None:
-        """Strings from a frame (key, value): one anti-join and a union, at any size."""
-        new = pairs.select(F.col("key"), F.lit("string").alias("kind"), F.col("value").cast("binary").alias("str"), F.lit(None).cast("map<string,binary>").alias("h"), F.lit(0).cast("bigint").alias("ttl"), F.monotonically_increasing_id().alias("id"))
-        self._swap(self.live().join(new.select("key"), "key", "left_anti").select(new.columns).unionByName(new))
+        """SET for every row of a frame (key, value)."""
+        self._bulk(pairs.select("key", F.lit("string").alias("kind"), F.col("value").cast("binary").alias("str"), F.lit(None).cast("map<string,binary>").alias("h"), F.lit(0).cast("bigint").alias("ttl")))
+
+    def _with(self, keys: DataFrame, kind: str) -> DataFrame:
+        """keys with what is stored under them; raises where it is of another kind."""
+        joined = keys.join(self.live().select("key", "kind", "str", "h", "ttl"), "key", "left")
+        if not joined.where(F.col("kind") != kind).isEmpty():
+            raise BqlError("WRONGTYPE a key holds another kind of value")
+        return joined
+
+    def bulk_append(self, pairs: DataFrame) -> None:
+        """APPEND for every row of a frame (key, value), one a key."""
+        joined = self._with(pairs.select("key", F.col("value").cast("binary").alias("more")), "string")
+        text = F.concat(F.coalesce("str", F.lit(b"")), F.col("more"))
+        self._bulk(joined.select("key", F.lit("string").alias("kind"), text.alias("str"), "h", F.coalesce("ttl", F.lit(0)).cast("bigint").alias("ttl")))
+
+    def bulk_incrby(self, deltas: DataFrame) -> None:
+        """INCRBY for the sum of each key's rows of a frame (key, delta); a value or result that is no 32-bit integer raises."""
+        joined = self._with(deltas.groupBy("key").agg(F.sum("delta").cast("decimal(38,0)").alias("delta")), "string")
+        old = F.coalesce(F.col("str").cast("string"), F.lit("0"))
+        number = F.when(old.rlike(r"^[+-]?[0-9]+$"), old.try_cast("decimal(38,0)") + F.col("delta"))
+        joined = joined.withColumn("number", number)
+        if not joined.where(F.col("number").isNull() | ~F.col("number").between(*_INT)).isEmpty():
+            raise BqlError("value is not an integer or out of range")
+        self._bulk(joined.select("key", F.lit("string").alias("kind"), F.col("number").cast("string").cast("binary").alias("str"), "h", F.coalesce("ttl", F.lit(0)).cast("bigint").alias("ttl")))
+
+    def bulk_hset(self, fields: DataFrame) -> None:
+        """HSET for every row of a frame (key, field, value); of a field's rows the largest value stays."""
+        one = fields.groupBy("key", "field").agg(F.max(F.col("value").cast("binary")).alias("value"))
+        new = one.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("new"))
+        joined = self._with(new, "hash")
+        kept = F.map_filter(F.coalesce("h", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<binary>"))), lambda k, v: ~F.map_contains_key("new", k))
+        self._bulk(joined.select("key", F.lit("hash").alias("kind"), F.lit(None).cast("binary").alias("str"), F.map_concat(kept, "new").alias("h"), F.lit(0).cast("bigint").alias("ttl")))
+
+    def bulk_hdel(self, fields: DataFrame) -> None:
+        """HDEL for every row of a frame (key, field); a hash without fields goes."""
+        gone = fields.groupBy("key").agg(F.collect_set("field").alias("gone"))
+        left = self.live().join(gone, "key", "left")
+        h = F.when(F.col("gone").isNotNull() & (F.col("kind") == "hash"), F.map_filter("h", lambda k, v: ~F.array_contains("gone", k))).otherwise(F.col("h"))
+        self._swap(left.withColumn("h", h).where((F.col("kind") != "hash") | (F.cardinality("h") > 0)).select("key", "kind", "str", "h", "ttl", "id"))
+
+    def bulk_delete(self, keys: DataFrame) -> None:
+        """DEL for every key of a frame."""
+        self._swap(self.live().join(keys.select("key"), "key", "left_anti"))
+
+    def bulk_expireat(self, times: DataFrame) -> None:
+        """PEXPIREAT for every row of a frame (key, at), milliseconds since 1970; the latest of a key counts, hashes stay."""
+        at = times.groupBy("key").agg(F.max("at").alias("at"))
+        joined = self.live().join(at, "key", "left")
+        ttl = F.when(F.col("at").isNotNull() & (F.col("kind") == "string"), F.greatest("at", F.lit(1))).otherwise(F.col("ttl")).alias("ttl")
+        self._swap(joined.select("key", "kind", "str", "h", ttl, "id"))
+
+    def strings(self) -> DataFrame:
+        """GET, STRLEN and PTTL of all strings: key, value, bytes, ttl."""
+        left = F.when(F.col("ttl") == 0, F.lit(-1)).otherwise(F.col("ttl") - F.lit(self.clock())).cast("bigint")
+        return self.live().where("kind = 'string'").select("key", F.col("str").alias("value"), F.octet_length("str").alias("bytes"), left.alias("ttl"))
+
+    def hashes(self) -> DataFrame:
+        """HGETALL and HSTRLEN of all hashes: key, field, value, bytes."""
+        rows = self.live().where("kind = 'hash'").select("key", F.explode("h").alias("field", "value"))
+        return rows.select("key", "field", "value", F.octet_length("value").alias("bytes"))
+
+    def hash_summary(self) -> DataFrame:
+        """HLEN and HKEYS of all hashes: key, fields, names in order."""
+        return self.live().where("kind = 'hash'").select("key", F.cardinality("h").alias("fields"), F.array_sort(F.map_keys("h")).alias("names"))
 
     # strings
 
@@ -298,7 +372,7 @@ class Stash:
             raise BqlError(f"unknown option {option}")
         if option is not None and refused[option]:
             return 0
-        self._swap(self.live().withColumn("ttl", F.when(F.col("key") == key, F.lit(when)).otherwise(F.col("ttl"))))
+        self._swap(self.live().withColumn("ttl", F.when(F.col("key") == key, F.lit(max(when, 1))).otherwise(F.col("ttl"))))
         return 1
 
     def expire(self, key: str, seconds: int, option: str | None = None) -> int:
@@ -387,6 +461,17 @@ class Stash:
 
     readwrite = readonly
 
+    def cluster_myid(self) -> str:
+        """The id of the one node that a Spark application is: 40 hex digits of its application id."""
+        return hashlib.sha1(self.spark.sparkContext.applicationId.encode()).hexdigest()
+
+    def cluster_slots(self) -> list[list]:
+        """All slots, with that node."""
+        return [[0, 16383, ["127.0.0.1", 0, self.cluster_myid()]]]
+
+    def cluster_nodes(self) -> str:
+        return f"{self.cluster_myid()} 127.0.0.1:0@0 myself,master - 0 0 0 connected 0-16383\n"
+
     def cluster_keyslot(self, key: str) -> int:
         """CRC-16 (XMODEM) of the key, or of its {tag}, modulo 16384."""
         tag = re.search(r"\{([^}]+)\}", key)

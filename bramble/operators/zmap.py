@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import math
 import struct
+from collections.abc import Iterator
 from decimal import Context, Decimal, Inexact
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -245,24 +247,30 @@ def mutate(zmap: DataFrame, batch: DataFrame, kind: str, versionstamp: bytes | N
     """zmap after a batch of mutations (key, param) of one kind, folded by key.
 
     Bitwise, ADD, MAX and MIN act on 64-bit little-endian integers, MAX and MIN
-    as unsigned ones; a map of numbers (value and param BIGINT) needs no coding.  Where a key is absent, MIN, BIT_AND, BYTE_MIN and BYTE_MAX
-    store the parameter as it is.
+    as unsigned ones; a map of numbers (value and param BIGINT) needs no coding.
+    Where a key is absent, MIN, BIT_AND, BYTE_MIN and BYTE_MAX store the
+    parameter as it is.  The order of mutations of one key matters to
+    APPEND_IF_FITS and SET_VERSIONSTAMPED_VALUE: it is that of a column ``seq``
+    of the batch, then of the parameters.
     """
     if kind not in MUTATIONS:
         raise BqlError(f"unknown mutation {kind}")
     if kind == "COMPARE_AND_CLEAR":
         hits = zmap.join(batch.select("key", F.col("param")), "key").where(F.col("value") == F.col("param")).select("key")
         return zmap.join(hits, "key", "left_anti").select("key", "value")
+    seq = F.col("seq") if "seq" in batch.columns else F.lit(0)
     if kind == "SET_VERSIONSTAMPED_VALUE":
         if versionstamp is None or len(versionstamp) != 10:
             raise BqlError("a versionstamp has 10 bytes")
-        last = batch.groupBy("key").agg(F.max("param").alias("param"))
+        last = batch.groupBy("key").agg(F.max_by("param", F.struct(seq, "param")).alias("param"))
         stamped = F.concat(F.lit(versionstamp), F.expr("substring(param, 11)"))
         return put_all(zmap, last.select("key", stamped.alias("value")))
-    both = zmap.select("key", "value", F.lit(0).alias("turn")).unionByName(batch.select("key", F.col("param").alias("value"), F.lit(1).alias("turn")))
     typed = isinstance(zmap.schema["value"].dataType, T.LongType)
     if typed and kind in ("APPEND_IF_FITS", "BYTE_MIN", "BYTE_MAX"):
         raise BqlError(f"{kind} acts on bytes")
+    if kind == "APPEND_IF_FITS":
+        return _append(zmap, batch.select("key", F.col("param").alias("value"), seq.alias("seq")))
+    both = zmap.select("key", "value", F.lit(0).alias("turn")).unionByName(batch.select("key", F.col("param").alias("value"), F.lit(1).alias("turn")))
     number, stored = (F.col("value"), lambda c: c) if typed else (i64(F.col("value")), i64_bytes)
     if kind == "ADD":
         fold = stored(wrapped_sum(number))
@@ -270,18 +278,40 @@ def mutate(zmap: DataFrame, batch: DataFrame, kind: str, versionstamp: bytes | N
         fold = stored({"BIT_AND": F.bit_and, "BIT_OR": F.bit_or, "BIT_XOR": F.bit_xor}[kind](number))
     elif kind in ("MAX", "MIN"):
         fold = (F.max_by if kind == "MAX" else F.min_by)("value", _unsigned(number))
-    elif kind in ("BYTE_MIN", "BYTE_MAX"):
-        fold = (F.min if kind == "BYTE_MIN" else F.max)("value")
     else:
-        pieces = F.transform(F.array_sort(F.collect_list(F.struct("turn", "value"))), lambda p: F.hex(p["value"]))
-        joined = F.unhex(F.array_join(pieces, ""))
-        fold = F.when(F.octet_length(joined) <= MOST_VALUE, joined).otherwise(F.max(F.when(F.col("turn") == 0, F.col("value"))))
+        fold = (F.min if kind == "BYTE_MIN" else F.max)("value")
     # One aggregation over both: a key without a mutation keeps its value.
     own = F.max(F.when(F.col("turn") == 0, F.col("value")))
     folded = both.groupBy("key").agg(F.when(F.max("turn") == 1, fold).otherwise(own).alias("value"))
     return folded.where("value IS NOT NULL")
 
 
+def _append(zmap: DataFrame, pieces: DataFrame) -> DataFrame:
+    """zmap with the pieces (key, value, seq) of each key appended in order, those left out that no longer fit.
+
+    What fits depends on all that came before, so a key is one task's; it is streamed in order, and one value is held.
+    """
+    both = zmap.select(F.lit(0).alias("turn"), "key", "value", F.lit(None).cast(pieces.schema["seq"].dataType).alias("seq")).unionByName(pieces.select(F.lit(1).alias("turn"), "key", "value", "seq"))
+    ordered = both.repartition("key").sortWithinPartitions("key", "turn", "seq", "value").select("key", "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, value = None, bytearray()
+        for batch in batches:
+            keys, values = [], []
+            for k, v in zip(batch.column("key").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                if k != key:
+                    if key is not None:
+                        keys.append(key), values.append(bytes(value))
+                    key, value = k, bytearray()
+                if v is not None and len(value) + len(v) <= MOST_VALUE:
+                    value += v
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(values, pa.binary())], names=["key", "value"])
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.array([bytes(value)], pa.binary())], names=["key", "value"])
+
+    return ordered.mapInArrow(run, DDL)
+
+
 def _unsigned(column: Column) -> Column:
     return column.bitwiseXOR(F.lit(-(1 << 63)))
 
