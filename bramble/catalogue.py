@@ -2,7 +2,8 @@
 
 Buckets: orders, customer, part, lineitem, events and embeddings as they are;
 ``orders_doc`` is orders with their line items as an array of documents (missing
-where an order has none), ``conv_doc`` conversations with their turns.
+where an order has none), ``conv_doc`` conversations with their turns.  The two
+are built once a session and source, sorted by id, and read from storage.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bramble.operators import index as ix
@@ -22,6 +23,7 @@ from bramble.operators.stash import Stash
 from bramble.plans import bql
 from bramble.plans.dynamic import DynamicCompiler
 from bramble.sources.documents import from_json, to_json
+from bramble.storage import scratch
 from bramble.streaming import changelog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,15 +41,37 @@ def bucket(spark: SparkSession, sf_dir: str, name: str) -> Bucket:
     return Bucket(name, table(spark, sf_dir, name), IDS.get(name, "_id"))
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, id_col: str, build: Callable[[], DataFrame]) -> Bucket:
+    """A bucket that is built and written once a session, in the layout of its primary index."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = scratch(spark, name)
+        ix.write_bucket(build(), path, ix.Index("primary", (id_col,), kind="primary"))
+        _STORED[key] = path
+    return Bucket(name, spark.read.parquet(_STORED[key]), id_col)
+
+
 def orders_doc(spark: SparkSession, sf_dir: str) -> Bucket:
-    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
-    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    return Bucket("orders_doc", table(spark, sf_dir, "orders").join(items, "o_orderkey", "left"), "o_orderkey")
+    def build() -> DataFrame:
+        item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
+        items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+        return table(spark, sf_dir, "orders").join(items, "o_orderkey", "left")
+
+    return _stored(spark, sf_dir, "orders_doc", "o_orderkey", build)
 
 
 def conv_doc(spark: SparkSession, sf_dir: str) -> Bucket:
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    return Bucket("conv_doc", turns, "conv_id")
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
+    return _stored(spark, sf_dir, "conv_doc", "conv_id", lambda: table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns))
+
+
+def prepare(spark: SparkSession, sf_dir: str) -> None:
+    """Stores the buckets of nested documents, so that queries are timed on them and not on their making."""
+    orders_doc(spark, sf_dir)
+    conv_doc(spark, sf_dir)
 
 
 def register(name: str, sql: str | None = None):
@@ -88,7 +112,7 @@ def _some(condition: str) -> str:
 _find("bql_all", "region", {}, ("r_regionkey", "r_name"), "TRUE")
 _find("bql_eq", "orders", {"o_orderstatus": "F"}, ("o_orderkey",), "o_orderstatus = 'F'")
 _find("bql_ne", "customer", {"c_mktsegment": {"$ne": "BUILDING"}}, ("c_custkey",), "c_mktsegment IS NULL OR c_mktsegment <> 'BUILDING'")
-_find("bql_ne_type_mismatch", "customer", {"c_acctbal": {"$ne": "x"}}, ("c_custkey",), "c_acctbal IS NULL")
+_find("bql_ne_type_mismatch", "customer", {"$or": [{"c_acctbal": {"$ne": "x"}}, {"c_mktsegment": "BUILDING"}]}, ("c_custkey",), "c_acctbal IS NULL OR c_mktsegment = 'BUILDING'")
 _find("bql_nin_type_mismatch", "customer", {"c_acctbal": {"$nin": ["x"]}}, ("c_custkey",), "TRUE")
 _find("bql_range", "lineitem", {"l_quantity": {"$gte": 10, "$lt": 20}}, ("l_orderkey", "l_linenumber", "l_quantity"), "l_quantity >= 10 AND l_quantity < 20")
 _find("bql_gt_lte", "part", {"p_size": {"$gt": 10, "$lte": 12}}, ("p_partkey", "p_size"), "p_size > 10 AND p_size <= 12")
@@ -96,7 +120,7 @@ _find("bql_widen_i64_double", "part", {"p_partkey": {"$gt": 1000.5}}, ("p_partke
 _find("bql_in", "part", {"p_type": {"$in": ["PROMO", "SMALL"]}}, ("p_partkey",), "p_type IN ('PROMO', 'SMALL')")
 _find("bql_nin", "part", {"p_type": {"$nin": ["PROMO", "SMALL"]}}, ("p_partkey",), "p_type IS NULL OR p_type NOT IN ('PROMO', 'SMALL')")
 _find("bql_in_regex", "part", {"p_type": {"$in": ["PROMO", {"$regularExpression": {"pattern": "^S", "options": ""}}]}}, ("p_partkey",), "p_type = 'PROMO' OR regexp_matches(p_type, '^S')")
-_find("bql_in_empty", "part", {"p_type": {"$in": []}}, ("p_partkey",), "FALSE")
+_find("bql_in_empty", "part", {"$or": [{"p_type": {"$in": []}}, {"p_size": {"$lt": 5}}]}, ("p_partkey",), "p_size < 5")
 _find("bql_and", "orders", {"$and": [{"o_orderstatus": "O"}, {"o_totalprice": {"$lt": 50000}}]}, ("o_orderkey",), "o_orderstatus = 'O' AND o_totalprice < 50000")
 _find("bql_or", "orders", {"$or": [{"o_orderstatus": "P"}, {"o_totalprice": {"$gt": 400000}}]}, ("o_orderkey",), "o_orderstatus = 'P' OR o_totalprice > 400000")
 _find("bql_nor", "orders", {"$nor": [{"o_orderstatus": "P"}, {"o_totalprice": {"$gt": 400000}}]}, ("o_orderkey",), "NOT (o_orderstatus = 'P' OR o_totalprice > 400000)")
@@ -106,13 +130,13 @@ _find(
     "bql_nested_logic", "orders", {"$or": [{"$and": [{"o_orderstatus": "F"}, {"$nor": [{"o_custkey": {"$lt": 700}}, {"o_totalprice": {"$gte": 300000}}]}]}, {"o_orderkey": {"$lte": 10}}]},
     ("o_orderkey",), "(o_orderstatus = 'F' AND NOT (o_custkey < 700 OR o_totalprice >= 300000)) OR o_orderkey <= 10",
 )
-_find("bql_regex", "part", {"p_name": {"$regex": "1[0-4]$"}}, ("p_partkey",), "regexp_matches(p_name, '1[0-4]$')")
+_find("bql_regex", "part", {"p_name": {"$regex": "^[r-t].*(ing|et)$"}}, ("p_partkey",), "regexp_matches(p_name, '^[r-t].*(ing|et)$')")
 _find("bql_regex_i", "part", {"p_type": {"$regex": "^small", "$options": "i"}}, ("p_partkey",), "regexp_matches(p_type, '^small', 'i')")
 _find("bql_not_regex", "part", {"p_type": {"$not": {"$regex": "^S"}}}, ("p_partkey",), "NOT regexp_matches(p_type, '^S')")
 _find("bql_date", "orders", {"o_orderdate": {"$gte": {"$date": "1997-01-01T00:00:00Z"}, "$lt": {"$date": "1998-01-01T00:00:00Z"}}}, ("o_orderkey",), "o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01'")
-_find("bql_date_string", "orders", {"o_orderdate": {"$lt": "2025-01-01"}}, ("o_orderkey",), "FALSE")
-_find("bql_object_id_string", "customer", {"c_name": "0123456789abcdef01234567"}, ("c_custkey",), "FALSE")
-_find("bql_contradiction", "orders", {"o_totalprice": {"$gt": 10, "$lt": 5}}, ("o_orderkey",), "FALSE")
+_find("bql_date_string", "orders", {"$or": [{"o_orderdate": {"$lt": "2025-01-01"}}, {"o_orderstatus": "P"}]}, ("o_orderkey",), "o_orderstatus = 'P'")
+_find("bql_object_id_string", "customer", {"c_name": {"$not": {"$eq": "0123456789abcdef01234567"}}}, ("c_custkey",), "TRUE")
+_find("bql_contradiction", "orders", {"$or": [{"o_totalprice": {"$gt": 10, "$lt": 5}}, {"o_orderstatus": "P"}]}, ("o_orderkey",), "o_orderstatus = 'P'")
 
 # predicates on arrays and documents
 
@@ -157,7 +181,7 @@ def _dynamic(query: Any):
 
 register("json_variant_range", "SELECT event_id FROM events WHERE CAST(props->>'k' AS INT) >= 50")(_dynamic({"k": {"$gte": 50}}))
 register("json_variant_in", "SELECT event_id FROM events WHERE CAST(props->>'k' AS INT) IN (1, 2, 3)")(_dynamic({"k": {"$in": [1, 2.0, 3, "x"]}}))
-register("json_variant_exists", "SELECT event_id FROM events WHERE json_exists(props, '$.zz')")(_dynamic({"zz": {"$exists": True}}))
+register("json_variant_exists", "SELECT event_id FROM events WHERE json_exists(props, '$.k') AND NOT json_exists(props, '$.zz')")(_dynamic({"k": {"$exists": True}, "zz": {"$exists": False}}))
 register("json_variant_not", "SELECT event_id FROM events WHERE NOT CAST(props->>'k' AS INT) < 90")(_dynamic({"k": {"$not": {"$lt": 90}}}))
 
 
@@ -167,6 +191,44 @@ def json_variant_sort(spark, sf_dir):
     return rows.orderBy(variant_key(F.col("v")).desc(), "event_id").limit(20).select("event_id", F.try_variant_get("v", "$", "int").alias("k"))
 
 
+def dated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as schemaless documents: d is a timestamp, or extended JSON where the customer's number is odd; v is of five types in turn."""
+    rows = table(spark, sf_dir, "orders")
+    stored = F.to_variant_object(F.struct(F.col("o_orderdate").cast("timestamp_ntz").alias("d")))
+    text = F.concat(F.lit('{"d": {"$date": "'), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('Z"}}'))
+    kind = F.col("o_orderkey") % 5
+    value = (
+        F.when(kind == 0, F.to_json(F.struct(F.col("o_totalprice").alias("v")))).when(kind == 1, F.to_json(F.struct(F.col("o_orderpriority").alias("v"))))
+        .when(kind == 2, F.to_json(F.struct((F.col("o_totalprice") > 250000).alias("v")))).when(kind == 3, F.concat(F.lit('{"v": {"$date": "'), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('Z"}}')))
+        .otherwise(F.concat(F.lit('{"v": {"$oid": "'), F.lpad(F.col("o_orderkey").cast("string"), 24, "0"), F.lit('"}}')))
+    )
+    return rows.select("o_orderkey", "o_custkey", F.when(F.col("o_custkey") % 2 == 0, stored).otherwise(F.parse_json(text)).alias("_doc"), F.parse_json(value).alias("other"))
+
+
+@register("json_variant_date", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01'")
+def json_variant_date(spark, sf_dir):
+    query = {"d": {"$gte": {"$date": "1997-01-01T00:00:00Z"}, "$lt": {"$date": "1998-01-01T00:00:00Z"}}}
+    return dated_documents(spark, sf_dir).where(DynamicCompiler().condition(bql.parse(query))).select("o_orderkey")
+
+
+@register("json_variant_object_id", "SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 4 AND o_orderkey >= 4242")
+def json_variant_object_id(spark, sf_dir):
+    rows = dated_documents(spark, sf_dir).select("o_orderkey", F.col("other").alias("_doc"))
+    return rows.where(DynamicCompiler().condition(bql.parse({"v": {"$gte": f"{4242:024d}"}}))).select("o_orderkey")
+
+
+@register(
+    "json_variant_sort_mixed",
+    """SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 4 THEN 6 WHEN 2 THEN 7 ELSE 8 END,
+    CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice END, CASE WHEN o_orderkey % 5 = 1 THEN o_orderpriority END, CASE WHEN o_orderkey % 5 = 2 THEN o_totalprice > 250000 END,
+    CASE WHEN o_orderkey % 5 = 3 THEN o_orderdate END, o_orderkey) AS INT) AS place FROM orders""",
+)
+def json_variant_sort_mixed(spark, sf_dir):
+    """Each customer's orders by a value of five types."""
+    rows = dated_documents(spark, sf_dir).select("o_orderkey", "o_custkey", variant_key(F.try_variant_get("other", "$.v", "variant")).alias("key"))
+    return rows.select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("key", "o_orderkey")).alias("place"))
+
+
 # projections
 
 _ITEMS = "(SELECT l_orderkey, list(struct_pack(q := l_quantity, f := l_returnflag) ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS items FROM lineitem GROUP BY l_orderkey)"
@@ -226,14 +288,33 @@ def cursor_page2(spark, sf_dir):
     return cursor.page().select("o_orderkey", "o_totalprice")
 
 
+def _changed(name: str, operation: str, sql: str, spec: dict | None) -> None:
+    """Two batches of a cursor that changes what it reads; the bucket after them."""
+
+    def run(spark, sf_dir):
+        session = Catalog(spark).session()
+        session.create("orders", table(spark, sf_dir, "orders"), id_col="o_orderkey")
+        cursor = session.open_cursor("orders", {"o_orderstatus": "P"}, operation, spec, sort_by=("o_totalprice", "ASC"), limit=60)
+        session.advance(operation, cursor)
+        session.advance(operation, cursor)
+        return session.bucket("orders").table.select("o_orderkey", "o_orderstatus")
+
+    register(name, sql)(run)
+
+
+_FIRST_120 = "(SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' ORDER BY o_totalprice, o_orderkey LIMIT 120)"
+_changed("cursor_update", "UPDATE", f"SELECT o_orderkey, CASE WHEN o_orderkey IN {_FIRST_120} THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders", {"$set": {"o_orderstatus": "X"}})
+_changed("cursor_delete", "DELETE", f"SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN {_FIRST_120}", None)
+
+
 @register("collation_ci", "SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'building'")
 def collation_ci(spark, sf_dir):
     return bucket(spark, sf_dir, "customer").find({"c_mktsegment": "building"}, {"locale": "en", "strength": 2}).select("c_custkey")
 
 
-@register("collation_numeric", "SELECT p_partkey FROM part WHERE CAST(regexp_extract(p_brand, '[0-9]+') AS INT) > 34")
+@register("collation_numeric", "SELECT p_partkey FROM part WHERE CAST(regexp_extract(p_brand, '[0-9]+') AS INT) > 9")
 def collation_numeric(spark, sf_dir):
-    return bucket(spark, sf_dir, "part").find({"p_brand": {"$gt": "Brand#34"}}, {"locale": "en", "numeric_ordering": True}).select("p_partkey")
+    return bucket(spark, sf_dir, "part").find({"p_brand": {"$gt": "Brand#9"}}, {"locale": "en", "numeric_ordering": True}).select("p_partkey")
 
 
 # vectors
@@ -358,11 +439,10 @@ _zmap("zmap_put", f"SELECT * FROM {_MAP} WHERE key <> '000000000007' UNION ALL S
 
 def _mutated(name: str, sql: str, kind: str) -> None:
     def run(spark, sf_dir):
-        lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 <> 0")
-        batch = lines.select(F.lpad(F.col("l_orderkey").cast("string"), 12, "0").cast("binary").alias("key"), F.col("l_partkey").alias("param"))
+        batch = table(spark, sf_dir, "lineitem").select(F.lpad(F.col("l_orderkey").cast("string"), 12, "0").cast("binary").alias("key"), F.col("l_partkey").alias("param"))
         return zmap.mutate(orders_numbers(spark, sf_dir), batch, kind).select(F.col("key").cast("string").alias("key"), "value")
 
-    register(name, f"SELECT key, CAST({sql} AS BIGINT) AS value FROM (SELECT * FROM {_MAP} UNION ALL SELECT lpad(CAST(l_orderkey AS VARCHAR), 12, '0'), l_partkey FROM lineitem WHERE l_orderkey % 3 <> 0) GROUP BY key")(run)
+    register(name, f"SELECT key, CAST({sql} AS BIGINT) AS value FROM (SELECT * FROM {_MAP} UNION ALL SELECT lpad(CAST(l_orderkey AS VARCHAR), 12, '0'), l_partkey FROM lineitem) GROUP BY key")(run)
 
 
 _mutated("zmap_add", "sum(value)", "ADD")
@@ -379,6 +459,28 @@ def zmap_compare_and_clear(spark, sf_dir):
     return _shown(zmap.mutate(m, m.select("key", F.lit(zmap.encode_i64(42)).alias("param")), "COMPARE_AND_CLEAR"))
 
 
+def _byte_mutated(name: str, sql: str, kind: str, stamp: bytes | None = None) -> None:
+    """Mutations of texts: each order's status, then its lines' flags by line number."""
+
+    def run(spark, sf_dir):
+        key = lambda c: F.lpad(F.col(c).cast("string"), 12, "0").cast("binary").alias("key")
+        m = table(spark, sf_dir, "orders").select(key("o_orderkey"), F.col("o_orderstatus").cast("binary").alias("value"))
+        param = F.concat(F.lit("..........") if stamp else F.lit(""), "l_returnflag", F.col("l_partkey").cast("string"))
+        batch = table(spark, sf_dir, "lineitem").select(key("l_orderkey"), param.cast("binary").alias("param"), F.col("l_linenumber").alias("seq"))
+        out = zmap.mutate(m, batch, kind, stamp)
+        return out.select(*[F.col(c).cast("string").alias(c) for c in ("key", "value")])
+
+    register(name, f"WITH m AS (SELECT {_KEY} AS key, -1 AS seq, o_orderstatus AS value FROM orders), b AS (SELECT lpad(CAST(l_orderkey AS VARCHAR), 12, '0') AS key, l_linenumber AS seq, l_returnflag || l_partkey AS value FROM lineitem) {sql}")(run)
+
+
+_byte_mutated("zmap_append", "SELECT key, string_agg(value, '' ORDER BY seq, value) AS value FROM (SELECT * FROM m UNION ALL SELECT * FROM b) GROUP BY key", "APPEND_IF_FITS")
+_byte_mutated("zmap_byte_min", "SELECT key, min(value) AS value FROM (SELECT * FROM m UNION ALL SELECT * FROM b) GROUP BY key", "BYTE_MIN")
+_byte_mutated("zmap_byte_max", "SELECT key, max(value) AS value FROM (SELECT * FROM m UNION ALL SELECT * FROM b) GROUP BY key", "BYTE_MAX")
+_byte_mutated(
+    "zmap_versionstamped", "SELECT key, '0123456789' || arg_max(value, (seq, value)) AS value FROM b GROUP BY key UNION ALL SELECT key, value FROM m WHERE key NOT IN (SELECT key FROM b)", "SET_VERSIONSTAMPED_VALUE", b"0123456789",
+)
+
+
 # change logs
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,33 +507,97 @@ def changelog_watch(spark, sf_dir):
 
 # stash, namespaces, JSON
 
-@register("stash_bulk", "SELECT n_name AS key, CAST(n_regionkey AS VARCHAR) AS value FROM nation")
+def customers_stash(spark: SparkSession, sf_dir: str) -> Stash:
+    """Customers' names to their segments."""
+    stash = Stash(spark, clock=lambda: 1_000)
+    stash.bulk_load(table(spark, sf_dir, "customer").select(F.col("c_name").alias("key"), F.col("c_mktsegment").alias("value")))
+    return stash
+
+
+@register("stash_bulk", "SELECT c_name AS key, c_mktsegment AS value, CAST(length(c_mktsegment) AS INT) AS bytes FROM customer")
 def stash_bulk(spark, sf_dir):
+    return customers_stash(spark, sf_dir).strings().select("key", F.col("value").cast("string").alias("value"), "bytes")
+
+
+@register("stash_append", "SELECT c_name AS key, CASE WHEN c_acctbal > 5000 THEN c_mktsegment || '/' || c_nationkey ELSE c_mktsegment END AS value FROM customer UNION ALL SELECT s_name, CAST(s_nationkey AS VARCHAR) FROM supplier")
+def stash_append(spark, sf_dir):
+    stash = customers_stash(spark, sf_dir)
+    old = table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_name").alias("key"), F.concat(F.lit("/"), F.col("c_nationkey").cast("string")).alias("value"))
+    stash.bulk_append(old.unionByName(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("key"), F.col("s_nationkey").cast("string").alias("value"))))
+    return stash.strings().select("key", F.col("value").cast("string").alias("value"))
+
+
+@register("stash_incrby", "SELECT 'k' || o_custkey AS key, CAST(count(*) + 5 AS VARCHAR) AS value FROM orders GROUP BY o_custkey")
+def stash_incrby(spark, sf_dir):
+    """A counter of each customer's orders, twice incremented."""
+    stash, key = Stash(spark), F.concat(F.lit("k"), F.col("o_custkey").cast("string")).alias("key")
+    rows = table(spark, sf_dir, "orders").select(key)
+    stash.bulk_incrby(rows.distinct().withColumn("delta", F.lit(5)))
+    stash.bulk_incrby(rows.withColumn("delta", F.lit(1)))
+    return stash.strings().select("key", F.col("value").cast("string").alias("value"))
+
+
+def orders_hashes(spark: SparkSession, sf_dir: str) -> Stash:
+    """A hash a customer: order numbers to their statuses."""
     stash = Stash(spark)
-    stash.bulk_load(table(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value")))
-    return stash.live().select("key", F.col("str").cast("string").alias("value"))
+    stash.bulk_hset(table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("key"), F.col("o_orderkey").cast("string").alias("field"), F.col("o_orderstatus").alias("value")))
+    return stash
+
+
+@register("stash_hset", "SELECT 'c' || o_custkey AS key, CAST(o_orderkey AS VARCHAR) AS field, CASE WHEN o_orderstatus = 'P' THEN 'XYZ' ELSE o_orderstatus END AS value, CAST(CASE WHEN o_orderstatus = 'P' THEN 3 ELSE 1 END AS INT) AS bytes FROM orders")
+def stash_hset(spark, sf_dir):
+    stash = orders_hashes(spark, sf_dir)
+    stash.bulk_hset(stash.hashes().where("value = X'50'").select("key", "field", F.lit("XYZ").alias("value")))
+    return stash.hashes().select("key", "field", F.col("value").cast("string").alias("value"), "bytes")
+
 
+@register("stash_hdel", "SELECT 'c' || o_custkey AS key, CAST(count(*) AS INT) AS fields, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY CAST(o_orderkey AS VARCHAR)) AS names FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey")
+def stash_hdel(spark, sf_dir):
+    stash = orders_hashes(spark, sf_dir)
+    stash.bulk_hdel(stash.hashes().where("value = X'46'"))
+    return stash.hash_summary().select("key", "fields", F.array_join("names", ",").alias("names"))
 
-@register("stash_commands", "SELECT 'AFRICA' AS key, '12' AS value UNION ALL SELECT 'b', 'xy'")
+
+@register("stash_expire", "SELECT c_name AS key, CAST(CASE WHEN c_nationkey < 12 THEN c_nationkey * 1000 - 1000 ELSE -1 END AS BIGINT) AS ttl FROM customer WHERE c_nationkey >= 2")
+def stash_expire(spark, sf_dir):
+    """Customers expire by their nation's number in seconds; at second 1 those of 0 and 1 are gone."""
+    stash = customers_stash(spark, sf_dir)
+    stash.bulk_expireat(table(spark, sf_dir, "customer").where("c_nationkey < 12").select(F.col("c_name").alias("key"), (F.col("c_nationkey") * 1000).alias("at")))
+    return stash.strings().select("key", "ttl")
+
+
+@register("stash_del", "SELECT c_name AS key FROM customer WHERE c_mktsegment <> 'BUILDING'")
+def stash_del(spark, sf_dir):
+    stash = customers_stash(spark, sf_dir)
+    stash.bulk_delete(stash.strings().where("value = X'4255494C44494E47'"))
+    return stash.strings().select("key")
+
+
+@register("stash_commands", "SELECT c_name AS key, c_mktsegment AS value FROM customer WHERE c_name <> 'Customer#000000001' UNION ALL SELECT 'n', '12' UNION ALL SELECT 'b', (SELECT c_mktsegment || 'xy' FROM customer WHERE c_name = 'Customer#000000001')")
 def stash_commands(spark, sf_dir):
-    stash = Stash(spark)
-    stash.set("AFRICA", 10)
-    stash.incrby("AFRICA", 2)
-    stash.append("a", "x")
-    stash.append("a", "y")
-    stash.rename("a", "b")
-    return stash.live().select("key", F.col("str").cast("string").alias("value"))
+    """Point commands among all customers."""
+    stash = customers_stash(spark, sf_dir)
+    stash.set("n", 10)
+    stash.incrby("n", 2)
+    stash.append("Customer#000000001", "x")
+    stash.append("Customer#000000001", "y")
+    stash.rename("Customer#000000001", "b")
+    return stash.strings().select("key", F.col("value").cast("string").alias("value"))
 
 
-@register("ns_list", "SELECT r_name AS namespace FROM region")
+@register("ns_list", "SELECT r_name AS parent, n_name AS namespace FROM nation JOIN region ON r_regionkey = n_regionkey")
 def ns_list(spark, sf_dir):
+    """Nations as namespaces below their regions."""
     session = Catalog(spark).session()
-    for r in table(spark, sf_dir, "region").collect():
-        session.namespace_create(f"geo.{r['r_name'].replace(' ', '_')}")
-    return spark.createDataFrame([(n.replace("_", " "),) for n in session.namespace_list("geo")], "namespace string")
+    safe = lambda t: t.replace(" ", "-")
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    for r in rows.select("r_name", "n_name").collect():  # 25 of them at any scale
+        session.namespace_create(f"{safe(r['r_name'])}.{safe(r['n_name'])}")
+    found = [(p, n) for p in session.namespace_list() if p != "global" for n in session.namespace_list(p)]
+    return spark.createDataFrame([(p.replace("-", " "), n.replace("-", " ")) for p, n in found], "parent string, namespace string")
 
 
-@register("json_round_trip", "SELECT n_nationkey, n_name FROM nation")
+@register("json_round_trip", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders")
 def json_round_trip(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
     return from_json(to_json(rows), "json", rows.schema)

@@ -265,3 +265,128 @@ def test_change_log_streaming(spark, tmp_path):
     assert [r.seq for r in changelog.Consumer(spark, journal, f"{tmp_path}/offsets").poll()] == [3, 4, 5]
     assert changelog.Consumer(spark, journal, f"{tmp_path}/offsets", "LATEST").poll() == []
     assert changelog.watch(journal(), b"b").count() == 2
+
+
+def test_numeric_collation_of_long_numbers(spark):
+    rows = Bucket("t", spark.createDataFrame([(1, "a123456789012345678901"), (2, "a123456789012345678905"), (3, "a99999999999999999999"), (4, "a100000000000000000000"), (5, "a007"), (6, "a7b"), (7, "a10")], "_id int, s string"))
+    numeric = {"locale": "en", "numeric_ordering": True}
+    found = lambda q: sorted(r._id for r in rows.find({"s": q}, numeric).collect())
+    assert found("a123456789012345678901") == [1] and found("a7") == [5]
+    assert found({"$gt": "a99999999999999999999"}) == [1, 2, 4] and found({"$lt": "a10"}) == [5, 6]
+
+
+def test_unique_index_on_schemaless_documents(spark):
+    session = Catalog(spark).session()
+    session.create("u", dynamic=True)
+    session.insert("u", [{"_id": "1", "email": "a", "at": {"$date": "2024-01-01T00:00:00Z"}}, {"_id": "2", "email": "b"}, {"_id": "3", "email": 7}])
+    unique = session.bucket("u").create_index({"email": {"bson_type": "string", "unique": True}}, strict_types=False)
+    session._put(unique)
+    with pytest.raises(BqlError, match="duplicate"):
+        session.insert("u", [{"_id": "4", "email": "a"}])
+    with pytest.raises(BqlError, match="duplicate"):
+        session.insert("u", [{"_id": "1", "email": "z"}])
+    with pytest.raises(BqlError, match="duplicate"):
+        session.insert("u", [{"_id": "8", "email": "q"}, {"_id": "9", "email": "q"}])
+    with pytest.raises(BqlError, match="duplicate"):
+        session.update("u", {"email": "b"}, {"$set": {"email": "a"}})
+    session.insert("u", [{"_id": "5", "email": "7"}])
+    assert session.bucket("u").table.count() == 4
+    with pytest.raises(BqlError, match="type mismatch"):
+        unique.create_index({"email": {"bson_type": "string", "name": "strict"}})
+    strict = session.bucket("u").create_index({"at": {"bson_type": "datetime"}})
+    with pytest.raises(BqlError, match="type mismatch"):
+        strict.insert([{"_id": "6", "email": "n", "at": "soon"}])
+    assert strict.insert([{"_id": "6", "email": "n", "at": {"$date": "2024-01-02T00:00:00Z"}}]).find({"at": {"$gt": {"$date": "2024-01-01T12:00:00Z"}}}).count() == 1
+    assert strict.index_tasks("at") == [{"kind": "BUILD", "index": "at", "status": "COMPLETED", "processed": 4}]
+
+
+def test_change_cursors(spark):
+    session = Catalog(spark).session()
+    session.create("t", spark.createDataFrame([(f"{i:02d}", i % 2, i) for i in range(20)], "_id string, g int, v int"))
+    update = session.open_cursor("t", {"g": 1}, "UPDATE", {"$set": {"g": 5}}, limit=4, sort_by=("v", "DESC"))
+    assert session.advance("UPDATE", update) == ["13", "15", "17", "19"]
+    assert session.advance("UPDATE", update) == ["05", "07", "09", "11"]
+    assert session.advance("UPDATE", update) == ["01", "03"] and session.advance("UPDATE", update) == []
+    still = session.open_cursor("t", {"v": {"$gte": 0}}, "UPDATE", {"$set": {"w": 1}}, limit=15)  # rows go on matching
+    assert len(session.advance("UPDATE", still)) == 15 and len(session.advance("UPDATE", still)) == 5 and session.advance("UPDATE", still) == []
+    delete = session.open_cursor("t", {"g": 5}, "DELETE", limit=6)
+    assert len(session.advance("DELETE", delete)) == 6 and len(session.advance("DELETE", delete)) == 4 and session.advance("DELETE", delete) == []
+    assert sorted((r.g, r.w) for r in session.bucket("t").table.collect()) == [(0, 1)] * 10
+    assert session.list_cursors("DELETE") == {"DELETE": [delete]}
+    with pytest.raises(BqlError):
+        session.open_cursor("t", {}, "UPDATE")
+    session.close_session()
+    assert session.list_cursors() == {"QUERY": [], "UPDATE": [], "DELETE": []}
+
+
+def test_conflicts_are_by_bucket(spark):
+    catalog = Catalog(spark)
+    one, two = catalog.session(), catalog.session()
+    for name in ("a", "b"):
+        one.create(name, spark.createDataFrame([(1, 1)], "_id int, v int"))
+    one.begin()
+    one.update("a", {}, {"$set": {"v": 2}})
+    two.update("b", {}, {"$set": {"v": 3}})
+    assert one.commit("VERSIONSTAMP") == f"{catalog.version:020x}"
+    one.begin()
+    one.snapshot_read()
+    one.bucket("b")
+    one.snapshot_read(False)
+    one.update("a", {}, {"$set": {"v": 4}})
+    two.update("b", {}, {"$set": {"v": 5}})
+    one.commit()
+    one.begin()
+    one.bucket("b")
+    one.update("a", {}, {"$set": {"v": 6}})
+    two.update("b", {}, {"$set": {"v": 7}})
+    with pytest.raises(BqlError, match="conflict"):
+        one.commit()
+    assert one.bucket("a").table.first().v == 4 and one.approximate_size() > 0
+    with pytest.raises(BqlError):
+        one.set_attribute("reply_type", "xml")
+    one.set_attribute("reply_type", "json_text")
+    assert one.query("a", {"v": 4}).first()[0] == '{"_id":1,"v":4}'
+
+
+def test_appends_in_order(spark):
+    m = zmap.of(spark, {"x": "", "big": "b" * (zmap.MOST_VALUE - 3), "q": "1"})
+    batch = spark.createDataFrame([(bytearray(k.encode()), bytearray(v.encode()), n) for k, v, n in [("x", "z", 1), ("x", "a", 2), ("big", "1234", 1), ("big", "ab", 2), ("big", "cd", 3), ("big", "e", 4), ("new", "n", 1)]], "key binary, param binary, seq int")
+    got = dict(zmap.rows(zmap.mutate(m, batch, "APPEND_IF_FITS")))
+    assert got[b"x"] == b"za" and got[b"big"] == b"b" * (zmap.MOST_VALUE - 3) + b"abe" and got[b"new"] == b"n" and got[b"q"] == b"1"
+    stamps = spark.createDataFrame([(bytearray(b"s"), bytearray(b".........." + v), n) for v, n in [(b"zz", 1), (b"aa", 2)]], "key binary, param binary, seq int")
+    assert dict(zmap.rows(zmap.mutate(m, stamps, "SET_VERSIONSTAMPED_VALUE", b"0123456789")))[b"s"] == b"0123456789aa"
+
+
+def test_scan_sees_every_loaded_key(spark):
+    s = Stash(spark, checkpoint_every=3)
+    s.bulk_load(spark.createDataFrame([(f"k{i}", str(i)) for i in range(9)], "key string, value string").repartition(3))
+    s.set("z", 1)
+    s.bulk_load(spark.createDataFrame([("k1", "new"), ("y", "2")], "key string, value string"))
+    cursor, found = 0, []
+    while True:
+        cursor, keys = s.scan(cursor, 2)
+        found += keys
+        if not cursor:
+            break
+    assert sorted(found) == sorted([*(f"k{i}" for i in range(9)), "y", "z"])
+    with pytest.raises(BqlError):
+        s.bulk_incrby(spark.createDataFrame([("k1", 1)], "key string, delta long"))
+    with pytest.raises(BqlError):
+        s.bulk_hset(spark.createDataFrame([("k1", "f", "v")], "key string, field string, value string"))
+    assert s.cluster_slots()[0][:2] == [0, 16383] and s.cluster_myid() in s.cluster_nodes()
+
+
+def test_sampled_statistics(spark):
+    rows = spark.range(20_000).selectExpr("id AS _id", "id % 97 AS v")
+    hints = ix.sample_hints(rows, "v", mask=0xF)
+    assert 800 < hints.count() < 1800
+    sampled = ix.sampled_histogram(rows, "v", 5, mask=0xF).collect()
+    assert sum(r.distinct_values for r in sampled) == 97 and min(r.low for r in sampled) == 0
+
+
+def test_overquery_is_checked(spark):
+    b = Bucket("v", spark.createDataFrame([(1, [0.1, 0.2])], "_id int, e array<double>"))
+    assert b.vector("e", [0.1, 0.2], overquery=2).count() == 1
+    for wrong in (0.5, True, "x"):
+        with pytest.raises(BqlError):
+            b.vector("e", [0.1, 0.2], overquery=wrong)
