@@ -6,6 +6,12 @@ languages by vote.  Models are fitted on the driver from a bounded sample of
 labelled rows (``sample_rows``, spread evenly over the languages by a hash of
 the id); every document is then scored over its whole text.
 
+``reject_unknown`` also drops texts of no learned language: those whose n-grams
+are less like the mean profile of every language than ``FLOOR_SHARE`` of the
+least likeness among training rows, each compared with profiles of the half of
+the sample that it is not in.  A text of fewer than ``LEAST_BYTES`` bytes is too
+short to tell and stays.
+
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 a language outside the table of families is a family of its own; without any
 labelled row all is ``und``; every row, also a repeated one, gives one row; a
@@ -20,6 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +37,8 @@ UNKNOWN = "und"
 BUCKETS = 2048
 #: Texts in one feature matrix.
 TEXTS = 512
+#: Texts as long as this are rejected below that share of the least likeness seen in training.
+LEAST_BYTES, FLOOR_SHARE = 20, 0.7
 #: Language families, fixed values.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"),
@@ -83,10 +92,17 @@ def linear_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int =
     return w
 
 
+def mean_profiles(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The unit mean features of each language, in order of its name."""
+    means = [x[labels == g].mean(axis=0) for g in sorted(set(labels))]
+    return np.stack([m / max(float(np.linalg.norm(m)), 1e-12) for m in means])
+
+
 class HierarchicalModel:
     """Family by one-versus-rest margins, language within it by one-versus-one votes."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]) -> None:
+    def __init__(self, x: np.ndarray, langs: list[str], sizes: np.ndarray | None = None) -> None:
+        """x: features of the training texts, sizes: their bytes (long enough where not given)."""
         self.langs = sorted(set(langs))
         family = [_FAMILY.get(g, g) for g in langs]
         self.families = {f: sorted({g for g in langs if _FAMILY.get(g, g) == f}) for f in sorted(set(family))}
@@ -98,6 +114,14 @@ class HierarchicalModel:
             for a, b in combinations(members, 2):
                 rows = (labels == a) | (labels == b)
                 self.pairs[a, b] = linear_svm(x[rows], sign(labels[rows] == a))
+        self.profiles = mean_profiles(x, labels)
+        half, told = np.arange(len(x)) % 2 == 0, np.full(len(x), True) if sizes is None else sizes >= LEAST_BYTES
+        seen = [(x[told & side] @ mean_profiles(x[~side], labels[~side]).T).max(axis=1) for side in (half, ~half) if (~side).any()]
+        self.floor = FLOOR_SHARE * float(min((s.min() for s in seen if len(s)), default=0.0))
+
+    def likeness(self, x: np.ndarray) -> np.ndarray:
+        """How like the closest language's profile each row is, from 0 to 1."""
+        return (x @ self.profiles.T).max(axis=1)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(language, score from 0 to 1) of each row."""
@@ -144,13 +168,13 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, x in features(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, len(x)), batch.column("id").slice(a, len(x)), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "id", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, len(x)), batch.column("id").slice(a, len(x)), pa.array([r.tobytes() for r in x], pa.binary()), pc.binary_length(batch.column("text").slice(a, len(x))).cast(pa.int64())], names=["lang", "id", "x", "bytes"])
 
-    sample = rows.where(chosen).select(lang.alias("lang"), key.cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "lang string, id long, x binary")
+    sample = rows.where(chosen).select(lang.alias("lang"), key.cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "lang string, id long, x binary, bytes long")
     got = sorted(sample.collect(), key=lambda r: (r["id"], r["lang"], r["x"]))
     if not got:
         return None
-    return HierarchicalModel(np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(len(got), BUCKETS), [r["lang"] for r in got])
+    return HierarchicalModel(np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(len(got), BUCKETS), [r["lang"] for r in got], np.array([r["bytes"] for r in got]))
 
 
 def predict_languages(docs: DataFrame, model: HierarchicalModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,7 +185,7 @@ def predict_languages(docs: DataFrame, model: HierarchicalModel | None, id_col:
             text = batch.column("text")
             for a, x in features(text):
                 n = len(x)
-                letters = np.array([t is not None and any(map(str.isalpha, t)) for t in text.slice(a, n).to_pylist()], bool)
+                letters = _has_letter(text.slice(a, n))
                 lang, score = model.predict(x) if model else (np.full(n, UNKNOWN, object), np.zeros(n))
                 lang[~letters], score[~letters] = UNKNOWN, 0.0
                 yield pa.RecordBatch.from_arrays(
@@ -173,10 +197,15 @@ def predict_languages(docs: DataFrame, model: HierarchicalModel | None, id_col:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def _has_letter(text: pa.Array) -> np.ndarray:
+    return np.array([t is not None and any(map(str.isalpha, t)) for t in text.to_pylist()], bool)
+
+
 def reject_unknown(docs: DataFrame, model: HierarchicalModel | None, text_col: str = "text") -> DataFrame:
-    """docs whose language is recognised, in the same columns: texts without a letter go, nothing is shuffled.
+    """docs whose language is recognised, in the same columns; nothing is shuffled.
 
-    Without a model nothing is rejected but those.
+    Null texts, texts without a letter, and longer ones unlike every learned
+    language go.  Without a model only those without a letter do.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,9 +213,9 @@ def reject_unknown(docs: DataFrame, model: HierarchicalModel | None, text_col: s
             text = batch.column(text_col)
             keep = np.zeros(batch.num_rows, bool)
             for a, x in features(text):
-                letters = np.array([t is not None and any(map(str.isalpha, t)) for t in text.slice(a, len(x)).to_pylist()], bool)
-                lang = model.predict(x)[0] if model else np.full(len(x), "")
-                keep[a : a + len(x)] = letters & (lang != UNKNOWN)
+                part = text.slice(a, len(x))
+                known = np.ones(len(x), bool) if model is None else (model.likeness(x) >= model.floor) | (pc.fill_null(pc.binary_length(part), 0).to_numpy(zero_copy_only=False) < LEAST_BYTES)
+                keep[a : a + len(x)] = _has_letter(part) & known
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,7 +1,12 @@
 """Language identification: held-out accuracy, its fold, and awkward rows."""
 
+import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
+
+from bramble.llm import language
 from bramble.llm.queries import QUERIES
 
 DIR = "/root/testdata/sf0.01"
@@ -26,3 +31,52 @@ def test_awkward_rows(spark, small_tables):
 
 def test_empty(spark, empty_tables):
     assert QUERIES["op8_language_id"](spark, empty_tables).count() == 0
+
+
+def plain_features(text):
+    """Square roots of the counts of hashed n-grams of one to three bytes, of length one: a loop over the text."""
+    data = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in text.encode())
+    counts = np.zeros(language.BUCKETS)
+    for k in range(3):
+        for i in range(len(data) - k):
+            gram = int.from_bytes(data[i : i + k + 1], "big")
+            counts[((gram * 2654435761 + k * 40503) % 2**32 >> 13) % language.BUCKETS] += 1
+    out = np.sqrt(counts)
+    return out / max(np.linalg.norm(out), 1e-12)
+
+
+def plain_prediction(model, text):
+    """Family by the largest margin, then votes of the pairs within it, one row and one pair at a time."""
+    x = np.append(plain_features(text), 1.0)
+    families = list(model.families)
+    best = max(range(len(families)), key=lambda i: (float(x @ model.of_family[i]), -i)) if model.of_family else 0
+    members = model.families[families[best]]
+    votes = dict.fromkeys(members, 0.0)
+    for (a, b), w in model.pairs.items():
+        if a in votes and b in votes:
+            m = 1 / (1 + np.exp(-3 * float(x @ w)))
+            votes[a] += (m > 0.5) + m / (len(members) + 1)
+            votes[b] += (m <= 0.5) + (1 - m) / (len(members) + 1)
+    return max(members, key=lambda g: votes[g])
+
+
+def test_predictions_equal_a_plain_reimplementation(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    model = language.fit_language_model(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.lang_pred for r in language.predict_languages(docs, model).collect()}
+    some = random.Random(1).sample(sorted(i for i, t in texts.items() if t and len(t) < 4000), 60)
+    assert all(got[i] == plain_prediction(model, texts[i]) for i in some)
+
+
+def test_what_is_no_learned_language_is_rejected(spark):
+    """Other scripts and noise go; every document of the tables that has a letter stays; the model decides, not a list."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit_language_model(docs)
+    odd = ["Привет, как дела, сегодня хорошая погода", "今日はとても良い天気ですね", "xq zz kk wj vv qx " * 10, "สวัสดีวันนี้อากาศดีมาก", "12345 67890 !!", "", None]
+    rows = spark.createDataFrame([(-i, t, None) for i, t in enumerate(odd)], docs.schema)
+    kept = {r.doc_id for r in language.reject_unknown(docs.unionByName(rows), model).collect()}
+    assert kept == {r.doc_id for r in docs.collect() if any(map(str.isalpha, r.text or ""))}
+    assert {r.doc_id for r in language.reject_unknown(rows, None).collect()} == {0, -1, -2, -3}
+    _, x = next(language.features(pa.array([odd[0]])))
+    assert model.likeness(x)[0] < model.floor
