@@ -2,8 +2,9 @@
 
 The test items are a stated query set: their n-grams are held in blocks of a
 fixed number, and each block passes over all documents.  Every n-gram of an item
-is a seed, common or not: which of them an edit leaves in a copy cannot be told
-from their document frequencies.  The seeds are joined with the passages of each
+is a seed, also one that many documents hold: which of them an edit leaves in a
+copy cannot be told from their document frequencies, and seeds chosen by rarity
+lost copies.  Short items have shorter seeds.  The seeds are joined with the passages of each
 document in place, without a shuffle; around each run of hits a local alignment
 of word sequences scores exact, edited and paraphrased copies alike, unless the
 words that item and passage share already bound the score below a copy's.  A
@@ -12,9 +13,9 @@ score is the alignment's weight over that of the whole item.
 Defined results: words are runs of letters and digits, small letters and
 capitals alike, or single code points of a script that puts no space between
 words; a null or empty text or item matches nothing; an item shorter than an
-n-gram is one n-gram of its own length, found anywhere in a document; repeated rows are matched one by one; a document
-is listed once for an item, with its best score; an empty table gives an empty
-result; other columns are not read.
+n-gram is one n-gram of its own length, found anywhere in a document; repeated
+rows are matched one by one; a document is listed once for an item, with its
+best score; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from bramble.llm.words import MARKS, chunks, lower_latin, shingles, string_buffers, words
 
-#: Words of a seed.
-SEED_WORDS = 4
+#: Words of a seed, and of one of an item shorter than that many words, whose edited copies keep shorter runs.
+SEED_WORDS, SHORT_SEED_WORDS, SHORT_ITEM = 4, 3, 24
 #: Least score of a copy, and least aligned weight in words.
 LEAST_SCORE, LEAST_WORDS = 0.5, 6
 #: n-grams of the items held at once (8 bytes each, and the items' words).
@@ -76,6 +77,11 @@ def _hashed(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield a, hashes, first
 
 
+def seed_words(n: int) -> int:
+    """Words of the seeds of an item of n words."""
+    return min(n, SHORT_SEED_WORDS if n < SHORT_ITEM else SEED_WORDS)
+
+
 @dataclass
 class Items:
     """A block of test items: their words, and their n-grams with places, sorted by n-gram."""
@@ -93,7 +99,7 @@ class Items:
             _, hashes, first = next(_hashed(pa.array([text or ""])), (0, np.zeros(0, np.uint64), np.zeros(2, np.int64)))
             if not len(hashes):
                 continue
-            g, _ = shingles(hashes, first, min(SEED_WORDS, len(hashes)))
+            g, _ = shingles(hashes, first, seed_words(len(hashes)))
             grams.append(g)
             item.append(np.full(len(g), len(ids)))
             place.append(np.arange(len(g)))
@@ -121,7 +127,7 @@ def align(item: np.ndarray, passage: np.ndarray) -> int:
 
 def _matches(items: Items, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, float]]:
     """(text, item, score) of the copies among the texts of a chunk."""
-    for k in sorted({min(SEED_WORDS, len(w)) for w in items.words}):  # an item has n-grams of one length
+    for k in sorted({seed_words(len(w)) for w in items.words}):  # an item has n-grams of one length
         yield from _seeds(items, hashes, first, *shingles(hashes, first, k))
 
 

@@ -4,11 +4,12 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from bramble.llm import decontaminate as decontamination
-from bramble.llm.decontaminate import GAP, MATCH, MISMATCH, align, decontaminate, find_contamination
+from bramble.llm.decontaminate import GAP, LEAST_SCORE, LEAST_WORDS, MATCH, MISMATCH, align, decontaminate, find_contamination
 
 
 @settings(max_examples=200, deadline=None)
@@ -98,3 +99,41 @@ def test_awkward_rows(spark, small_tables, empty_tables):
     assert decontaminate(docs, benchmark).columns == docs.columns and decontaminate(docs, benchmark).count() == 9
     assert find_contamination(spark.read.parquet(f"{empty_tables}/documents.parquet"), benchmark).count() == 0
     assert find_contamination(docs, benchmark.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("words", [10, 15, 24, 40])
+@pytest.mark.parametrize("rate", [0.1, 0.2, 0.3])
+def test_recall_against_alignment_of_all_pairs(words, rate):
+    """Of the pairs that an alignment of every item with every whole document scores as copies, nine in ten are found, and no others."""
+    r = random.Random(words * 100 + int(rate * 10))
+    vocabulary = [f"w{i}" for i in range(900)]
+    prose = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [prose(words) for _ in range(40)]
+    docs = []
+    for item in items:
+        for _ in range(3):
+            copy = [x for w in item for x in (([r.choice(vocabulary)], [], [w, r.choice(vocabulary)])[r.randrange(3)] if r.random() < rate else [w])]
+            text = prose(r.randint(0, 80))
+            at = r.randint(0, len(text))
+            docs.append([*text[:at], *copy, *text[at:]])
+    number = {w: i + 1 for i, w in enumerate(vocabulary)}
+    coded = [np.array([number[w] for w in d]) for d in docs]
+    want = set()
+    for i, item in enumerate(items):
+        sequence = np.array([number[w] for w in item])
+        for d, text in enumerate(coded):
+            weight = align(sequence, text) if len(text) else 0
+            if weight >= MATCH * max(LEAST_SCORE * words, min(LEAST_WORDS, words)):
+                want.add((d, i))
+    held = decontamination.Items.of([(i, " ".join(t)) for i, t in enumerate(items)])
+    got = set()
+    for a, hashes, first in decontamination._hashed(pa.array([" ".join(d) for d in docs])):
+        got |= {(a + t, held.ids[i]) for t, i, _ in decontamination._matches(held, hashes, first)}
+    assert got <= want and len(got) >= 0.9 * len(want) > 0, (len(got), len(want))
+
+
+def test_short_items_inside_longer_texts(spark):
+    items = [(1, "red green blue"), (2, "one"), (3, "Red, GREEN")]
+    docs = [(1, "one two red green blue three four"), (2, "green blue red"), (3, "so red green it is"), (4, None), (5, "")]
+    rows = find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(1, 1), (1, 2), (1, 3), (3, 3)}
