@@ -1,15 +1,17 @@
 """Chat formatting in budgeted windows of whole turns.
 
-Prefix sums of turn tokens choose, for each window, the new turns that fit the
-budget after the system turn and a limited stretch of repeated history.  Targets
-are the assistants' texts; a repeated turn is outside the loss mask, so each
-target counts once.  A turn that alone exceeds the budget gets a window of its
-own, whole.
+Prefix sums of turn tokens choose the spans: those held of the turns that a
+window may still hold give, by one difference, whether another turn fits the
+budget after the system turn and the repeated history, and by one bisection, how
+much history fits before a window's first new turn.  Targets are the assistants'
+texts; a repeated turn is outside the loss mask, so each target counts once.  A
+turn that alone exceeds the budget gets a window of its own, whole.
 
 Every control string inside a text or a role gets one backslash more after its
 first character, so that it is no control string any longer; reading back takes
 it away.  Conversations are sorted within their partition and streamed turn by
-turn: memory holds one window, however long the conversation.
+turn: memory holds one window and its history, however long the conversation; one
+conversation is one task's, as its windows follow from one another.
 
 Defined results: a null text or role is empty; turns order by number (null
 first), then role, then text, and repeated rows are turns of their own; a null
@@ -23,7 +25,6 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -81,52 +82,54 @@ def token_counter(tokenizer: str | None) -> Callable[[str], int]:
 
 
 class Windows:
-    """The windows of one conversation, turn by turn."""
+    """The windows of one conversation, turn by turn.
+
+    Held are the turns that the open window shows or may repeat, and the prefix
+    sums of their tokens: turns[start:new] are its history, turns[new:] its own.
+    """
 
     def __init__(self, budget: int, history: int, count: Callable[[str], int] = count_tokens) -> None:
         self.budget, self.history, self.count = budget, history, count
-        self.system: tuple[str, str, int] | None = None
-        self.past: list[tuple[str, str, int]] = []  # history that the open window repeats
-        self.new: list[tuple[str, str, int]] = []
-        self.made = 0
+        self.system: tuple[tuple[str, str], int] | None = None  # with its tokens; leads every window but the first, whose own turn it is
+        self.turns: list[tuple[str, str]] = []
+        self.sums = [0]
+        self.start = self.new = self.made = 0
+
+    def _lead(self) -> int:
+        """Tokens of the system turn that leads the open window."""
+        return self.system[1] if self.system and self.made else 0
 
     def add(self, role: str, text: str) -> tuple | None:
         """Takes a turn; gives the window that it closes, if any."""
-        turn = (role, text, self.count(text))
+        tokens = self.count(text)
         out = None
-        if self.new and self._tokens() + turn[2] > self.budget:
+        if len(self.turns) > self.new and self._lead() + self.sums[-1] - self.sums[self.start] + tokens > self.budget:
             out = self.close()
-        if not self.made and not self.new and role == "system":
-            self.system = turn
-        self.new.append(turn)
-        if self.made and len(self.new) == 1:  # as much history as fits before this turn
-            room = min(self.history, self.budget - (self.system[2] if self.system else 0) - turn[2])
-            sums = [0, *accumulate(t[2] for t in self.past)]
-            first = bisect_left(sums, sums[-1] - max(room, 0))
-            self.past = self.past[first:]
+        if not self.made and not self.turns and role == "system":
+            self.system = (role, text), tokens
+        if self.made and len(self.turns) == self.new:
+            room = max(min(self.history, self.budget - self._lead() - tokens), 0)
+            self.start = bisect_left(self.sums, self.sums[-1] - room)
+        self.turns.append((role, text))
+        self.sums.append(self.sums[-1] + tokens)
         return out
 
-    def _tokens(self) -> int:
-        return sum(t[2] for t in (*self._lead(), *self.new))
-
-    def _lead(self) -> list:
-        return ([self.system] if self.system and self.made else []) + self.past
-
     def close(self) -> tuple:
         """(window, text, repeated turns, loss spans) of the open window; what can be repeated stays."""
-        lead = self._lead()
+        lead = [self.system[0]] if self.system and self.made else []
+        repeated = len(lead) + self.new - self.start
         parts, loss, at = [], [], 0
-        for i, (role, text, _) in enumerate((*lead, *self.new)):
+        for i, (role, text) in enumerate((*lead, *self.turns[self.start :])):
             head, body = f"{OPEN}{_role_out(role)}\n", escape(text)
-            if i >= len(lead) and role == "assistant":
+            if i >= repeated and role == "assistant":
                 loss.append({"start": at + len(head), "end": at + len(head) + len(body)})
             parts += [head, body, CLOSE]
             at += len(head) + len(body) + len(CLOSE)
-        out = (self.made, "".join(parts), len(lead), loss)
-        said = [t for t in (*self.past, *self.new) if t is not self.system]
-        sums = [0, *accumulate(t[2] for t in said)]
-        self.past = said[bisect_left(sums, sums[-1] - self.history) :] if self.history else []
-        self.made, self.new = self.made + 1, []
+        out = (self.made, "".join(parts), repeated, loss)
+        kept = max(bisect_left(self.sums, self.sums[-1] - self.history), 1 if self.system and not self.made else 0)
+        self.turns, self.sums = self.turns[kept:], [s - self.sums[kept] for s in self.sums[kept:]]
+        self.start = self.new = len(self.turns)
+        self.made += 1
         return out
 
 
@@ -183,7 +186,7 @@ def parse_window(text: str) -> Iterator[tuple[str, str]]:
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """Digests of conversations, from the windows of format_conversations alone (in its order)."""
+    """Digests of conversations, from the windows of format_conversations alone, in whatever order they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv: object = run
@@ -221,4 +224,5 @@ def read_back(windows: DataFrame) -> DataFrame:
         if ready:
             yield flushed()
 
-    return windows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    ordered = windows.select("conv_id", "window", "text", "repeated", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bramble.llm.common import scratch, table
+from bramble.llm.common import materialize, remove, scratch, table
 from bramble.llm.exact_dedup import exact_duplicates
 from bramble.llm import chat, decontaminate, language, mixing, pii, secret_scan, toxicity, warc
 from bramble.llm.set_join import set_similarity_components
@@ -71,14 +71,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     captures = warc.assemble(warc.read_records(spark, path, with_payload=False))
-    number = lambda name: F.nullif(F.try_element_at("metadata.fields", F.lit(name)), F.lit("")).cast("long")
-    return captures.select(
-        number("page-id").alias("page_id"),
-        F.col("response.payload_bytes").alias("payload_bytes"),
-        F.col("response.digest").alias("payload_digest"),
-        F.col("response.type").alias("record_type"),
-        number("revisit-of").alias("refers_to"),
-    )
+    number = F.nullif(F.try_element_at("metadata.fields", F.lit("page-id")), F.lit("")).cast("long")
+    slim = materialize(captures.select(number.alias("page_id"), "response"))
+    remove(spark, path)
+    return warc.resolve_revisits(slim, "page_id").select(
+        "page_id", F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.digest").alias("payload_digest"), F.col("response.type").alias("record_type"), "refers_to",
+    )
 
 
 OP6_SQL = """
@@ -95,7 +93,7 @@ FROM h
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest_columns(pii.find_personal_data(table(spark, sf_dir, "documents")), pii.BASE_KINDS, pii.KINDS)
+    return digest_columns(pii.find_personal_data(table(spark, sf_dir, "documents")), pii.BASE_KINDS, pii.KINDS, scores=True)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +105,11 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return chat.read_back(chat.format_conversations(turns))
+    path = scratch(spark, "chat")
+    chat.format_conversations(turns).write.parquet(path)
+    read = materialize(chat.read_back(spark.read.parquet(path)))
+    remove(spark, path)
+    return read
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

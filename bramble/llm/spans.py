@@ -39,10 +39,10 @@ def find_spans(docs: DataFrame, find: Callable[[pa.Array], list[list[tuple]]], i
     return rows.mapInArrow(run, f"doc_id long, spans {SPAN_DDL}")
 
 
-def digest_columns(found: DataFrame, base: Sequence[str], kinds: Sequence[str]) -> DataFrame:
-    """doc_id, n_<kind> of the base kinds, base_sha256 and spans as text."""
+def digest_columns(found: DataFrame, base: Sequence[str], kinds: Sequence[str], scores: bool = False) -> DataFrame:
+    """doc_id, n_<kind> of the base kinds, base_sha256 and spans as text; with the spans' scores in hundredths, and whether there is any span, if asked."""
     place = F.create_map(*[x for i, k in enumerate(kinds) for x in (F.lit(k), F.lit(i))])
-    order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), place[s["kind"]].alias("place"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), place[s["kind"]].alias("place"), s["end"].alias("end"), s["kind"].alias("kind"), s["score"].alias("score"))))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select(
@@ -50,4 +50,5 @@ def digest_columns(found: DataFrame, base: Sequence[str], kinds: Sequence[str])
         *[count(k) for k in base],
         F.sha2(text(F.filter(order, lambda s: s["kind"].isin(list(base)))).cast("binary"), 256).alias("base_sha256"),
         text(order).alias("spans"),
+        *([F.array_join(F.transform(order, lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",").alias("scores"), (F.size("spans") > 0).alias("personal")] if scores else []),
     )
