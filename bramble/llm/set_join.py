@@ -61,7 +61,7 @@ from bramble.llm.components import connected_components
 from bramble.llm.words import shingle_sets
 
 #: Tokens of a unit of input, of a bucket at most on average, and postings in a row that only passes through.
-UNIT_TOKENS, BUCKET_TOKENS, SLICE = 1 << 20, 1 << 19, 1 << 15
+UNIT_TOKENS, BUCKET_TOKENS, SLICE = 1 << 20, 1 << 20, 1 << 15
 #: Documents of one unit that make a token a common one.
 COMMON = 24
 #: The frequency of common tokens: after all others.

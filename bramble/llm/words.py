@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; each takes about 40 bytes of temporaries.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 #: The bytes that count as white space.
 SPACES = np.zeros(256, dtype=bool)
