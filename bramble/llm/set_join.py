@@ -62,8 +62,8 @@ from bramble.llm.words import shingle_sets
 
 #: Tokens of a unit of input, of a bucket at most on average, and postings in a row that only passes through.
 UNIT_TOKENS, BUCKET_TOKENS, SLICE = 1 << 20, 1 << 20, 1 << 15
-#: Documents of one unit that make a token a common one.
-COMMON = 24
+#: Documents of one unit that make a token a common one, at most; fewer do where there are so many units that a token below it would fill HOT buckets.
+COMMON, HOT = 24, 8
 #: The frequency of common tokens: after all others.
 LAST = np.uint32(1 << 30)
 #: Sets in a block of an index list, on average at most.
@@ -112,7 +112,7 @@ def _runs(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(owner)))
 
 
-def _blobs(k: int, buckets: int, least: int):
+def _blobs(k: int, buckets: int, least: int, often: int):
     """Texts by units: the postings of their sets, packed by bucket, and the signature of each text."""
 
     def flush(keys: list, sets: list, signs: list, turn: int) -> pa.RecordBatch:
@@ -132,7 +132,7 @@ def _blobs(k: int, buckets: int, least: int):
         order = np.argsort(tokens, kind="stable")
         first, count = _runs(tokens[order])
         common = np.zeros(len(tokens), bool)
-        common[order] = np.repeat(count >= COMMON, count)
+        common[order] = np.repeat(count >= often, count)
 
         def add(where: int, kind: int, owner: np.ndarray, tokens: np.ndarray) -> None:
             start, runs = _runs(owner)
@@ -145,9 +145,8 @@ def _blobs(k: int, buckets: int, least: int):
         for a, m in zip(start, runs, strict=True):
             part = rare[a : a + m]
             add(int(bucket[part[0]]), _POSTINGS, owner[part], tokens[part])
-        often = count >= COMMON
-        if often.any():
-            kinds = tokens[order][first[often]]
+        if common.any():
+            kinds = tokens[order][first[count >= often]]
             where = ((kinds >> np.uint64(40)).astype(np.int64) * buckets) >> 24
             start, runs = _runs(where)
             for a, m in zip(start, runs, strict=True):
@@ -406,8 +405,11 @@ def _components(docs: DataFrame, words: int, least: int, id_col: str, text_col:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(2 * shuffle_partitions(spark), -(-size // (TOKEN_BYTES * BUCKET_TOKENS)))
 
+    units = 1 + size // (TOKEN_BYTES * UNIT_TOKENS)
+    often = max(2, min(COMMON, HOT * BUCKET_TOKENS // units))
+
     path = scratch(spark, "shared-postings")
-    dealt = rows.mapInArrow(_blobs(words, parts, least), _BLOB_DDL).repartitionById(parts, "bucket")  # a task a bucket, however many there are
+    dealt = rows.mapInArrow(_blobs(words, parts, least, often), _BLOB_DDL).repartitionById(parts, "bucket")  # a task a bucket, however many there are
     dealt.mapInArrow(_whole(_count_bucket(parts), _BLOB_DDL), _GROUP_DDL).write.partitionBy("kind").options(**_PLAIN).parquet(path)
     del dealt
     release(spark)
