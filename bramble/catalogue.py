@@ -585,6 +585,93 @@ def stash_commands(spark, sf_dir):
     return stash.strings().select("key", F.col("value").cast("string").alias("value"))
 
 
+def _shown_result(x: Any) -> str:
+    """A command's reply as text: bytes decoded, maps and lists in order, null as such."""
+    if isinstance(x, bytes | bytearray):
+        return bytes(x).decode()
+    if isinstance(x, dict):
+        return ",".join(f"{k}={_shown_result(v)}" for k, v in sorted(x.items()))
+    if isinstance(x, list | tuple):
+        return ",".join(map(_shown_result, x))
+    return "null" if x is None else str(x)
+
+
+def _scripted(name: str, start: Callable[[SparkSession, str], Any], steps: list[tuple[str, Callable[[Any], Any], str]]) -> None:
+    """Commands one after the other on what start makes; each reply as text, against its SQL expression."""
+
+    def run(spark, sf_dir):
+        subject = start(spark, sf_dir)
+        return spark.createDataFrame([(f"{i:02d} {label}", _shown_result(command(subject))) for i, (label, command, _) in enumerate(steps)], "step string, reply string")
+
+    values = ", ".join(f"('{i:02d} {label}', CAST({sql} AS VARCHAR))" for i, (label, _, sql) in enumerate(steps))
+    register(name, f"WITH a AS (SELECT c_mktsegment AS v FROM customer WHERE c_name = 'Customer#000000001'), b AS (SELECT c_mktsegment AS v FROM customer WHERE c_name = 'Customer#000000002') SELECT * FROM (VALUES {values}) AS t(step, reply)")(run)
+
+
+_A, _B = "Customer#000000001", "Customer#000000002"
+_VA, _VB = "(SELECT v FROM a)", "(SELECT v FROM b)"
+_scripted("stash_string_script", customers_stash, [
+    ("GET", lambda s: s.get(_A), _VA), ("GET missing", lambda s: s.get("none"), "'null'"), ("STRLEN", lambda s: s.strlen(_A), f"length({_VA})"),
+    ("GETRANGE", lambda s: s.getrange(_A, 1, -2), f"substr({_VA}, 2, length({_VA}) - 2)"), ("SUBSTR", lambda s: s.getrange(_A, 0, 2), f"substr({_VA}, 1, 3)"),
+    ("SETRANGE", lambda s: s.setrange(_A, 2, "xy"), f"length({_VA})"), ("GET after SETRANGE", lambda s: s.get(_A), f"substr({_VA}, 1, 2) || 'xy' || substr({_VA}, 5)"),
+    ("SETNX", lambda s: s.setnx(_B, "no"), "0"), ("SETNX missing", lambda s: s.setnx("new", "yes"), "1"), ("GETSET", lambda s: s.getset(_B, "q"), _VB), ("GETDEL", lambda s: s.getdel(_B), "'q'"),
+    ("EXISTS", lambda s: s.exists(_A, _B, "new"), "2"), ("MSET", lambda s: s.mset({"m": 1, "n": 2}), "'OK'"), ("MSETNX", lambda s: s.msetnx({"m": 5, "o": 6}), "0"), ("MGET", lambda s: s.mget("m", "zz", "n"), "'1,null,2'"),
+    ("INCR", lambda s: s.incr("m"), "2"), ("INCRBY", lambda s: s.incrby("m", 40), "42"), ("DECR", lambda s: s.decr("m"), "41"), ("DECRBY", lambda s: s.decrby("m", 50), "-9"), ("INCRBYFLOAT", lambda s: s.incrbyfloat("n", 0.5), "'2.5'"),
+    ("APPEND", lambda s: s.append("new", "!"), "4"), ("SETEX", lambda s: s.setex("t", 20, "v"), "'OK'"), ("TTL", lambda s: s.ttl("t"), "20"), ("PTTL", lambda s: s.pttl("t"), "20000"), ("TTL without", lambda s: s.ttl("m"), "-1"), ("TTL missing", lambda s: s.ttl("zz"), "-2"),
+    ("EXPIRE GT", lambda s: s.expire("t", 5, "GT"), "0"), ("EXPIRE", lambda s: s.expire("t", 5), "1"), ("PEXPIRE", lambda s: s.pexpire("t", 7000), "1"), ("EXPIREAT", lambda s: s.expireat("t", 9), "1"), ("PEXPIREAT", lambda s: s.pexpireat("t", 9500), "1"),
+    ("PTTL after", lambda s: s.pttl("t"), "8500"), ("PERSIST", lambda s: s.persist("t"), "1"), ("PERSIST again", lambda s: s.persist("t"), "0"),
+])
+_scripted("stash_hash_script", lambda s, d: Stash(s), [
+    ("HSET", lambda s: s.hset("h", {"a": 1, "b": "two"}), "2"), ("HMSET", lambda s: s.hmset("h", {"c": "x"}), "'OK'"), ("HSETNX", lambda s: s.hsetnx("h", "a", 9), "0"), ("HGET", lambda s: s.hget("h", "b"), "'two'"),
+    ("HMGET", lambda s: s.hmget("h", "a", "q"), "'1,null'"), ("HGETALL", lambda s: s.hgetall("h"), "'a=1,b=two,c=x'"), ("HKEYS", lambda s: sorted(s.hkeys("h")), "'a,b,c'"), ("HVALS", lambda s: sorted(s.hvals("h")), "'1,two,x'"),
+    ("HLEN", lambda s: s.hlen("h"), "3"), ("HEXISTS", lambda s: s.hexists("h", "z"), "0"), ("HSTRLEN", lambda s: s.hstrlen("h", "b"), "3"), ("HINCRBY", lambda s: s.hincrby("h", "a", 6), "7"), ("HINCRBYFLOAT", lambda s: s.hincrbyfloat("h", "a", 0.25), "'7.25'"),
+    ("HDEL", lambda s: s.hdel("h", "b", "zz"), "1"), ("HRANDFIELD", lambda s: s.hrandfield("h") in ("a", "c", ["a"], ["c"]), "'True'"), ("TYPE", lambda s: s.type("h"), "'hash'"),
+])
+_scripted("stash_key_script", customers_stash, [
+    ("TYPE", lambda s: s.type(_A), "'string'"), ("TYPE missing", lambda s: s.type("zz"), "'none'"), ("RENAME", lambda s: s.rename(_A, "r"), "'OK'"), ("RENAMENX", lambda s: s.renamenx("r", _B), "0"), ("GET", lambda s: s.get("r"), _VA),
+    ("DEL", lambda s: s.delete("r", "zz"), "1"), ("RANDOMKEY", lambda s: s.randomkey().startswith("Customer#"), "'True'"), ("SCAN", lambda s: len(s.scan(0, 7)[1]), "7"), ("WATCH", lambda s: s.watch(_B), "'OK'"), ("MULTI", lambda s: s.multi(), "'OK'"),
+    ("QUEUE", lambda s: s.queue("append", _B, "!"), "'QUEUED'"), ("EXEC", lambda s: s.exec(), f"length({_VB}) + 1"), ("MULTI again", lambda s: s.multi(), "'OK'"), ("DISCARD", lambda s: s.discard(), "'OK'"), ("WATCH again", lambda s: s.watch(_B), "'OK'"),
+    ("SET", lambda s: s.set(_B, "z"), "'OK'"), ("MULTI third", lambda s: s.multi(), "'OK'"), ("EXEC stale", lambda s: s.exec(), "'null'"), ("UNWATCH", lambda s: s.unwatch(), "'OK'"), ("SELECT", lambda s: s.select(0), "'OK'"),
+    ("READONLY", lambda s: s.readonly(), "'OK'"), ("READWRITE", lambda s: s.readwrite(), "'OK'"), ("CLUSTER KEYSLOT", lambda s: s.cluster_keyslot("123456789"), "12739"), ("COUNT", lambda s: s.live().count(), "(SELECT count(*) - 1 FROM customer)"),
+    ("FLUSHDB", lambda s: s.flushdb(), "'OK'"), ("COUNT after", lambda s: s.live().count(), "0"), ("FLUSHALL", lambda s: s.flushall(), "'OK'"),
+])
+
+
+def orders_session(spark: SparkSession, sf_dir: str):
+    """A session in a namespace of its own, with orders as a bucket."""
+    session = Catalog(spark).session()
+    session.namespace_create("shop.eu")
+    session.namespace_use("shop.eu")
+    session.create("orders", table(spark, sf_dir, "orders"), id_col="o_orderkey", indexes={"o_orderstatus": {"bson_type": "string"}})
+    return session
+
+
+def _does(call: Callable[[Any], Any]) -> Callable[[Any], Any]:
+    """A command without a reply."""
+
+    def run(session):
+        call(session)
+        return "OK"
+
+    return run
+
+
+_N = "(SELECT count(*) FROM orders{})"
+_scripted("session_script", orders_session, [
+    ("NAMESPACE CURRENT", lambda s: s.namespace_current(), "'shop.eu'"), ("NAMESPACE EXISTS", lambda s: s.namespace_exists("shop.us"), "'False'"), ("NAMESPACE LIST", lambda s: s.namespace_list("shop"), "'eu'"), ("BUCKET.LIST", lambda s: s.list_buckets(), "'orders'"),
+    ("QUERY", lambda s: s.query("orders", {"o_orderstatus": "P"}, limit=None).count(), _N.format(" WHERE o_orderstatus = 'P'")), ("SESSION.ATTRIBUTE", _does(lambda s: s.set_attribute("limit", 7)), "'OK'"), ("QUERY limit", lambda s: s.query("orders").count(), "7"),
+    ("INDEX LIST", lambda s: sorted(s.bucket("orders").indexes), "'o_orderstatus'"), ("INDEX DESCRIBE", lambda s: s.bucket("orders").describe_index("o_orderstatus")["status"], "'READY'"), ("INDEX ANALYZE", lambda s: s.bucket("orders").analyze_index("o_orderstatus")[0], _N.format("")),
+    ("INDEX TASKS", lambda s: s.bucket("orders").index_tasks("o_orderstatus")[0]["processed"], _N.format("")), ("EXPLAIN", lambda s: "o_orderstatus" in s.bucket("orders").explain({"o_orderstatus": "P"}), "'True'"), ("LOCATE", lambda s: len(s.bucket("orders").locate()) > 0, "'True'"),
+    ("BEGIN", _does(lambda s: s.begin()), "'OK'"), ("DELETE", lambda s: s.delete("orders", {"o_orderstatus": "P"}).count(), _N.format(" WHERE o_orderstatus = 'P'")), ("COUNT within", lambda s: s.bucket("orders").table.count(), _N.format(" WHERE o_orderstatus <> 'P'")),
+    ("ROLLBACK", _does(lambda s: s.rollback()), "'OK'"), ("COUNT after", lambda s: s.bucket("orders").table.count(), _N.format("")), ("BEGIN again", _does(lambda s: s.begin()), "'OK'"), ("SNAPSHOTREAD", _does(lambda s: s.snapshot_read()), "'OK'"),
+    ("UPDATE", lambda s: s.update("orders", {"o_orderstatus": "P"}, {"$set": {"o_orderstatus": "Q"}}).count(), _N.format(" WHERE o_orderstatus = 'P'")), ("COMMIT", lambda s: s.commit() == s.tick() == s.get_read_version(), "'True'"),
+    ("COUNT committed", lambda s: s.query("orders", {"o_orderstatus": "Q"}, limit=None).count(), _N.format(" WHERE o_orderstatus = 'P'")), ("GETAPPROXIMATESIZE", lambda s: s.approximate_size() > 0, "'True'"), ("INDEX DROP", lambda s: len(s.bucket("orders").drop_index("o_orderstatus").indexes), "0"),
+    ("INSERT", _does(lambda s: s.insert("orders", [{"o_orderkey": -1, "o_orderstatus": "N"}])), "'OK'"), ("COUNT inserted", lambda s: s.bucket("orders").table.count(), _N.format("") + " + 1"),
+    ("CURSOR", lambda s: len(s.advance("QUERY", s.open_cursor("orders", {"o_orderstatus": "F"}, limit=9))), "9"), ("CURSORS", lambda s: s.list_cursors("QUERY"), "'QUERY=1'"), ("CLOSE", _does(lambda s: s.close("QUERY", 1)), "'OK'"), ("CURSORS after", lambda s: s.list_cursors("QUERY"), "'QUERY='"),
+    ("BUCKET.REMOVE", _does(lambda s: s.remove("orders")), "'OK'"), ("BUCKET.LIST after", lambda s: s.list_buckets(), "''"), ("BUCKET.PURGE", _does(lambda s: s.purge("orders")), "'OK'"), ("NAMESPACE MOVE", _does(lambda s: s.namespace_move("shop.eu", "shop.us")), "'OK'"),
+    ("NAMESPACE REMOVE", _does(lambda s: s.namespace_remove("shop.us")), "'OK'"), ("NAMESPACE LIST after", lambda s: s.namespace_list("shop"), "''"), ("NAMESPACE PURGE", _does(lambda s: s.namespace_purge("shop.us")), "'OK'"), ("SESSION.CLOSE", _does(lambda s: s.close_session()), "'OK'"),
+])
+
+
 @register("ns_list", "SELECT r_name AS parent, n_name AS namespace FROM nation JOIN region ON r_regionkey = n_regionkey")
 def ns_list(spark, sf_dir):
     """Nations as namespaces below their regions."""
