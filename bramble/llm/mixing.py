@@ -39,8 +39,8 @@ MOST_REPEATS = 3
 PROGRAM_WORDS = 1 << 16
 #: Bits of a draw, and of a histogram's buckets.
 DRAW_BITS, BUCKET_BITS = 48, 6
-#: Rows of a plan that are broadcast at most.
-BROADCAST_ROWS = 1 << 20
+#: Rows of a plan that are broadcast at most; beyond them it is joined by a shuffle.
+BROADCAST_ROWS = 1 << 17
 _PLACE = ["__no_source", "__source", "__size"]
 
 
@@ -121,9 +121,8 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed:
     })
 
 
-def _cut(rows: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
-    """For each group of rows (with ``rest``), the value of that many-th row in order: by, name, held there, rest within."""
-    counted = rows.groupBy(*by, "rest", value.alias(name)).agg(F.count("*").alias("held"))
+def _cut(counted: DataFrame, by: list[str], name: str) -> DataFrame:
+    """For each group of counts (by, name, held, rest), the value of name at the rest-th row in order: by, name, held there, rest within."""
     before = F.sum("held").over(Window.partitionBy(*by).orderBy(name)) - F.col("held")
     found = counted.withColumn("before", before).where("before < rest AND before + held >= rest")
     return materialize(found.select(*by, name, "held", (F.col("rest") - F.col("before")).alias("rest")))
@@ -147,10 +146,12 @@ def _plan(slim: DataFrame, weights: Sequence[float]) -> tuple[DataFrame, DataFra
     high = F.shiftright(draw, low)
     next_ = F.shiftright(draw, low - BUCKET_BITS).bitwiseAND(F.lit((1 << BUCKET_BITS) - 1))
     some = plan.where("extra > 0 AND extra < n").select(*by, F.col("extra").alias("rest"))
-    first = _cut(slim.join(some, by), by, high, "high")
-    second = _cut(slim.withColumn("high", high).join(first.drop("held"), [*by, "high"]), [*by, "high"], next_, "next")
+    # Rows are counted by bucket before they meet the plan, so that a hot source and length is spread over its buckets.
+    histogram = materialize(slim.groupBy(*by, high.alias("high"), next_.alias("next")).agg(F.count("*").alias("held")))
+    first = _cut(histogram.groupBy(*by, "high").agg(F.sum("held").alias("held")).join(some, by), by, "high")
+    second = _cut(histogram.join(first.drop("held"), [*by, "high"]), [*by, "high"], "next")
     last = slim.withColumns({"high": high, "next": next_}).join(second.drop("held"), [*by, "high", "next"])
-    cuts = _cut(last, by, draw, "cut")
+    cuts = _cut(last.groupBy(*by, "rest", draw.alias("cut")).agg(F.count("*").alias("held")), by, "cut")
     every = F.when(F.col("extra") >= F.col("n"), F.lit(1 << DRAW_BITS)).otherwise(F.lit(-1))
     plan = plan.join(cuts, by, "left").select(*by, "whole", F.coalesce("cut", every).alias("cut"), F.coalesce("held", F.lit(0)).alias("ties"), F.coalesce("rest", F.lit(0)).alias("quota"))
     totals = spark.createDataFrame([(*k, sizes[k], targets[k]) for k in order], "__no_source boolean, __source string, source_size long, target double")
