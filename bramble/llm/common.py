@@ -70,7 +70,7 @@ def release(spark: SparkSession) -> None:
     for _ in range(2):  # what refers to a shuffle goes in the first round, the shuffle in the second
         gc.collect()
         spark._jvm.System.gc()
-        time.sleep(0.3)
+        time.sleep(0.2)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

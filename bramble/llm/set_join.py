@@ -29,7 +29,8 @@ answer and the tokens in which either set differs from the leader,
 
     |x & y| = |x & L| - |L - y| + |(L - x) & (L - y)| + |(x - L) & (y - L)|,
 
-without the sets themselves.
+without the sets themselves.  Where many pairs are left open, what is outside the
+leader's component is led anew.
 
 Each text is read and hashed once; rows are told apart by their place in the
 input, so ids may repeat or be null.
@@ -68,6 +69,10 @@ COMMON, HOT = 24, 8
 LAST = np.uint32(1 << 30)
 #: Sets in a block of an index list, on average at most.
 BLOCK_SETS = 128
+#: Open pairs a listed set that are expanded at once, and comparisons for one link beyond which further leaders do not pay.
+OPEN_PAIRS, LINKED = 32, 16
+#: Tasks that the rows of one class are dealt to.
+SALTS = 16
 #: Steps of a block's size (to the factor e) and of its overlap with the leader; a block's bounds are as tight as these.
 CLASSES = 64
 #: Bytes of text for each token, about; it only sets the number of buckets.
@@ -353,20 +358,27 @@ def _derive(pairs: DataFrame, answers: DataFrame, sets: DataFrame, least: int) -
     return materialize(both.mapInArrow(_derived, "a long, b long, overlap int, na int, nb int").where(_linked(least)).select("a", "b"))
 
 
-def _open_pairs(lists: DataFrame, answers: DataFrame, components: DataFrame, least: int) -> DataFrame:
-    """Pairs of one list, across components, that the answers against its leader leave open: leader, a, b; one, the closest, leader a pair."""
+def _mixed(lists: DataFrame, components: DataFrame) -> DataFrame:
+    """The entries of lists that span components, with their component, and whether it is another than their leader's."""
+    entries = lists.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    led = F.max(F.when(F.col("id") == F.col("leader"), F.col("component"))).alias("led")
+    mixed = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), led).where("low <> high").select("token", "led")
+    entries = entries.join(materialize(mixed), "token").withColumn("minor", F.col("component") != F.col("led")).drop("led")
+    return materialize(entries)  # as a table of its own, so that a skewed token can be split
+
+
+def _may_reach(least: int, n_x: Column, n_y: Column, left: Column, inside: Column, outside: Column) -> Column:
+    """Whether an overlap of at most least(left), and at most inside + outside, can link sets of these sizes."""
+    need = F.lit(least) * (n_x + n_y)
+    return (F.lit(100 + least) * left >= need) & (F.lit(100 + least) * (inside + outside) >= need)
+
+
+def _open_blocks(mixed: DataFrame, answers: DataFrame, least: int) -> DataFrame:
+    """Pairs of blocks of one list, the first outside its leader's component, that the bounds cannot skip: leader, x_sets, y_sets, y_minor."""
     known = answers.select(F.col("a").alias("leader"), F.col("b").alias("id"), "overlap")
-    entries = lists.join(known, ["leader", "id"], "left").join(components.withColumnRenamed("node", "id"), "id", "left")
-    entries = entries.select(
-        "token", "held", "leader", "id", "n", "position", F.coalesce("component", "id").alias("component"),
-        F.when(F.col("id") == F.col("leader"), F.col("shared")).otherwise(F.col("overlap")).alias("inside"),
-        F.when(F.col("id") == F.col("leader"), F.lit(0)).otherwise(F.col("shared") - F.col("overlap")).alias("outside"),
-    ).where("inside IS NOT NULL AND id <> leader")
-    mixed = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    entries = materialize(entries.join(materialize(mixed), "token", "left_semi"))  # as a table of its own, so that a skewed token can be split
-    counts = entries.groupBy("token", "component").count()
-    major = counts.groupBy("token").agg(F.max(F.struct("count", "component")).alias("top")).select("token", F.col("top.component").alias("major"))
-    entries = entries.join(materialize(major), "token").withColumn("minor", F.col("component") != F.col("major"))
+    entries = mixed.where("id <> leader").join(known, ["leader", "id"]).select(
+        "token", "held", "leader", "id", "n", "position", "component", "minor", F.col("overlap").alias("inside"), (F.col("shared") - F.col("overlap")).alias("outside"),
+    )
     place = [
         F.floor(F.log(F.col("n").cast("double")) * CLASSES).cast("int").alias("size_class"),
         F.floor(F.col("position") * 4 / F.col("n")).cast("int").alias("position_class"),
@@ -382,22 +394,56 @@ def _open_pairs(lists: DataFrame, answers: DataFrame, components: DataFrame, lea
     blocks = materialize(blocks.select("token", "leader", "minor", "sets", "least_n", "most_n", "left", "inside", "outside"))
     x = blocks.where("minor").select("token", *[F.col(c).alias(f"x_{c}") for c in blocks.columns if c not in ("token", "leader")])
     y = blocks.select("token", "leader", *[F.col(c).alias(f"y_{c}") for c in blocks.columns if c not in ("token", "leader")])
+    sizes = (F.lit(100) * F.col("y_most_n") >= F.lit(least) * F.col("x_least_n")) & (F.lit(100) * F.col("x_most_n") >= F.lit(least) * F.col("y_least_n"))
+    bound = _may_reach(least, F.col("x_least_n"), F.col("y_least_n"), F.least("x_left", "y_left"), F.least("x_inside", "y_inside"), F.least("x_outside", "y_outside"))
+    return x.join(y, "token").where(sizes & bound).select("leader", "x_sets", "y_sets", "y_minor")
 
-    def may_reach(n_x, n_y, left, inside, outside):
-        """Whether an overlap of at most least(left), and at most inside + outside, can link sets of these sizes."""
-        need = F.lit(least) * (n_x + n_y)
-        return (F.lit(100 + least) * left >= need) & (F.lit(100 + least) * (inside + outside) >= need)
 
-    sizes = (F.lit(100) * F.col("y_most_n") >= F.lit(least) * F.col("x_least_n")) & (F.lit(100) * F.col("x_most_n") >= F.lit(least) * F.col("y_least_n"))
-    bound = may_reach(F.col("x_least_n"), F.col("y_least_n"), F.least("x_left", "y_left"), F.least("x_inside", "y_inside"), F.least("x_outside", "y_outside"))
-    met = x.join(y, "token").where(sizes & bound)
-    pairs = met.select("leader", F.explode("x_sets").alias("x"), F.col("y_sets")).select("leader", "x", F.explode("y_sets").alias("y"))
-    fine = may_reach(F.col("x.n"), F.col("y.n"), F.least(F.col("x.n") - F.col("x.position"), F.col("y.n") - F.col("y.position")), F.least("x.inside", "y.inside"), F.least("x.outside", "y.outside"))
+def _open_pairs(blocks: DataFrame, least: int) -> DataFrame:
+    """Pairs of open blocks, across components, that the answers against a leader leave open: leader, a, b; one, the closest, leader a pair."""
+    pairs = blocks.select("leader", F.explode("x_sets").alias("x"), F.col("y_sets")).select("leader", "x", F.explode("y_sets").alias("y"))
+    left = F.least(F.col("x.n") - F.col("x.position"), F.col("y.n") - F.col("y.position"))
+    fine = _may_reach(least, F.col("x.n"), F.col("y.n"), left, F.least("x.inside", "y.inside"), F.least("x.outside", "y.outside"))
     pairs = pairs.where(fine & (F.col("x.component") != F.col("y.component")))
     pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), "leader", (F.col("x.inside") + F.col("y.inside")).alias("near"))
     return pairs.groupBy("a", "b").agg(F.max_by("leader", F.struct("near", "leader")).alias("leader"))
 
 
+def _linked_components(lists: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """The components of all links, as node and component.
+
+    Pairs that the leaders' answers leave open are expanded at once where they
+    are few a set, or where leaders find few links.  Else, as in a family of
+    several parts, only the pairs with a leader's own component are, for which
+    its answers bound best; what is left of a list gets a leader of its own, and
+    so part after part becomes one component at one comparison a set.
+    """
+    edges = None
+    while True:
+        answers = _compare(lists.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), sets, least)
+        links = answers.where("linked").select("a", "b")
+        edges = links if edges is None else edges.unionByName(links)
+        components = connected_components(edges)
+        mixed = _mixed(lists, components)
+        blocks = _open_blocks(mixed, answers, least)
+        work = blocks.agg(F.sum(F.size("x_sets").cast("long") * F.size("y_sets"))).first()[0] or 0
+        last = work <= OPEN_PAIRS * mixed.count() or LINKED * links.count() < answers.count()
+        more = _derive(materialize(_open_pairs(blocks if last else blocks.where("NOT y_minor"), least)), answers, sets, least)
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            components = connected_components(edges)
+        if last:
+            return components
+        lists = _led(mixed.where("minor").select("token", "id", "n", "shared", "position", "central"))
+
+
+def _led(postings: DataFrame) -> DataFrame:
+    """Lists of two sets or more, each with its most central set as leader: token, held, leader, id, n, shared, position, central."""
+    leaders = postings.groupBy("token").agg(F.count("*").alias("held"), F.max(F.struct("central", (-F.col("id")).alias("id"))).alias("top")).where("held > 1")
+    leaders = materialize(leaders.select("token", "held", (-F.col("top.id")).alias("leader")))
+    return materialize(postings.join(leaders, "token").select("token", "held", "leader", "id", "n", "shared", "position", "central"))
+
+
 def _components(docs: DataFrame, words: int, least: int, id_col: str, text_col: str) -> DataFrame:
     """One row a document: doc_id, n, s1, s2, component_id, and whether it is the first of its component."""
     spark = docs.sparkSession
@@ -423,25 +469,14 @@ def _components(docs: DataFrame, words: int, least: int, id_col: str, text_col:
     sets = materialize(live)
     del shared, postings, firsts, live
     remove(spark, path)
-    release(spark)
 
     postings = sets.mapInArrow(_postings, "token long, id long, n int, shared int, position int, central double")
-    leaders = postings.groupBy("token").agg(F.count("*").alias("held"), F.max(F.struct("central", (-F.col("id")).alias("id"))).alias("top")).where("held > 1")
-    leaders = materialize(leaders.select("token", "held", (-F.col("top.id")).alias("leader")))
-    lists = materialize(postings.join(leaders, "token").select("token", "held", "leader", "id", "n", "shared", "position"))
-
-    stars = lists.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    answers = _compare(stars, sets, least)
-    edges = answers.where("linked").select("a", "b")
-    components = connected_components(edges)
-    more = _derive(materialize(_open_pairs(lists, answers, components, least)), answers, sets, least)
-    if not more.isEmpty():
-        components = connected_components(edges.unionByName(more))
-
+    components = _linked_components(_led(postings), sets, least)
     joined = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left")
     first = joined.where("component IS NOT NULL").groupBy("component").agg(F.min("best").alias("first"))
     named = joined.where("copies > 1 OR component IS NOT NULL").join(first, "component", "left").select("n", "s1", "s2", F.coalesce("first", "best").alias("first"))
-    out = base.join(materialize(named), ["n", "s1", "s2"], "left")
+    salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a class may hold a third of all rows
+    out = base.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(materialize(salted), ["n", "s1", "s2", "salt"], "left")
     alone = F.col("first").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id"))
     return out.select("doc_id", "n", "s1", "s2", component.alias("component_id"), (alone | (F.col("first.key") == F.col("key"))).alias("kept"))

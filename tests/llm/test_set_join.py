@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from bramble.llm import set_join
 from bramble.llm.components import connected_components
@@ -59,9 +60,10 @@ def corpus(seed, n=260):
     return rows
 
 
-@pytest.mark.parametrize("seed, k, least, common", [(1, 4, 85, 24), (2, 2, 70, 3), (3, 5, 80, 4)])
-def test_equals_brute_force(spark, monkeypatch, seed, k, least, common):
+@pytest.mark.parametrize("seed, k, least, common, open_pairs", [(1, 4, 85, 24, 32), (2, 2, 70, 3, 0), (3, 5, 80, 4, 0)])
+def test_equals_brute_force(spark, monkeypatch, seed, k, least, common, open_pairs):
     monkeypatch.setattr(set_join, "BLOCK_SETS", 4)
+    monkeypatch.setattr(set_join, "OPEN_PAIRS", open_pairs)
     monkeypatch.setattr(set_join, "COMMON", common)
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -118,6 +120,31 @@ def test_overlaps_are_derived_from_the_leader(spark, monkeypatch):
     assert got == brute(rows, 1, 86) and seen[1] > seen[2] > 0, seen
 
 
+def test_parts_of_a_family_are_led_one_after_another(spark, monkeypatch):
+    """Parts whose members link among themselves and not with the family's center: further leaders leave few pairs to expand."""
+    r = random.Random(8)
+    base, rows = [f"b{i}" for i in range(120)], []
+    less = lambda words, n: r.sample(words, len(words) - n)
+    for part in range(6):
+        own = [w for i, w in enumerate(base) if i % 6 != part]
+        rows += [(len(rows) + i, " ".join(x)) for i, x in enumerate({tuple(sorted(less(own, 2))) for _ in range(40)})]
+    rows += [(1000 + i, " ".join(x)) for i, x in enumerate({tuple(sorted(less(base, 3))) for _ in range(10)})]
+    expanded = dict.fromkeys((1 << 30, 0), 0)
+    original = set_join._open_pairs
+
+    def counted(blocks, least):
+        expanded[set_join.OPEN_PAIRS] += blocks.agg(F.sum(F.size("x_sets") * F.size("y_sets"))).first()[0] or 0
+        return original(blocks, least)
+
+    monkeypatch.setattr(set_join, "_open_pairs", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (1 << 30, 0):
+        monkeypatch.setattr(set_join, "OPEN_PAIRS", limit)
+        got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in set_similarity_components(docs, 1, 90).collect())
+        assert got == brute(rows, 1, 90)
+    assert expanded[0] < expanded[1 << 30] / 2, expanded
+
+
 def test_drop_keeps_one_of_each(spark):
     rows = corpus(7)
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, size string")
