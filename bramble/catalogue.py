@@ -22,6 +22,7 @@ from bramble.operators.sort import variant_key
 from bramble.operators.stash import Stash
 from bramble.plans import bql
 from bramble.plans.dynamic import DynamicCompiler
+from bramble.sources import bson
 from bramble.sources.documents import from_json, to_json
 from bramble.storage import scratch
 from bramble.streaming import changelog
@@ -688,3 +689,14 @@ def ns_list(spark, sf_dir):
 def json_round_trip(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
     return from_json(to_json(rows), "json", rows.schema)
+
+
+@register("bson_round_trip", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, o_orderdate >= TIMESTAMP '1997-01-01' AS late FROM orders")
+def bson_round_trip(spark, sf_dir):
+    """Orders as BSON and back, their dates as BSON datetimes."""
+    day = F.struct(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("$date")).alias("d")
+    rows = table(spark, sf_dir, "orders").select(F.to_json(F.struct("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", day)).alias("json"))
+    read = bson.from_bson(bson.to_bson(rows, "json"), "bson")
+    get = lambda name, kind: F.try_variant_get("_doc", f"$.{name}", kind).alias(name)
+    late = DynamicCompiler().condition(bql.parse({"d": {"$gte": {"$date": "1997-01-01T00:00:00Z"}}})).alias("late")
+    return read.select(get("o_orderkey", "bigint"), get("o_custkey", "bigint"), get("o_totalprice", "double"), get("o_orderpriority", "string"), late)

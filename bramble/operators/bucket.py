@@ -32,6 +32,7 @@ from bramble.plans.bql import And, BqlError, Const, Leaf, Or
 from bramble.plans.compiler import Compiler
 from bramble.plans.dynamic import DynamicCompiler
 from bramble.plans.normalize import explain, normalize
+from bramble.sources.bson import as_json, decode, to_bson
 from bramble.sources.documents import DOCUMENT, is_dynamic, to_json
 from bramble.storage import materialize
 
@@ -340,7 +341,7 @@ class Catalog:
         return Session(self)
 
 
-_ATTRIBUTES = {"input_type": ("json", "rows"), "reply_type": ("json", "json_text"), "object_id_format": ("hex", "bytes")}
+_ATTRIBUTES = {"input_type": ("json", "bson"), "reply_type": ("json", "json_text", "bson"), "object_id_format": ("hex", "bytes")}
 
 
 class Session:
@@ -512,13 +513,19 @@ class Session:
         return sorted(n for n, b in self.catalog.namespaces[self._existing(self.namespace)].items() if not b.removed)
 
     def insert(self, name: str, documents: Any) -> None:
+        """A frame, or documents: BSON ones as bytes where the session's input_type says so."""
+        if self.attributes["input_type"] == "bson" and not isinstance(documents, DataFrame):
+            documents = [json.loads(as_json(decode(d))) for d in documents]
         self._put(self.bucket(name).insert(documents))
 
     def query(self, name: str, query: Any = None, **options: Any) -> DataFrame:
-        """The rows of a query: as JSON texts where the session's reply_type is json_text."""
+        """The rows of a query; one column of JSON or BSON documents where the session's reply_type asks for it."""
         options.setdefault("limit", self.attributes["limit"])
         rows = self.bucket(name).query(query, **options)
-        return to_json(rows) if self.attributes["reply_type"] == "json_text" else rows
+        if self.attributes["reply_type"] == "json":
+            return rows
+        texts = to_json(rows)
+        return texts if self.attributes["reply_type"] == "json_text" else to_bson(texts, "json")
 
     def update(self, name: str, query: Any, spec: Mapping[str, Any], **options: Any) -> DataFrame:
         changed, ids = self.bucket(name).update(query, spec, **options)
