@@ -9,6 +9,7 @@ are built once a session and source, sorted by id, and read from storage.
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -700,3 +701,118 @@ def bson_round_trip(spark, sf_dir):
     get = lambda name, kind: F.try_variant_get("_doc", f"$.{name}", kind).alias(name)
     late = DynamicCompiler().condition(bql.parse({"d": {"$gte": {"$date": "1997-01-01T00:00:00Z"}}})).alias("late")
     return read.select(get("o_orderkey", "bigint"), get("o_custkey", "bigint"), get("o_totalprice", "double"), get("o_orderpriority", "string"), late)
+
+
+# what the rows above leave out
+
+def half_priced(spark: SparkSession, sf_dir: str) -> Bucket:
+    """Customers whose balance is missing above 5000."""
+    rows = table(spark, sf_dir, "customer").withColumn("c_acctbal", F.when(F.col("c_acctbal") <= 5000, F.col("c_acctbal")))
+    return Bucket("customer", rows, "c_custkey")
+
+
+_NULLS = "(SELECT c_custkey, CASE WHEN c_acctbal <= 5000 THEN c_acctbal END AS v FROM customer)"
+register("sort_nulls_first", f"SELECT c_custkey FROM {_NULLS} ORDER BY v ASC NULLS FIRST, c_custkey LIMIT 90")(lambda s, d: half_priced(s, d).query(sort_by=("c_acctbal", "ASC"), limit=90).select("c_custkey"))
+register("sort_nulls_last", f"SELECT c_custkey FROM {_NULLS} ORDER BY v DESC NULLS LAST, c_custkey DESC LIMIT 120")(lambda s, d: half_priced(s, d).query(sort_by=("c_acctbal", "DESC"), limit=120).select("c_custkey"))
+register("bql_exists_column", f"SELECT c_custkey FROM {_NULLS} WHERE v IS NOT NULL")(lambda s, d: half_priced(s, d).find({"c_acctbal": {"$exists": True}}).select("c_custkey"))
+register("bql_null_or_range", f"SELECT c_custkey FROM {_NULLS} WHERE v IS NULL OR v < 100")(lambda s, d: half_priced(s, d).find({"$or": [{"c_acctbal": None}, {"c_acctbal": {"$lt": 100}}]}).select("c_custkey"))
+
+
+@register("cursor_exhaustion", "SELECT s_suppkey, CAST(row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS BIGINT) AS place FROM supplier")
+def cursor_exhaustion(spark, sf_dir):
+    """All pages of a cursor until there is none, in order."""
+    rows = table(spark, sf_dir, "supplier")
+    cursor = Bucket("supplier", rows, "s_suppkey").cursor({}, sort_by=("s_acctbal", "ASC"), limit=max(40, rows.count() // 5))
+    out = []
+    while page := cursor.advance():
+        out += [r["s_suppkey"] for r in page]
+    return spark.createDataFrame([(k, i + 1) for i, k in enumerate(out)], "s_suppkey bigint, place bigint")
+
+
+_projected("proj_empty_spec", {}, [(c, c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")], "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+_projected("proj_only_id", {"o_orderkey": 1}, [("o_orderkey", "o_orderkey")], "SELECT o_orderkey FROM orders")
+_projected("proj_slice_scalar", {"o_orderstatus": {"$slice": 1}}, [("o_orderkey", "o_orderkey"), ("o_orderstatus", "o_orderstatus"), ("n", "coalesce(size(items), -1)")], f"SELECT o_orderkey, o_orderstatus, CAST(coalesce(len(items), -1) AS INT) AS n FROM {_DOC}")
+
+_updated("upd_unset_then_set", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'new' ELSE o_orderpriority END AS o_orderpriority FROM orders", ["o_orderkey", "o_orderpriority"], {"o_orderstatus": "P"}, {"$unset": ["o_orderstatus"], "$set": {"o_orderpriority": "new"}})
+_updated("upd_positional_missing", f"SELECT o_orderkey, array_to_string(list_transform(items, lambda x: x.f), '') AS flags FROM {_DOC}", _FLAGS, {"items": {"$exists": False}}, {"$set": {"items.$[].l_returnflag": "Z"}}, orders_doc)
+
+
+@register("index_single_entries", "SELECT c_mktsegment AS k0, c_custkey FROM customer")
+def index_single_entries(spark, sf_dir):
+    return ix.entries(table(spark, sf_dir, "customer"), ix.parse_indexes({"c_mktsegment": {"bson_type": "string"}})[0], "c_custkey")
+
+
+@register("index_compound_entries", "SELECT c_mktsegment AS k0, c_nationkey AS k1, c_custkey FROM customer")
+def index_compound_entries(spark, sf_dir):
+    compound = {"$compound": {"name": "sn", "fields": [{"selector": "c_mktsegment", "bson_type": "string"}, {"selector": "c_nationkey", "bson_type": "int32"}]}}
+    return ix.entries(table(spark, sf_dir, "customer"), ix.parse_indexes(compound)[0], "c_custkey")
+
+
+@register("index_variant_duplicates", "SELECT CAST(props->>'k' AS INT) AS k, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
+def index_variant_duplicates(spark, sf_dir):
+    """The keys that a unique index on a schemaless field would refuse."""
+    rows = from_json(table(spark, sf_dir, "events").select("event_id", "props"), "props")
+    return ix.duplicates(rows, ix.Index("k", ("k",), ("int32",), unique=True)).select(F.col("k0.whole").cast("int").alias("k"), "n")
+
+
+@register("index_layout", "SELECT o_orderkey FROM orders WHERE o_custkey BETWEEN 100 AND 300")
+def index_layout(spark, sf_dir):
+    """A range over a bucket written in the layout of an index."""
+    path = scratch(spark, "layout")
+    ix.write_bucket(table(spark, sf_dir, "orders"), path, ix.Index("c", ("o_custkey",), ("int64",)))
+    return Bucket("orders", spark.read.parquet(path), "o_orderkey").find({"o_custkey": {"$gte": 100, "$lte": 300}}).select("o_orderkey")
+
+
+@register("stats_cardinality", "SELECT count(*) AS entries FROM (SELECT DISTINCT l_orderkey, l_returnflag FROM lineitem UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem))")
+def stats_cardinality(spark, sf_dir):
+    index = ix.Index("flags", ("items.l_returnflag",), ("string",), multi_key=True)
+    return spark.createDataFrame([(ix.cardinality(orders_doc(spark, sf_dir).table, index),)], "entries bigint")
+
+
+@register("collation_of_index", "SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'machinery'")
+def collation_of_index(spark, sf_dir):
+    """Without one of its own, a query takes the collation of the field's index."""
+    b = bucket(spark, sf_dir, "customer").create_index({"c_mktsegment": {"bson_type": "string", "collation": {"locale": "en", "strength": 2}}})
+    return b.find({"c_mktsegment": "MachinerY"}).select("c_custkey")
+
+
+@register("vec_projection", f"SELECT vec_id, label, round((1 + {_C}) / 2, 6) AS score FROM embeddings ORDER BY {_C} DESC, vec_id LIMIT 10")
+def vec_projection(spark, sf_dir):
+    b = bucket(spark, sf_dir, "embeddings")
+    q = [float(x) for x in b.table.where("vec_id = 0").first()["embedding"]]
+    return b.vector("embedding", q, projection={"label": 1}, overquery=2).select("vec_id", "label", F.round("_score", 6).alias("score"))
+
+
+_zmap("zmap_del", f"SELECT * FROM {_MAP} WHERE key <> '000000000007'", lambda m: _shown(zmap.delete(m, "000000000007")))
+
+
+def _number(name: str, sql: str, run) -> None:
+    """A number put, incremented and read again beside all orders."""
+    register(name, sql)(lambda s, d: s.createDataFrame([(str(run(orders_map(s, d))),)], "value string"))
+
+
+_number("zmap_f64", "SELECT CAST(1.5 + 2.25 AS VARCHAR) AS value", lambda m: zmap.get_f64(zmap.increment_f64(zmap.put_f64(m, "f", 1.5), "f", 2.25), "f"))
+_number("zmap_d128", "SELECT CAST(CAST(12345678901234567890.25 AS DECIMAL(38,2)) + CAST(0.5 AS DECIMAL(38,2)) AS VARCHAR) AS value", lambda m: zmap.get_d128(zmap.increment_d128(zmap.put_d128(m, "d", Decimal("12345678901234567890.25")), "d", Decimal("0.50")), "d"))
+
+
+@register("zmap_inc", f"SELECT key, value + 5 AS value FROM {_MAP} UNION ALL SELECT 'z', 5")
+def zmap_inc(spark, sf_dir):
+    m = orders_map(spark, sf_dir)
+    deltas = m.select("key", F.lit(5).cast("bigint").alias("delta")).unionByName(spark.createDataFrame([(bytearray(b"z"), 5)], "key binary, delta bigint"))
+    return _shown(zmap.increment_i64(m, deltas))
+
+
+@register("zmap_watch", "SELECT event_id AS seq FROM events WHERE user_id = 3")
+def zmap_watch(spark, sf_dir):
+    return zmap.watch(_changes(spark, sf_dir), "3").select("seq")
+
+
+@register("journal_consumer", "SELECT event_id AS seq FROM events ORDER BY event_id LIMIT 300")
+def journal_consumer(spark, sf_dir):
+    """Three polls, the offset committed after the second and resumed from there."""
+    offsets = scratch(spark, "offsets")
+    first = changelog.Consumer(spark, lambda: _changes(spark, sf_dir), offsets, "EARLIEST")
+    seen = [r["seq"] for _ in range(2) for r in first.poll(100)]
+    first.commit()
+    seen += [r["seq"] for r in changelog.Consumer(spark, lambda: _changes(spark, sf_dir), offsets, "RESUME").poll(100)]
+    return spark.createDataFrame([(x,) for x in seen], "seq bigint")
