@@ -53,15 +53,25 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Bytes of one Arrow batch on its way to or from Python; both sides hold copies of it.
+ARROW_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, whose session deals small Arrow batches from here on."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Computes df once into the shared folder; lost executors then cost a read, not a recomputation."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return bounded(df).checkpoint()
 
 
 def stable(df: DataFrame) -> DataFrame:
     """df, stored first where a lost task could get its rows in another order, as behind a shuffle."""
-    plan = df._jdf.queryExecution().sparkPlan().toString()
+    plan = bounded(df)._jdf.queryExecution().sparkPlan().toString()
     return materialize(df) if "Exchange" in plan or "Join" in plan or "Aggregate" in plan or "Window" in plan else df
 
 

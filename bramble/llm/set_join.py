@@ -62,9 +62,9 @@ from bramble.llm.components import connected_components
 from bramble.llm.words import shingle_sets
 
 #: Tokens of a unit of input, of a bucket at most on average, and postings in a row that only passes through.
-UNIT_TOKENS, BUCKET_TOKENS, SLICE = 1 << 20, 1 << 20, 1 << 15
+UNIT_TOKENS, BUCKET_TOKENS, SLICE = 1 << 19, 1 << 20, 1 << 15
 #: Documents of one unit that make a token a common one, at most; fewer do where there are so many units that a token below it would fill HOT buckets.
-COMMON, HOT = 24, 8
+COMMON, HOT = 16, 8
 #: The frequency of common tokens: after all others.
 LAST = np.uint32(1 << 30)
 #: Sets in a block of an index list, on average at most.
@@ -211,8 +211,8 @@ def _count_bucket(groups: int):
                 who, sizes_, times = _unzip(row["head"])
                 parts[row["kind"]].append((np.repeat(who, times), np.repeat(sizes_, times), tokens))
         docs, sizes, tokens, freqs = [], [], [], []
-        if parts[_POSTINGS]:
-            d, s, t = (np.concatenate(x) for x in zip(*parts[_POSTINGS], strict=True))
+        if parts[_POSTINGS]:  # arrays are let go as soon as the next ones are made
+            d, s, t = (np.concatenate(x) for x in zip(*parts.pop(_POSTINGS), strict=True))
             order = np.argsort(t, kind="stable")
             t = t[order]
             first, count = _runs(t)
@@ -225,10 +225,12 @@ def _count_bucket(groups: int):
             keep = freq > 1
             order = order[keep]
             docs.append(d[order]), sizes.append(s[order]), tokens.append(t[keep]), freqs.append(freq[keep])
-        for d, s, t in parts[_PASSED]:
+            del d, s, t, order, keep, freq
+        for d, s, t in parts.pop(_PASSED):
             docs.append(d), sizes.append(s), tokens.append(t), freqs.append(np.full(len(t), LAST))
         if docs:
             d, s, t, f = map(np.concatenate, (docs, sizes, tokens, freqs))
+            del docs, sizes, tokens, freqs
             group = (d ^ (d >> 11)) % groups  # as _part has it
             order = np.lexsort((d, group))
             d, s, t, f, group = d[order], s[order], t[order], f[order], group[order]
@@ -249,7 +251,9 @@ def _whole(step, ddl: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b.cast(schema) for b in batches if b.num_rows]
         if held:
-            yield from step(pa.Table.from_batches(held, schema)).to_batches()
+            table = pa.Table.from_batches(held, schema)
+            held.clear()
+            yield from step(table).to_batches()
 
     return run
 
