@@ -46,6 +46,7 @@ by a 64-bit hash, equal sets by 128 bits.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -63,6 +64,8 @@ from bramble.llm.words import shingle_sets
 
 #: Tokens of a unit of input, of a bucket at most on average, and postings in a row that only passes through.
 UNIT_TOKENS, BUCKET_TOKENS, SLICE = 1 << 19, 1 << 20, 1 << 15
+#: Buckets that a unit of input is dealt to at once.
+FAN = 1 << 13
 #: Documents of one unit that make a token a common one, at most; fewer do where there are so many units that a token below it would fill HOT buckets.
 COMMON, HOT = 16, 8
 #: The frequency of common tokens: after all others.
@@ -133,7 +136,7 @@ def _blobs(k: int, buckets: int, least: int, often: int):
         lengths = np.array([len(s) for s in sets], np.int64)
         sizes, tokens = lengths.astype(np.int32), np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), lengths)
-        bucket = ((tokens >> np.uint64(40)).astype(np.int64) * buckets) >> 24
+        bucket = _bucket(tokens, buckets)
         order = np.argsort(tokens, kind="stable")
         first, count = _runs(tokens[order])
         common = np.zeros(len(tokens), bool)
@@ -152,7 +155,7 @@ def _blobs(k: int, buckets: int, least: int, often: int):
             add(int(bucket[part[0]]), _POSTINGS, owner[part], tokens[part])
         if common.any():
             kinds = tokens[order][first[count >= often]]
-            where = ((kinds >> np.uint64(40)).astype(np.int64) * buckets) >> 24
+            where = _bucket(kinds, buckets)
             start, runs = _runs(where)
             for a, m in zip(start, runs, strict=True):
                 rows.append((int(where[a]), _COMMON, b"", _pack(kinds[a : a + m])))
@@ -187,6 +190,57 @@ def _blobs(k: int, buckets: int, least: int, often: int):
     return run
 
 
+def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each token's range."""
+    return ((tokens >> np.uint64(40)).astype(np.int64) * buckets) >> 24
+
+
+def _dealt_again(coarse: int, buckets: int):
+    """Blobs of one coarse bucket, those of many units together, dealt to the buckets within its range."""
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    names = [c.split()[0] for c in _BLOB_DDL.split(", ")]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        docs, sizes, tokens = (np.concatenate(c) for c in zip(*held, strict=True))
+        bucket = _bucket(tokens, buckets)
+        order = np.lexsort((docs, bucket))
+        docs, sizes, tokens, bucket = docs[order], sizes[order], tokens[order], bucket[order]
+        rows = []
+        for a, m in zip(*_runs(bucket), strict=True):
+            start, runs = _runs(docs[a : a + m])
+            rows.append((int(bucket[a]), _POSTINGS, _zip(docs[a : a + m][start], sizes[a : a + m][start], runs.astype(np.int32)), _pack(tokens[a : a + m])))
+        return batch(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count, turn = [], 0, 0
+        for part in batches:
+            rows = []
+            for row in part.to_pylist():
+                if row["kind"] == _POSTINGS:
+                    (docs, sizes, times), tokens = _unzip(row["head"]), _unpack(row["tokens"])
+                    held.append((np.repeat(docs, times), np.repeat(sizes, times), tokens))
+                    count += len(tokens)
+                elif row["kind"] == _COMMON:
+                    tokens = np.sort(_unpack(row["tokens"]))
+                    bucket = _bucket(tokens, buckets)
+                    rows += [(int(bucket[a]), _COMMON, b"", _pack(tokens[a : a + m])) for a, m in zip(*_runs(bucket), strict=True)]
+                else:  # anywhere will do
+                    rows.append(((row["bucket"] * buckets + turn * 7919) // coarse % buckets, row["kind"], row["head"], row["tokens"]))
+                    turn += 1
+                if count >= UNIT_TOKENS:
+                    yield flush(held)
+                    held, count = [], 0
+            if rows:
+                yield batch(rows)
+        if held:
+            yield flush(held)
+
+    return run
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for head, tokens in zip(batch.column("head").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
@@ -231,7 +285,7 @@ def _count_bucket(groups: int):
         if docs:
             d, s, t, f = map(np.concatenate, (docs, sizes, tokens, freqs))
             del docs, sizes, tokens, freqs
-            group = (d ^ (d >> 11)) % groups  # as _part has it
+            group = _group(d, groups)
             order = np.lexsort((d, group))
             d, s, t, f, group = d[order], s[order], t[order], f[order], group[order]
             for a, m in zip(*_runs(group), strict=True):
@@ -258,6 +312,41 @@ def _whole(step, ddl: str):
     return run
 
 
+def _group(docs: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each document, as _part has it."""
+    return (docs ^ (docs >> 11)) % groups
+
+
+def _grouped_again(groups: int):
+    """Shared postings of one coarse group of documents, those of many buckets together, dealt to the groups."""
+
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        docs, sizes, tokens, freqs = (np.concatenate(c) for c in zip(*held, strict=True))
+        group = _group(docs, groups)
+        order = np.lexsort((docs, group))
+        docs, sizes, tokens, freqs, group = docs[order], sizes[order], tokens[order], freqs[order], group[order]
+        rows = []
+        for a, m in zip(*_runs(group), strict=True):
+            start, runs = _runs(docs[a : a + m])
+            rows.append((int(group[a]), _zip(docs[a : a + m][start], sizes[a : a + m][start], runs.astype(np.int32), freqs[a : a + m]), _pack(tokens[a : a + m])))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "head", "tokens"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for part in batches:
+            for head, tokens in zip(part.column("head").to_pylist(), part.column("tokens").to_pylist(), strict=True):
+                docs, sizes, times, freqs = _unzip(head)
+                held.append((np.repeat(docs, times), np.repeat(sizes, times), _unpack(tokens), freqs))
+                count += len(freqs)
+                if count >= UNIT_TOKENS:
+                    yield flush(held)
+                    held, count = [], 0
+        if held:
+            yield flush(held)
+
+    return run
+
+
 def _part(key: str, groups: int) -> Column:
     """The group of a document."""
     return F.pmod(F.col(key).bitwiseXOR(F.shiftright(key, 11)), F.lit(groups)).cast("int")
@@ -459,8 +548,11 @@ def _components(docs: DataFrame, words: int, least: int, id_col: str, text_col:
     often = max(2, min(COMMON, HOT * BUCKET_TOKENS // units))
 
     path = scratch(spark, "shared-postings")
-    dealt = rows.mapInArrow(_blobs(words, parts, least, often), _BLOB_DDL).repartitionById(parts, "bucket")  # a task a bucket, however many there are
-    dealt.mapInArrow(_whole(_count_bucket(parts), _BLOB_DDL), _GROUP_DDL).write.partitionBy("kind").options(**_PLAIN).parquet(path)
+    coarse = parts if parts <= FAN else math.isqrt(parts)
+    dealt = rows.mapInArrow(_blobs(words, coarse, least, often), _BLOB_DDL).repartitionById(coarse, "bucket")  # a task a bucket, however many there are
+    if coarse < parts:  # so many buckets that a unit has a few tokens for each: in two steps
+        dealt = dealt.mapInArrow(_dealt_again(coarse, parts), _BLOB_DDL).repartitionById(parts, "bucket")
+    dealt.mapInArrow(_whole(_count_bucket(coarse), _BLOB_DDL), _GROUP_DDL).write.partitionBy("kind").options(**_PLAIN).parquet(path)
     del dealt
     release(spark)
     shared = spark.read.schema(_GROUP_DDL).parquet(path)
@@ -468,7 +560,10 @@ def _components(docs: DataFrame, words: int, least: int, id_col: str, text_col:
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best")
     classes = materialize(base.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("key").alias("rep"), best, F.count("*").alias("copies")))
     firsts = classes.select(_part("rep", parts).alias("part"), "rep", *[F.lit(None).cast(k).alias(c) for c, k in (x.split() for x in _GROUP_DDL.split(", ")[2:])])
-    postings = shared.where(F.col("kind") == _POSTINGS).select("part", F.lit(None).cast("long").alias("rep"), *firsts.columns[2:])
+    postings = shared.where(F.col("kind") == _POSTINGS).select("part", "head", "tokens")
+    if coarse < parts:
+        postings = postings.repartitionById(coarse, "part").mapInArrow(_grouped_again(parts), "part int, head binary, tokens binary")
+    postings = postings.select("part", F.lit(None).cast("long").alias("rep"), *firsts.columns[2:])
     live = postings.unionByName(firsts).repartitionById(parts, "part").mapInArrow(_whole(_gather_documents(least), ", ".join(f"{c} {k}" for c, k in firsts.dtypes)), _LIVE_DDL)
     sets = materialize(live)
     del shared, postings, firsts, live

@@ -71,6 +71,16 @@ def test_equals_brute_force(spark, monkeypatch, seed, k, least, common, open_pai
     assert got == brute(rows, k, least)
 
 
+def test_dealing_in_two_steps(spark, monkeypatch):
+    """As with buckets beyond a unit's fan: units of a few tokens, coarse buckets, then fine ones."""
+    for name, value in {"FAN": 4, "UNIT_TOKENS": 700, "BUCKET_TOKENS": 300, "COMMON": 5}.items():
+        monkeypatch.setattr(set_join, name, value)
+    rows = corpus(6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in set_similarity_components(docs, 3, 75).collect())
+    assert got == brute(rows, 3, 75)
+
+
 def test_awkward_rows(spark, small_tables, empty_tables):
     rows = QUERIES["op1_ngram_jaccard"](spark, small_tables).collect()
     assert len(rows) == 12
