@@ -125,7 +125,7 @@ def _cut(counted: DataFrame, by: list[str], name: str) -> DataFrame:
     """For each group of counts (by, name, held, rest), the value of name at the rest-th row in order: by, name, held there, rest within."""
     before = F.sum("held").over(Window.partitionBy(*by).orderBy(name)) - F.col("held")
     found = counted.withColumn("before", before).where("before < rest AND before + held >= rest")
-    return materialize(found.select(*by, name, "held", (F.col("rest") - F.col("before")).alias("rest")))
+    return found.select(*by, name, "held", (F.col("rest") - F.col("before")).alias("rest"))
 
 
 def _plan(slim: DataFrame, weights: Sequence[float]) -> tuple[DataFrame, DataFrame]:
@@ -161,10 +161,11 @@ def _plan(slim: DataFrame, weights: Sequence[float]) -> tuple[DataFrame, DataFra
 def _with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """rows (placed) with ``__copies``."""
     columns = rows.columns
-    joined = rows.join(F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan, _PLACE)
+    size, tied = plan.agg(F.count("*"), F.count_if(F.col("quota") < F.col("ties"))).first()
+    joined = rows.join(F.broadcast(plan) if size <= BROADCAST_ROWS else plan, _PLACE)
     split = (F.col("__draw") == F.col("cut")) & (F.col("quota") < F.col("ties"))
     out = joined.where(~split).select(*columns, (F.col("whole") + (F.col("__draw") <= F.col("cut")).cast("int")).alias("__copies"))
-    if plan.where("quota < ties").isEmpty():
+    if not tied:
         return out
     # Documents of one draw, some of which are taken: the first ones by stored partition, and by place within it.
     tied = materialize(joined.where(split)).withColumn("__part", F.spark_partition_id())

@@ -74,6 +74,8 @@ LAST = np.uint32(1 << 30)
 BLOCK_SETS = 128
 #: Open pairs a listed set that are expanded at once, and comparisons for one link beyond which further leaders do not pay.
 OPEN_PAIRS, LINKED = 32, 16
+#: Bytes of text from which on the shuffle files of a step are worth a garbage collection of the driver.
+RELEASED = 64 << 20
 #: Tasks that the rows of one class are dealt to.
 SALTS = 16
 #: Steps of a block's size (to the factor e) and of its overlap with the leader; a block's bounds are as tight as these.
@@ -518,9 +520,12 @@ def _linked_components(lists: DataFrame, sets: DataFrame, least: int) -> DataFra
         edges = links if edges is None else edges.unionByName(links)
         components = connected_components(edges)
         mixed = _mixed(lists, components)
+        entries = mixed.count()
+        if not entries:
+            return components
         blocks = _open_blocks(mixed, answers, least)
         work = blocks.agg(F.sum(F.size("x_sets").cast("long") * F.size("y_sets"))).first()[0] or 0
-        last = work <= OPEN_PAIRS * mixed.count() or LINKED * links.count() < answers.count()
+        last = work <= OPEN_PAIRS * entries or LINKED * links.count() < answers.count()
         more = _derive(materialize(_open_pairs(blocks if last else blocks.where("NOT y_minor"), least)), answers, sets, least)
         if not more.isEmpty():
             edges = edges.unionByName(more)
@@ -554,7 +559,8 @@ def _components(docs: DataFrame, words: int, least: int, id_col: str, text_col:
         dealt = dealt.mapInArrow(_dealt_again(coarse, parts), _BLOB_DDL).repartitionById(parts, "bucket")
     dealt.mapInArrow(_whole(_count_bucket(coarse), _BLOB_DDL), _GROUP_DDL).write.partitionBy("kind").options(**_PLAIN).parquet(path)
     del dealt
-    release(spark)
+    if size > RELEASED:
+        release(spark)
     shared = spark.read.schema(_GROUP_DDL).parquet(path)
     base = materialize(shared.where(F.col("kind") == _SIGNS).select("head", "tokens").mapInArrow(_signatures, _SIGN_DDL))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best")
