@@ -217,10 +217,11 @@ class Bucket:
             new_id = new_object_id()
         if self.dynamic:
             changed = dynamic.update_dynamic(self.table, tree, spec, id_col=self.id_col, limit=limit, order=order, new_id=new_id)
-            self._check_types(changed.table)
+            table = materialize(changed.table)  # documents change in Python: once
+            self._check_types(table)
             for one in self.indexes.values():
-                indexes.check_unique(changed.table, one)
-            return replace(self, table=changed.table), changed.ids
+                indexes.check_unique(table, one)
+            return replace(self, table=table), changed.ids
         done = updates.update(self.table, tree, spec, id_col=self.id_col, limit=limit, order=order, new_id=new_id, collation=self._collation(tree, collation))
         for one in self.indexes.values():
             indexes.check_unique(done.table, one)
