@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
-import uuid
 from collections.abc import Callable
 from functools import reduce
 from operator import and_
@@ -14,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bramble import storage
+from bramble.storage import scratch  # noqa: F401
+
 #: The white space of every contract here, as a Java regular expression.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,30 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by spark.checkpoint.dir.
-
-    Only a session without executors of its own (a local master, as in tests) may do without it.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    own = spark.sparkContext.getCheckpointDir()
-    if own is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        own = tempfile.mkdtemp(prefix="bramble-")
-        spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path of the shared folder."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -65,8 +42,7 @@ def bounded(df: DataFrame) -> DataFrame:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Computes df once into the shared folder; lost executors then cost a read, not a recomputation."""
-    shared_dir(df.sparkSession)
-    return bounded(df).checkpoint()
+    return storage.materialize(bounded(df))
 
 
 def stable(df: DataFrame) -> DataFrame:
