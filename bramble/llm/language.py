@@ -6,11 +6,14 @@ languages by vote.  Models are fitted on the driver from a bounded sample of
 labelled rows (``sample_rows``, spread evenly over the languages by a hash of
 the id); every document is then scored over its whole text.
 
-``reject_unknown`` also drops texts of no learned language: those whose n-grams
-are less like the mean profile of every language than ``FLOOR_SHARE`` of the
-least likeness among training rows, each compared with profiles of the half of
-the sample that it is not in.  A text of fewer than ``LEAST_BYTES`` bytes is too
-short to tell and stays.
+``reject_unknown`` also drops texts of no learned language.  The hierarchy
+predicts each text's language; the text goes if that is ``und``, if the score of
+the prediction is below a floor, or, since margins say nothing of n-grams never
+seen, if it is too unlike the mean profile of the language predicted.  Floors are
+``FLOOR_SHARE`` of the least score and likeness among training rows, each row
+predicted by a hierarchy fitted on the half of its language's rows that it is not
+in.  A text with fewer than ``LEAST_BYTES`` bytes of letters is too short to tell
+and stays.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 a language outside the table of families is a family of its own; without any
@@ -22,7 +25,7 @@ result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ UNKNOWN = "und"
 BUCKETS = 2048
 #: Texts in one feature matrix.
 TEXTS = 512
-#: Texts as long as this are rejected below that share of the least likeness seen in training.
+#: Texts with so many bytes of letters are rejected below that share of the least score or likeness of training texts of so many bytes.
 LEAST_BYTES, FLOOR_SHARE = 20, 0.7
 #: Language families, fixed values.
 FAMILIES = {
@@ -101,8 +104,11 @@ def mean_profiles(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
 class HierarchicalModel:
     """Family by one-versus-rest margins, language within it by one-versus-one votes."""
 
-    def __init__(self, x: np.ndarray, langs: list[str], sizes: np.ndarray | None = None) -> None:
-        """x: features of the training texts, sizes: their bytes (long enough where not given)."""
+    #: Least score and likeness of a recognised text; ``set_floors`` raises them.
+    least_score = floor = 0.0
+
+    def __init__(self, x: np.ndarray, langs: list[str]) -> None:
+        """x: features of the training texts."""
         self.langs = sorted(set(langs))
         family = [_FAMILY.get(g, g) for g in langs]
         self.families = {f: sorted({g for g in langs if _FAMILY.get(g, g) == f}) for f in sorted(set(family))}
@@ -115,13 +121,36 @@ class HierarchicalModel:
                 rows = (labels == a) | (labels == b)
                 self.pairs[a, b] = linear_svm(x[rows], sign(labels[rows] == a))
         self.profiles = mean_profiles(x, labels)
-        half, told = np.arange(len(x)) % 2 == 0, np.full(len(x), True) if sizes is None else sizes >= LEAST_BYTES
-        seen = [(x[told & side] @ mean_profiles(x[~side], labels[~side]).T).max(axis=1) for side in (half, ~half) if (~side).any()]
-        self.floor = FLOOR_SHARE * float(min((s.min() for s in seen if len(s)), default=0.0))
 
-    def likeness(self, x: np.ndarray) -> np.ndarray:
-        """How like the closest language's profile each row is, from 0 to 1."""
-        return (x @ self.profiles.T).max(axis=1)
+    def set_floors(self, x: np.ndarray, langs: list[str], sizes: np.ndarray) -> None:
+        """Floors from the training texts of these sizes in bytes, each predicted by a model of the other half."""
+        labels, place = np.array(langs), np.zeros(len(x), int)
+        for g in self.langs:
+            rows = np.flatnonzero(labels == g)
+            place[rows] = np.arange(len(rows))
+        scores, likes = [], []
+        for side in (place % 2 == 1, place % 2 == 0):  # the first is predicted by a model of all languages
+            if side.all():
+                continue
+            other = HierarchicalModel(x[~side], [g for g, inside in zip(langs, side) if not inside])
+            told = side & (sizes >= LEAST_BYTES) & np.isin(labels, other.langs)
+            if told.any() and (scores or other.langs == self.langs):  # one without some of them is too sure to set floors alone
+                lang, score = other.predict(x[told])
+                scores.append(score.min())
+                likes.append(other.likeness(x[told], lang).min())
+        self.least_score = FLOOR_SHARE * float(min(scores, default=0.0))
+        self.floor = FLOOR_SHARE * float(min(likes, default=0.0))
+
+    def likeness(self, x: np.ndarray, lang: np.ndarray | None = None) -> np.ndarray:
+        """How like the profile of its language, the one predicted if not given, each row is, from 0 to 1."""
+        lang = self.predict(x)[0] if lang is None else lang
+        place = {g: i for i, g in enumerate(self.langs)}
+        return (x @ self.profiles.T)[np.arange(len(x)), [place[g] for g in lang]]
+
+    def recognised(self, x: np.ndarray) -> np.ndarray:
+        """Whether the hierarchy puts each row in a language, surely enough, whose profile it is like."""
+        lang, score = self.predict(x)
+        return (lang != UNKNOWN) & (score >= self.least_score) & (self.likeness(x, lang) >= self.floor)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(language, score from 0 to 1) of each row."""
@@ -153,8 +182,8 @@ def held_out_column(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 3000) -> HierarchicalModel | None:
-    """A model from at most about sample_rows labelled rows that are not held out; None without any."""
+def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 3000, floors: bool = True) -> HierarchicalModel | None:
+    """A model from at most about sample_rows labelled rows that are not held out, with floors for ``reject_unknown`` if wanted; None without any."""
     key, lang = F.col(f"`{id_col}`"), F.col(f"`{lang_col}`")
     rows = docs.where(lang.isNotNull() & F.col(f"`{text_col}`").isNotNull() & key.isNotNull() & ~held_out_column(id_col))
     counts = {r["lang"]: r["n"] for r in rows.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).collect()}  # one row a language
@@ -174,7 +203,11 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     got = sorted(sample.collect(), key=lambda r: (r["id"], r["lang"], r["x"]))
     if not got:
         return None
-    return HierarchicalModel(np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(len(got), BUCKETS), [r["lang"] for r in got], np.array([r["bytes"] for r in got]))
+    x, langs = np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(len(got), BUCKETS), [r["lang"] for r in got]
+    model = HierarchicalModel(x, langs)
+    if floors:
+        model.set_floors(x, langs, np.array([r["bytes"] for r in got]))
+    return model
 
 
 def predict_languages(docs: DataFrame, model: HierarchicalModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,11 +234,16 @@ def _has_letter(text: pa.Array) -> np.ndarray:
     return np.array([t is not None and any(map(str.isalpha, t)) for t in text.to_pylist()], bool)
 
 
+def _too_short(text: str) -> bool:
+    return len("".join(islice(filter(str.isalpha, text), LEAST_BYTES)).encode()) < LEAST_BYTES
+
+
 def reject_unknown(docs: DataFrame, model: HierarchicalModel | None, text_col: str = "text") -> DataFrame:
-    """docs whose language is recognised, in the same columns; nothing is shuffled.
+    """docs whose language the model recognises, in the same columns; nothing is shuffled.
 
-    Null texts, texts without a letter, and longer ones unlike every learned
-    language go.  Without a model only those without a letter do.
+    Null texts, texts without a letter, and longer ones that the hierarchy puts in
+    no learned language, or not surely enough, go.  Without a model only those
+    without a letter do.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +252,9 @@ def reject_unknown(docs: DataFrame, model: HierarchicalModel | None, text_col: s
             keep = np.zeros(batch.num_rows, bool)
             for a, x in features(text):
                 part = text.slice(a, len(x))
-                known = np.ones(len(x), bool) if model is None else (model.likeness(x) >= model.floor) | (pc.fill_null(pc.binary_length(part), 0).to_numpy(zero_copy_only=False) < LEAST_BYTES)
+                known = np.ones(len(x), bool) if model is None else model.recognised(x)
+                for i in np.flatnonzero(~known):
+                    known[i] = _too_short(part[int(i)].as_py() or "")
                 keep[a : a + len(x)] = _has_letter(part) & known
             yield batch.filter(pa.array(keep))
 

@@ -98,7 +98,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return language.predict_languages(docs, language.fit_language_model(docs))
+    return language.predict_languages(docs, language.fit_language_model(docs, floors=False))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from bramble.llm.set_join import drop_near_duplicates
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language: what has no letter, or is like none of them, goes."""
+    """Documents in a learned language by the hierarchical model: what has no letter, or is not recognised, goes."""
     return language.reject_unknown(docs, language.fit_language_model(docs))
 
 
