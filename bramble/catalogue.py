@@ -3,7 +3,8 @@
 Buckets: orders, customer, part, lineitem, events and embeddings as they are;
 ``orders_doc`` is orders with their line items as an array of documents (missing
 where an order has none), ``conv_doc`` conversations with their turns.  The two
-are built once a session and source, sorted by id, and read from storage.
+are built once a session and source, with one shuffle, sorted by id, and read
+from storage.
 """
 
 from __future__ import annotations
@@ -44,30 +45,46 @@ def bucket(spark: SparkSession, sf_dir: str, name: str) -> Bucket:
 
 
 _STORED: dict[tuple[str, str, str], str] = {}
+#: Bytes of Parquet that one task nests; in memory they are some ten times as many.
+NEST_BYTES = 4 << 20
+
+
+def _dealt(rows: DataFrame, key: str, *sources: Bucket) -> DataFrame:
+    """rows of the sources dealt by ranges of a key, so that what is grouped by it, then sorted, needs no other shuffle."""
+    return rows.repartitionByRange(max(1, -(-sum(s.approximate_size() for s in sources) // NEST_BYTES)), key)
 
 
 def _stored(spark: SparkSession, sf_dir: str, name: str, id_col: str, build: Callable[[], DataFrame]) -> Bucket:
-    """A bucket that is built and written once a session, in the layout of its primary index."""
+    """A bucket that is built, dealt by ranges of its id, and written once a session in the layout of its primary index."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
         path = scratch(spark, name)
-        ix.write_bucket(build(), path, ix.Index("primary", (id_col,), kind="primary"))
+        ix.write_bucket(build().sortWithinPartitions(id_col), path)
         _STORED[key] = path
     return Bucket(name, spark.read.parquet(_STORED[key]), id_col)
 
 
 def orders_doc(spark: SparkSession, sf_dir: str) -> Bucket:
     def build() -> DataFrame:
+        orders, lines = bucket(spark, sf_dir, "orders"), bucket(spark, sf_dir, "lineitem")
         item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
-        items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(item)).alias("items"))
-        return table(spark, sf_dir, "orders").join(items, "o_orderkey", "left")
+        items = lines.table.where("l_orderkey IS NOT NULL").select(F.col("l_orderkey").alias("key"), item.alias("item"))
+        heads = orders.table.where("o_orderkey IS NOT NULL").select(F.col("o_orderkey").alias("key"), F.struct(*orders.table.columns).alias("head"))
+        # dealt together and grouped where they are, as a join would shuffle once more; a key of null is in no group
+        both = _dealt(heads.unionByName(items, allowMissingColumns=True), "key", orders, lines)
+        grouped = both.groupBy("key").agg(F.collect_list("head").alias("heads"), F.sort_array(F.collect_list("item")).alias("items"))
+        nested = grouped.select(F.inline("heads"), F.when(F.size("items") > 0, F.col("items")).alias("items"))
+        return nested.unionByName(orders.table.where("o_orderkey IS NULL"), allowMissingColumns=True)
 
     return _stored(spark, sf_dir, "orders_doc", "o_orderkey", build)
 
 
 def conv_doc(spark: SparkSession, sf_dir: str) -> Bucket:
-    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
-    return _stored(spark, sf_dir, "conv_doc", "conv_id", lambda: table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns))
+    def build() -> DataFrame:
+        rows = bucket(spark, sf_dir, "conversations")
+        return _dealt(rows.table, "conv_id", rows).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+
+    return _stored(spark, sf_dir, "conv_doc", "conv_id", build)
 
 
 def prepare(spark: SparkSession, sf_dir: str) -> None:
