@@ -45,7 +45,7 @@ def test_nested_documents_are_stored_with_one_shuffle(spark, odd, exchanges, bui
     assert exchanges == [1]
 
 
-@pytest.mark.parametrize("name", ["upd_positional_missing", "bql_array_any", "bql_size"])
+@pytest.mark.parametrize("name", ["upd_positional_missing", "bql_array_any", "bql_size", "bql_in_null"])
 def test_query_over_odd_keys_with_one_shuffle(spark, odd, exchanges, name):
     got = catalogue.QUERIES[name](spark, odd)
     assert exchanges == [1] and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
